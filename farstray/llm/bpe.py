@@ -11,8 +11,10 @@ is bounded for any text.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -134,17 +136,17 @@ class Transducer:
         if last is None:
             raise ValueError(f"the vocabulary can't spell {pending!r}")
         chain = [*chain, last]
-        # certain is what the last tokens of the whole and of every place where a later one may begin have in common
-        common = self._path(chain, n)
+        # certain is where the ways back from the end and from every place where a later token may begin first meet
+        cut = n
         for j in begins:
-            path, k = self._path(chain, j), 0
-            while k < min(len(common), len(path)) and common[k] == path[k]:
-                k += 1
-            common = common[:k]
+            while cut != j:
+                if cut > j:
+                    cut = chain[cut][0]
+                else:
+                    j = chain[j][0]
         out = b""
-        if common:
-            cut = common[-1]
-            out = array("I", [chain[i][1] for i in common]).tobytes()
+        if cut:
+            out = array("I", [chain[i][1] for i in self._path(chain, cut)]).tobytes()
             before = chain[cut][1]
             chain = [(0, before), *(c and (c[0] - cut, c[1]) if c and c[0] >= cut else None for c in chain[cut + 1 :])]
             pending, begins = pending[cut:], [j - cut for j in begins if j >= cut]
@@ -212,7 +214,10 @@ class Utf8Stream:
 
 
 class Codec:
-    """Splits texts into pre-tokens, encodes each, and decodes id streams."""
+    """Splits texts into pre-tokens, encodes each, and decodes id streams.
+
+    Pre-tokens met lately are kept in two generations of bounded size; what is met again moves to the younger one.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 500_000):
         self.transducer = Transducer(ranks)
@@ -220,22 +225,25 @@ class Codec:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.most_cached = most_cached
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _missed(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode("utf-8"))
+        if len(piece) < 64:
+            self.cache[piece] = ids
+            if len(self.cache) >= self.most_cached:
+                self.older = dict(self.cache)
+                self.cache.clear()
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > self.most_cached:
-            self.cache.clear()
-        cache, encode = self.cache, self.transducer.encode
-        out = []
+        known, missed = self.cache.get, self._missed
         # findall makes a list of all pieces, which is faster but holds a very long text several times
-        for piece in self.split.findall(text) if len(text) < 1_000_000 else (m.group() for m in self.split.finditer(text)):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = encode(piece.encode("utf-8"))
-                if len(piece) < 64 and len(cache) < 2 * self.most_cached:
-                    cache[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        pieces = self.split.findall(text) if len(text) < 1_000_000 else (m.group() for m in self.split.finditer(text))
+        return b"".join([known(p) or missed(p) for p in pieces])
 
     def decode(self, ids: bytes, step: int = 65_536):
         """The text in pieces, as it becomes certain."""
@@ -245,6 +253,12 @@ class Codec:
         yield stream.close()
 
 
+@lru_cache(maxsize=2)
+def _codec(ranks_path: str, pattern: str) -> Codec:
+    """One for each Python worker, for all its tasks."""
+    return Codec(read_ranks(ranks_path), pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode every text.
 
@@ -257,7 +271,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(read_ranks(ranks_path), pattern)
+        codec = _codec(ranks_path, pattern)
+        gc.disable()  # the tables hold very many objects and no cycles
         for batch in batches:
             rows = []
             for value in batch.column(1):
@@ -272,5 +287,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
                 columns.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        gc.enable()
 
     return docs.select(key, text).mapInArrow(run, schema)
