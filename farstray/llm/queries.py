@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from farstray.llm import bpe, decontaminate, html_text, secrets, topk, toxicity, warc
+from farstray.llm import bpe, decontaminate, html_text, jaccard, repeats, secrets, topk, toxicity, warc
 from farstray.llm.common import table
 
 
@@ -15,10 +15,18 @@ def op2_topk(spark, sf_dir):
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op3_jaccard(spark, sf_dir):
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -40,7 +48,9 @@ def op9_secrets(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
+    "op3_jaccard": op3_jaccard,
     "op4_decontaminate": op4_decontaminate,
+    "op5_repeats": op5_repeats,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_html_text": op8_html_text,
@@ -86,4 +96,33 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op5_repeats": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13
+        ), win AS (
+            SELECT doc_id, i, list_slice(w, i, i + 12) AS s FROM p
+        ), m AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS k FROM win JOIN m USING (s) WHERE doc_id > least
+        ), g AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, k: ks IS NULL OR NOT list_contains(ks, k)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
+    "op3_jaccard": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), i AS (
+            SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0
+        ), s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s FROM i
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+        ), reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)""",
 }
