@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from farstray.llm import bpe, decontaminate, html_text, jaccard, repeats, secrets, topk, toxicity, warc
+from farstray.llm import bpe, decontaminate, html_text, jaccard, repeats, secrets, suffixes, topk, toxicity, warc
 from farstray.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffixes(spark, sf_dir):
+    return suffixes.remove_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_html_text": op8_html_text,
     "op9_secrets": op9_secrets,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLES: dict[str, str] = {
