@@ -127,25 +127,47 @@ def thresholds(texts: DataFrame, rate: float) -> dict[int, float]:
     return {r["class"]: r["cut"] for r in hit.collect()}
 
 
-def scan(docs: DataFrame, rate: float = 0.05, key: str = "doc_id") -> DataFrame:
-    """key, n_assign, n_access, n_hex, base_sha256, spans of every text; places are code points, ends exclusive.
-
-    Null and empty texts have no spans.  Rows are independent but for the thresholds, which cover all texts; repeated
-    rows stay repeated; other columns are ignored.  A tested string that overlaps a known kind's span isn't added.
-    """
-    texts = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
+def all_spans(texts: DataFrame, rate: float) -> DataFrame:
+    """``texts`` (with a text column without nulls) and assign, access, hex, base and spans, arrays of spans."""
     cuts = thresholds(texts, rate)
-    spans = texts.select(key, "text", *(found(F.col("text"), p, SCREEN[kind], g, least, kind).alias(kind) for kind, (p, g, least) in KINDS.items()), candidates(F.col("text")).alias("tested"))
+    kept = texts.columns
+    tested = texts.select("*", *(found(F.col("text"), p, SCREEN[kind], g, least, kind).alias(kind) for kind, (p, g, least) in KINDS.items()), candidates(F.col("text")).alias("tested"))
     limit = F.lit(-1.0)
     cut = lambda s: limit
     if cuts:
         by_class = F.create_map(*(F.lit(v) for pair in sorted(cuts.items()) for v in pair))
         cut = lambda s: F.coalesce(F.try_element_at(by_class, length_class(s["end"] - s["start"])), limit)
-    base = F.concat("assign", "access", "hex")
-    spans = spans.select(key, F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.array_sort(base).alias("base"), "tested")
+    based = tested.select(*kept, "assign", "access", "hex", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "tested")
     random = F.filter("tested", lambda s: (s["p"] > cut(s)) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     plain = F.transform(random, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    spans = spans.select(key, "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", plain)).alias("all"))
+    return based.select(*kept, "assign", "access", "hex", "base", F.array_sort(F.concat("base", plain)).alias("spans"))
+
+
+def scan(docs: DataFrame, rate: float = 0.05, key: str = "doc_id") -> DataFrame:
+    """key, n_assign, n_access, n_hex, base_sha256, spans of every text; places are code points, ends exclusive.
+
+    Null and empty texts have no spans.  Rows are independent but for the thresholds, which cover all texts; repeated
+    rows stay repeated; other columns are ignored.  A tested string that overlaps a known kind's span isn't added.
+    """
+    spans = all_spans(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), rate)
     names = F.array(*(F.lit(k) for k in RANK))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return spans.select(key, "n_assign", "n_access", "n_hex", F.sha2(written("base"), 256).alias("base_sha256"), written("all").alias("spans"))
+    counts = (F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS)
+    return spans.select(key, *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def redact(docs: DataFrame, rate: float = 0.05, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of text replaced by ``mark``; overlapping spans are replaced together.  Null stays null."""
+    others = [c for c in docs.columns if c != "text"]
+    held = docs.select(F.struct(*others).alias("others"), F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("missing"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(state, s):
+        between = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+        out = F.when(s["start"] >= state["at"], F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    done = all_spans(held, rate).withColumn("cut", F.aggregate("spans", begin, step))
+    rest = F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text"))
+    text = F.when(~F.col("missing"), F.when(F.size("spans") > 0, F.concat("cut.out", rest)).otherwise(F.col("text")))
+    return done.select(*(text.alias("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns))
