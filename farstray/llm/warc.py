@@ -73,7 +73,7 @@ class _Archive:
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         store, path = _open(folder)
         store.create_dir(path, recursive=True)
-        self.out = store.open_output_stream(f"{path}/{self.name}")
+        self.out = store.open_output_stream(f"{path}/{self.name}", compression=None)  # not once more, by its name
         self.held, self.held_bytes, self.written, self.records, self.compressor = [], 0, 0, 0, None
 
     def add(self, data: bytes) -> None:
@@ -196,7 +196,7 @@ def read(manifest: DataFrame, folder: str, keep_payload: bool = False) -> DataFr
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
-                with store.open_input_stream(f"{path}/{name}") as stream:
+                with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for data in records_of(stream):
                         fields, block = parse(data)
                         head, _, payload = block.partition(b"\r\n\r\n")
