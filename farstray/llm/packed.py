@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farstray.llm.common import mix
+
 #: Items that a task holds before it sends them on.
 FLUSH = 1_500_000
 #: Bounds of a sketch: log2 of its cells.  The largest is a bitmap of 32 MB when it is broadcast.
@@ -35,22 +37,21 @@ def unsqueeze(data: bytes) -> bytes:
     return zstd.ZstdDecompressor().decompress(data)
 
 
-def pack_pairs(owner: np.ndarray, value: np.ndarray) -> bytes:
-    """(owner long, value uint64) pairs; equal neighbouring owners are written once."""
-    if not len(owner):
-        return squeeze(np.zeros(2, dtype=np.int64).tobytes())
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    runs = np.diff(np.r_[first, len(owner)]).astype(np.uint32)
-    head = np.array([len(first), len(owner)], dtype=np.int64)
-    return squeeze(head.tobytes() + owner[first].astype(np.int64).tobytes() + runs.tobytes() + value.tobytes())
+def pack_pairs(owner: np.ndarray, *values: np.ndarray) -> bytes:
+    """(owner long, values uint64) rows by columns; equal neighbouring owners are written once."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=np.int64)
+    lengths = np.diff(np.r_[first, len(owner)]).astype(np.uint32)
+    head = np.array([len(first), len(owner), len(values)], dtype=np.int64)
+    return squeeze(b"".join([head.tobytes(), owner[first].astype(np.int64).tobytes(), lengths.tobytes(), *(v.tobytes() for v in values)]))
 
 
-def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_pairs(data: bytes) -> tuple[np.ndarray, ...]:
     data = unsqueeze(data)
-    runs, n = np.frombuffer(data, dtype=np.int64, count=2)
-    owners = np.frombuffer(data, dtype=np.int64, count=runs, offset=16)
-    lengths = np.frombuffer(data, dtype=np.uint32, count=runs, offset=16 + 8 * runs)
-    return np.repeat(owners, lengths), np.frombuffer(data, dtype=np.uint64, count=n, offset=16 + 12 * runs)
+    runs, n, k = np.frombuffer(data, dtype=np.int64, count=3).tolist()
+    owners = np.frombuffer(data, dtype=np.int64, count=runs, offset=24)
+    lengths = np.frombuffer(data, dtype=np.uint32, count=runs, offset=24 + 8 * runs)
+    at = 24 + 12 * runs
+    return (np.repeat(owners, lengths), *(np.frombuffer(data, dtype=np.uint64, count=n, offset=at + 8 * n * i) for i in range(k)))
 
 
 def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -200,16 +201,40 @@ def grouped(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, value, first
 
 
-def answers(owner: np.ndarray, value: np.ndarray, names: tuple[str, str]):
-    """One row for each owner: the owner and its fingerprints as bytes."""
-    import pyarrow as pa
+def answered(rows: DataFrame, work: Callable[[int, list[bytes]], Iterator[tuple[np.ndarray, ...]]], owner: str, names: list[str]) -> DataFrame:
+    """One row for each owner with, under each name, all values that ``work`` finds for it in any range, as bytes.
 
-    order = np.argsort(owner, kind="stable")
-    owner, value = owner[order], value[order]
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=np.int64)
-    cuts = np.r_[first, len(owner)].astype(np.int32) * 8
-    data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(value.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(owner[first]), data], names=list(names))
+    ``work(range, parts)`` yields (owners, values, ...) arrays.  They travel packed: a row for each range and destination,
+    not one for each range and owner, as a long text has fingerprints in all ranges.
+    """
+    n = 2 * partitions(rows)
+
+    def reply(now, parts):
+        import pyarrow as pa
+
+        for owners, *values in work(now, parts):
+            to = ranges(mix(owners.astype(np.int64).view(np.uint64)), n)
+            order = np.lexsort((owners, to))
+            owners, values = owners[order], [v[order] for v in values]
+            cuts = np.searchsorted(to[order], np.arange(n + 1))
+            keys = [k for k in range(n) if cuts[k] < cuts[k + 1]]
+            data = [pack_pairs(owners[cuts[k] : cuts[k + 1]], *(v[cuts[k] : cuts[k + 1]] for v in values)) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["range", "data"])
+
+    def gather(_, parts):
+        import pyarrow as pa
+
+        owners, *values = map(np.concatenate, zip(*map(unpack_pairs, parts)))
+        order = np.argsort(owners, kind="stable")
+        owners, values = owners[order], [v[order] for v in values]
+        first = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+        cuts = (np.r_[first, len(owners)] * 8).astype(np.int64)
+        blobs = [pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(v.tobytes())]) for v in values]
+        for at in range(0, len(first), 2000):  # batches of bounded rows
+            yield pa.RecordBatch.from_arrays([pa.array(owners[first[at : at + 2000]]), *(x[at : at + 2000].cast(pa.binary()) for x in blobs)], names=[owner, *names])
+
+    sent = by_range(rows, reply, "range int, data binary")
+    return by_range(sent, gather, ", ".join([f"{owner} long", *(f"{x} binary" for x in names)]))
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -52,14 +52,13 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
         owner, value, first = packed.grouped(parts)
         least = np.repeat(owner[first], np.diff(np.r_[first, len(owner)]))  # sorted: a group's first owner is its smallest
         lost = owner > least
-        yield packed.answers(owner[lost], value[lost], ("owner", "lost"))
+        yield owner[lost], value[lost]
 
     rows = packed.pairs_by_range(texts.select("owner", "text"), suspects)
-    lost = packed.by_range(rows, losers, "owner long, lost binary").groupBy("owner").agg(F.collect_list("lost").alias("lost"))
-    lost = checkpointed(lost)
+    lost = checkpointed(packed.answered(rows, losers, "owner", ["lost"]))
     ids = sized(lost.select("owner"), 1_000_000)
     changed = texts.join(ids, "owner", "left_semi").join(lost, "owner")
-    same = texts.join(ids, "owner", "left_anti").withColumn("lost", F.lit(None).cast("array<binary>"))
+    same = texts.join(ids, "owner", "left_anti").withColumn("lost", F.lit(None).cast("binary"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
     def cut(batches):
@@ -71,7 +70,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
                 words = (text.as_py() or "").encode("utf-8").split()
                 kept = words
                 if lost:
-                    gone = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in lost]))
+                    gone = np.unique(np.frombuffer(lost, dtype=np.uint64))
                     h = np.concatenate([h for _, h in windows(pa.array([text.as_py()], pa.string()), size)])
                     starts = np.flatnonzero(np.isin(h, gone, kind="sort"))
                     edges = np.zeros(len(words) + 1, dtype=np.int64)

@@ -279,15 +279,14 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
             at = end
         owner = np.concatenate(spans_owner) if spans_owner else np.zeros(0, dtype=np.int64)
         value = np.concatenate(spans) if spans else np.zeros(0, dtype=np.uint64)
-        yield packed.answers(owner, value, ("key", "spans"))
+        yield owner, value
 
     rows = source.mapInArrow(send, "range int, data binary")
-    spans = packed.by_range(rows, judge, "key long, spans binary").groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    spans = checkpointed(spans)
+    spans = checkpointed(packed.answered(rows, judge, "key", ["spans"]))
     # copies are removed whole and need no spans
     small = texts.join(sized(copied, 1_000_000), "key", "left").withColumn("whole", F.col("copies").isNotNull()).drop("copies", "row")
     keys = sized(spans.select("key"), 1_000_000)
-    none = F.lit(None).cast("array<binary>")
+    none = F.lit(None).cast("binary")
     cut_some = small.where("not whole").join(keys, "key", "left_semi").join(spans, "key")
     cut_none = small.where("not whole").join(keys, "key", "left_anti").withColumn("spans", none)
     every = cut_some.select("doc_id", "text", "whole", "spans").unionByName(cut_none.select("doc_id", "text", "whole", "spans")).unionByName(small.where("whole").select("doc_id", "text", "whole", none.alias("spans")))
@@ -305,7 +304,7 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
                 if whole:
                     kept, n_spans = b"", 1
                 elif spans:
-                    pairs = np.concatenate([np.frombuffer(s, dtype=np.uint64) for s in spans])
+                    pairs = np.frombuffer(spans, dtype=np.uint64)
                     edges = np.zeros(len(raw) + 1, dtype=np.int64)
                     np.add.at(edges, (pairs >> np.uint64(32)).astype(np.int64), 1)
                     np.add.at(edges, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
