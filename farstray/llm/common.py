@@ -82,7 +82,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(column, most_bytes: int = 1_000_000):
+def slices(column, most_bytes: int = 256_000):
     """(first row, offsets, bytes) of runs of rows of an Arrow string column, null as empty.
 
     A run holds about ``most_bytes``; one longer text is a run of its own, so memory follows the longest text.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from farstray.llm.common import mix
 
 #: Items that a task holds before it sends them on.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Bounds of a sketch: log2 of its cells.  The largest is a bitmap of 32 MB when it is broadcast.
 LEAST_CELLS, MOST_CELLS = 16, 28
 
