@@ -47,6 +47,16 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches hold at most so many rows in this session.
+
+    A batch of whole texts is held several times at once, by the JVM and by Python; a smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def crc_mod3(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farstray.llm import packed
-from farstray.llm.common import checkpointed, run_hashes, slices, sized, word_hashes, word_spans
+from farstray.llm.common import checkpointed, run_hashes, sized, slices, small_batches, word_hashes, word_spans
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -37,6 +37,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
     counts as larger than every other.  Rows that repeat a doc_id lose nothing to each other.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("owner"), "text")
     bits = packed.log2_cells(packed.text_bytes(texts) // 7)
     bitmap = packed.count_min(texts.select("text"), lambda batch: (h for _, h in windows(batch.column("text"), size)), bits)
