@@ -5,9 +5,8 @@ on the string alone, so equal strings anywhere have equal seeds.  A count-min sk
 once.  The others send the piece of text around them that holds all strings of that anchor to the shard of the seed;
 equal pieces are sent once with their places.  A shard sorts the suffixes of the pieces whose seed has several different
 pieces (Larsson-Sadakane: groups that are not yet told apart are sorted by the ranks a doubling distance ahead), finds the
-common prefixes of neighbours (Kasai, in lanes), and reads off which strings occur twice.  Pieces of one seed that too many
-texts hold are dealt over several shards; each shard then sends the sorted fingerprints of its strings, and shards are
-merged by binary search.
+common prefixes of neighbours (Kasai, in lanes), and reads off which strings occur twice.  As equal strings meet in the shard of
+their seed, shards need no merging; the different pieces of one seed are all sorted by one task.
 """
 
 from __future__ import annotations
@@ -19,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farstray.llm import packed
-from farstray.llm.common import _STEP, BYTE_CODE, _power_tables, checkpointed, mix, sized, slices
+from farstray.llm.common import _STEP, BYTE_CODE, _power_tables, checkpointed, mix, sized, slices, small_batches
 
 SEED = 64
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
+#: About so many bytes of pieces go into one suffix array; the pieces of a seed stay together.
+SHARD_BYTES = 1 << 20
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int):
@@ -193,6 +194,7 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     their own, whatever their doc_id, and lose all their bytes to each other.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), F.xxhash64(text, F.hash(text), F.octet_length(text)).alias("key"), text.alias("text"))
     long = texts.where(F.octet_length("text") >= length)
@@ -266,9 +268,9 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
             elif places[seed, own[0]].shape[1] > 1:  # one piece, in several places: all its strings repeat
                 _spans(places[seed, own[0]], np.zeros(1, dtype=np.int64), np.array([len(own[0]) - length]), length, spans_owner, spans)
         at = 0
-        while at < len(contested):  # whole seeds, a few megabytes at a time
+        while at < len(contested):  # whole seeds, SHARD_BYTES at a time
             end, total = at, 0
-            while end < len(contested) and (total < 4 << 20 or contested[end][0] == contested[end - 1][0]):
+            while end < len(contested) and (total < SHARD_BYTES or contested[end][0] == contested[end - 1][0]):
                 total += len(contested[end][1])
                 end += 1
             group = contested[at:end]
