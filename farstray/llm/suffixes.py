@@ -5,8 +5,9 @@ on the string alone, so equal strings anywhere have equal seeds.  A count-min sk
 once.  The others send the piece of text around them that holds all strings of that anchor to the shard of the seed;
 equal pieces are sent once with their places.  A shard sorts the suffixes of the pieces whose seed has several different
 pieces (Larsson-Sadakane: groups that are not yet told apart are sorted by the ranks a doubling distance ahead), finds the
-common prefixes of neighbours (Kasai, in lanes), and reads off which strings occur twice.  As equal strings meet in the shard of
-their seed, shards need no merging; the different pieces of one seed are all sorted by one task.
+common prefixes of neighbours (Kasai, in lanes), and reads off which strings occur twice.  The
+pieces of a seed that many texts hold are cut into several shards, which are merged by binary search of the fingerprints
+of their strings.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from farstray.llm.common import _STEP, BYTE_CODE, _power_tables, checkpointed, m
 
 SEED = 64
 FLUSH_BYTES = 12 << 20
-#: About so many bytes of pieces go into one suffix array; the pieces of a seed stay together.
+#: About so many bytes of pieces go into one suffix array.
 SHARD_BYTES = 1 << 20
 
 
@@ -138,21 +139,40 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, slot: np.ndarray, most:
     return out
 
 
-def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece, which of its starts begin a string of ``length`` bytes that occurs twice (by weight) in all pieces."""
+def distinct_strings(pieces: list[bytes], weight: np.ndarray, length: int):
+    """Sorted fingerprints and weights of a shard's different strings of ``length`` bytes, and each piece's starts as places among them."""
     text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     sizes = np.array([len(p) for p in pieces])
     offset = np.cumsum(sizes) - sizes
     order, slot = suffix_array(text)
     shared = common_prefixes(text, order, slot, length)
-    of_class = np.cumsum(shared[np.arange(len(text))] < length)  # neighbours that share less begin a new class
+    of_class = np.cumsum(shared < length)  # neighbours that share less begin a new class
     count = sizes - length + 1
     piece = np.repeat(np.arange(len(pieces)), count)
-    place = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + offset[piece]
-    classes = of_class[slot[place]]
+    start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + offset[piece]
+    _, first, classes = np.unique(of_class[slot[start]], return_index=True, return_inverse=True)
     total = np.bincount(classes, weights=weight[piece])
-    twice = total[classes] >= 2
-    return np.split(twice, np.cumsum(count)[:-1])
+    power, inverse = _power_tables(len(text) + 1)
+    sums = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[text] * power[: len(text)])]
+    prints = mix((sums[start[first] + length] - sums[start[first]]) * inverse[start[first]])
+    by = np.argsort(prints)
+    place = np.empty(len(by), dtype=np.int32)
+    place[by] = np.arange(len(by))
+    return prints[by], total[by], np.split(place[classes], np.cumsum(count)[:-1])
+
+
+def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
+    """For each piece, which of its starts begin a string of ``length`` bytes that occurs twice (by weight) in all pieces.
+
+    Pieces are cut into shards of about ``shard_bytes`` with a suffix array each; every shard looks its strings up in the
+    sorted strings of all of them by binary search.
+    """
+    cuts = np.flatnonzero(np.diff(np.cumsum([len(p) for p in pieces]) // shard_bytes)) + 1
+    bounds = [0, *cuts.tolist(), len(pieces)]
+    shards = [distinct_strings(pieces[a:b], weight[a:b], length) for a, b in zip(bounds, bounds[1:])]
+    prints, at = np.unique(np.concatenate([s[0] for s in shards]), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([s[1] for s in shards]))
+    return [total[np.searchsorted(prints, own)][starts] >= 2 for own, _, by_piece in shards for starts in by_piece]
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
