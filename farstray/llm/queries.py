@@ -19,6 +19,10 @@ def op3_jaccard(spark, sf_dir):
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_links(spark, sf_dir):
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_secrets": op9_secrets,
     "op10_suffixes": op10_suffixes,
+    "op3_jaccard_links": op3_jaccard_links,
 }
 
 ORACLES: dict[str, str] = {
@@ -131,3 +136,10 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)""",
 }
+
+#: The same, with the number of other documents that each links with.
+ORACLES["op3_jaccard_links"] = (
+    ORACLES["op3_jaccard"]
+    .replace("SELECT d.doc_id, coalesce(n, 0) AS n_shingles,", "SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(k.n_links, 0) AS n_links,")
+    .replace("FROM d LEFT JOIN n USING (doc_id) JOIN", "FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x) k USING (doc_id) JOIN")
+)

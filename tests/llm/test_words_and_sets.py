@@ -94,6 +94,39 @@ def test_jaccard_threshold_is_inclusive_and_roots_split_into_blocks(spark, monke
     assert dict((r[0], r[2]) for r in found)[2] == 1
 
 
+@pytest.mark.parametrize("block", [3, 128])
+def test_jaccard_makes_all_links(spark, monkeypatch, block):
+    """Groups of different near copies, in which a spanning forest has only some of the links, and copies."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(7)
+    rows = corpus(9)
+    for group in range(3):
+        base = [f"g{group}x{k}" for k in range(60)]
+        for member in range(14):
+            words = list(base)
+            words[rng.randrange(60)] = f"m{member}"
+            rows.append((1000 * (group + 1) + member, " ".join(words)))
+    rows += [(5000, rows[-1][1]), (5001, rows[-1][1])]
+    sets = [frozenset(sets_of(t)) for _, t in rows]
+    similar = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    expected = [(*c[:2], sum(1 for j, b in enumerate(sets) if i != j and similar(sets[i], b)), c[2]) for i, c in enumerate(components(rows))]
+    found = [tuple(r) for r in jaccard.linked_documents(wide(spark, rows)).collect()]
+    assert sorted(found, key=key) == sorted(expected, key=key)
+    links, members = (df.collect() for df in jaccard.similar_links(wide(spark, rows)))
+    assert sorted(((r["doc_id"], r["n_shingles"]) for r in members), key=key) == sorted(((i, len(s)) for (i, _), s in zip(rows, sets)), key=key)
+    of = {r["node"]: r["doc_id"] for r in members if r["node"] is not None and r["doc_id"] is not None}
+    text = {i: frozenset(sets_of(t)) for i, t in rows}
+    pairs = [frozenset((text[of[r["a"]]], text[of[r["b"]]])) for r in links]
+    distinct = list(set(s for s in sets if s))
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {frozenset((a, b)) for i, a in enumerate(distinct) for b in distinct[:i] if similar(a, b)}
+
+
+def test_jaccard_links_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert jaccard.linked_documents(empty).collect() == [] and all(df.collect() == [] for df in jaccard.similar_links(empty))
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.similar_components(spark.createDataFrame([], DOCS)).collect() == []
 
