@@ -86,7 +86,11 @@ def log2_cells(items: int) -> int:
 
 
 def count_min(source: DataFrame, items: Callable[[object], Iterable[np.ndarray]], bits: int, least: int = 2) -> np.ndarray:
-    """A bitmap of the cells whose count over all partitions reaches ``least``.
+    return count_mins(source, items, bits, [least])[0]
+
+
+def count_mins(source: DataFrame, items: Callable[[object], Iterable[np.ndarray]], bits: int, leasts: list[int]) -> list[np.ndarray]:
+    """For each ``least`` (255 at most) a bitmap of the cells whose count over all partitions reaches ``least``.
 
     ``items(batch)`` yields arrays of fingerprints.  Each task counts by cell (a sketch of one row, kept sparse) and
     sends ranges of cells with their counts; counts are added up range by range.  A fingerprint whose cell isn't marked
@@ -137,14 +141,14 @@ def count_min(source: DataFrame, items: Callable[[object], Iterable[np.ndarray]]
             steps = raw[: 4 * n].reshape(4, n).T.copy().view(np.uint32).reshape(-1)
             at = np.cumsum(steps, dtype=np.int64)
             total[at] += np.minimum(raw[4 * n :], 255 - total[at])
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["range", "bitmap"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([b"".join(np.packbits(total >= least).tobytes() for least in leasts)], pa.binary())], names=["range", "bitmap"])
 
     rows = source.mapInArrow(count, "range int, data binary")
-    out = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
+    out = np.zeros((len(leasts), max(1, (1 << bits) // 8)), dtype=np.uint8)
     each = width // 8
-    for r in by_range(rows, add, "range int, bitmap binary").toLocalIterator():  # bounded: all of them are the bitmap
-        out[r["range"] * each : (r["range"] + 1) * each] = np.frombuffer(r["bitmap"], dtype=np.uint8)
-    return out
+    for r in by_range(rows, add, "range int, bitmap binary").toLocalIterator():  # bounded: all of them are the bitmaps
+        out[:, r["range"] * each : (r["range"] + 1) * each] = np.frombuffer(r["bitmap"], dtype=np.uint8).reshape(len(leasts), each)
+    return list(out)
 
 
 def marked(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:

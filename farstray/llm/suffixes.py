@@ -5,9 +5,10 @@ on the string alone, so equal strings anywhere have equal seeds.  A count-min sk
 once.  The others send the piece of text around them that holds all strings of that anchor to the shard of the seed;
 equal pieces are sent once with their places.  A shard sorts the suffixes of the pieces whose seed has several different
 pieces (Larsson-Sadakane: groups that are not yet told apart are sorted by the ranks a doubling distance ahead), finds the
-common prefixes of neighbours (Kasai, in lanes), and reads off which strings occur twice.  The
-pieces of a seed that many texts hold are cut into several shards, which are merged by binary search of the fingerprints
-of their strings.
+common prefixes of neighbours (Kasai, in lanes), and reads off which strings occur twice.  The pieces of a seed that many
+texts hold are dealt over all shards by a hash of the piece: each shard sends the fingerprints of its different strings
+with their weights, a second shuffle adds them up by fingerprint, and the repeated ones go back to the shards that have
+them.  The number of shards follows the size of the texts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ SEED = 64
 FLUSH_BYTES = 12 << 20
 #: About so many bytes of pieces go into one suffix array.
 SHARD_BYTES = 1 << 20
+#: A seed that so many texts hold (255 at most) is dealt over several shards.
+HOT = 200
+#: Bytes of text for each shard, beyond the least number of shards.
+TEXT_BYTES = 4 << 20
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int):
@@ -175,6 +180,17 @@ def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int, shard_
     return [total[np.searchsorted(prints, own)][starts] >= 2 for own, _, by_piece in shards for starts in by_piece]
 
 
+def string_prints(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """For each piece, the fingerprints of the strings of ``length`` bytes at its starts, as ``distinct_strings`` has them."""
+    out = []
+    for piece in pieces:
+        text = np.frombuffer(piece, dtype=np.uint8)
+        power, inverse = _power_tables(len(text) + 1)
+        sums = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[text] * power[: len(text)])]
+        out.append(mix((sums[length:] - sums[:-length]) * inverse[: len(text) - length + 1]))
+    return out
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last places of the runs of True."""
     edge = np.diff(np.r_[0, mask.astype(np.int8), 0])
@@ -206,6 +222,55 @@ def _unpack(data: bytes):
         yield int(seeds[i]), data[ends[i] - size[i] : ends[i]], owner[cuts[i] - count[i] : cuts[i]], start[cuts[i] - count[i] : cuts[i]]
 
 
+def _places(parts: list[bytes]) -> dict[tuple[int, bytes], np.ndarray]:
+    """The different places (owners, starts) of each (seed, piece)."""
+    found: dict[tuple[int, bytes], list] = {}
+    for part in parts:
+        for seed, piece, owner, start in _unpack(part):
+            found.setdefault((seed, piece), []).append((owner, start))
+    return {k: np.unique(np.stack([np.concatenate([o for o, _ in x]), np.concatenate([s for _, s in x]).astype(np.int64)]), axis=1) for k, x in found.items()}
+
+
+def _batches(pieces: list[bytes]):
+    """Bounds of runs of pieces of about ``SHARD_BYTES``."""
+    cuts = np.flatnonzero(np.diff(np.cumsum([len(p) for p in pieces]) // SHARD_BYTES)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(pieces)])
+
+
+def _repeated(hot: DataFrame, shards: int, length: int) -> DataFrame:
+    """(range, data) with the sorted fingerprints of each shard's strings that occur twice in all shards.
+
+    A shard sends every different string once with its weight, so a fingerprint's group has at most one row for each
+    suffix array.
+    """
+
+    def send(shard, parts):
+        import pyarrow as pa
+
+        places = _places(parts)
+        names = list(places)
+        for a, b in _batches([p for _, p in names]):
+            prints, total, _ = distinct_strings([p for _, p in names[a:b]], np.array([places[n].shape[1] for n in names[a:b]], dtype=float), length)
+            to = packed.ranges(prints, shards)
+            cuts = np.searchsorted(to, np.arange(shards + 1))  # prints are sorted, and so are their ranges
+            keys = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
+            data = [packed.pack_pairs(np.full(cuts[k + 1] - cuts[k], shard), prints[cuts[k] : cuts[k + 1]], total[cuts[k] : cuts[k + 1]].astype(np.uint64)) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["range", "data"])
+
+    def add(_, parts):
+        import pyarrow as pa
+
+        shard, prints, weight = map(np.concatenate, zip(*map(packed.unpack_pairs, parts)))
+        _, at = np.unique(prints, return_inverse=True)
+        twice = np.bincount(at, weights=weight)[at] >= 2
+        shard, prints = shard[twice], prints[twice]
+        keys = np.unique(shard).tolist()
+        data = [packed.squeeze(np.unique(prints[shard == k]).tobytes()) for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["range", "data"])
+
+    return packed.by_range(packed.by_range(hot, send, "range int, data binary"), add, "range int, data binary")
+
+
 def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept`` with ``keep_bytes``) of every document.
 
@@ -236,8 +301,8 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     size = packed.text_bytes(long)
     bits = packed.log2_cells(size // 16)
     source = long.select("row", "key", "text")
-    sketch = spark.sparkContext.broadcast(packed.count_min(source, lambda batch: (a[0] for *_, a in pieces(batch)), bits))
-    shards = 4 * packed.partitions(docs)
+    sketch, often = map(spark.sparkContext.broadcast, packed.count_mins(source, lambda batch: (a[0] for *_, a in pieces(batch)), bits, [2, HOT]))
+    shards = max(4 * packed.partitions(docs), -(-size // TEXT_BYTES))
 
     def send(batches):
         import pyarrow as pa
@@ -246,12 +311,16 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
 
         def flush():
             names = list(held)
-            to = packed.ranges(np.array([s for s, _ in names], dtype=np.uint64), shards)
-            parts: dict[int, dict] = {}
-            for name, k in zip(names, to.tolist()):
-                parts.setdefault(k, {})[name] = held[name]
+            deal = np.array([s for s, _ in names], dtype=np.uint64)
+            hot = packed.marked(often.value, bits, deal)
+            for i in np.flatnonzero(hot).tolist():
+                deal[i] = int.from_bytes(hashlib.blake2b(names[i][1], digest_size=8).digest(), "big")
+            parts: dict[tuple[int, bool], dict] = {}
+            for name, k, h in zip(names, packed.ranges(deal, shards).tolist(), hot.tolist()):
+                parts.setdefault((k, h), {})[name] = held[name]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([_pack(p) for p in parts.values()], pa.binary())], names=["range", "data"])
+            columns = [pa.array([k for k, _ in parts], pa.int32()), pa.array([h for _, h in parts]), pa.array([_pack(p) for p in parts.values()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "hot", "data"])
 
         waiting = 0
         for batch in batches:
@@ -271,15 +340,10 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
             yield flush()
 
     def judge(_, parts):
-        found: dict[tuple[int, bytes], list] = {}
-        for part in parts:
-            for seed, piece, owner, start in _unpack(part):
-                found.setdefault((seed, piece), []).append((owner, start))
         spans_owner, spans = [], []
-        places, seeds = {}, {}
-        for (seed, piece), occurrences in found.items():
-            pairs = np.unique(np.stack([np.concatenate([o for o, _ in occurrences]), np.concatenate([s for _, s in occurrences]).astype(np.int64)]), axis=1)
-            places[seed, piece] = pairs
+        seeds = {}
+        places = _places([p[1:] for p in parts if p[:1] == b"0"])
+        for seed, piece in places:
             seeds.setdefault(seed, []).append(piece)
         contested = []
         for seed, own in seeds.items():
@@ -299,11 +363,23 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
                 if mask.any():
                     _spans(places[g], *runs(mask), length, spans_owner, spans)
             at = end
+        dealt = _places([p[1:] for p in parts if p[:1] == b"1"])
+        twice = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(packed.unsqueeze(p[1:]), dtype=np.uint64) for p in parts if p[:1] == b"2")]))
+        if len(twice):
+            for name, prints in zip(dealt, string_prints([p for _, p in dealt], length)):
+                mask = twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints
+                if mask.any():
+                    _spans(dealt[name], *runs(mask), length, spans_owner, spans)
         owner = np.concatenate(spans_owner) if spans_owner else np.zeros(0, dtype=np.int64)
         value = np.concatenate(spans) if spans else np.zeros(0, dtype=np.uint64)
         yield owner, value
 
-    rows = source.mapInArrow(send, "range int, data binary")
+    sent = checkpointed(source.mapInArrow(send, "range int, hot boolean, data binary"))
+    hot = sent.where("hot").select("range", "data")
+    marks = _repeated(hot, shards, length)
+    kinds = ((sent.where("not hot"), b"0"), (hot, b"1"), (marks, b"2"))
+    cold, dealt, back = (df.select("range", F.concat(F.lit(bytearray(kind)), "data").alias("data")) for df, kind in kinds)
+    rows = cold.unionByName(dealt).unionByName(back)
     spans = checkpointed(packed.answered(rows, judge, "key", ["spans"]))
     # copies are removed whole and need no spans
     small = texts.join(sized(copied, 1_000_000), "key", "left").withColumn("whole", F.col("copies").isNotNull()).drop("copies", "row")

@@ -70,6 +70,30 @@ def test_suffix_dedup(spark, seed):
     assert sorted(found) == sorted(without_repeats(rows))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup_deals_frequent_seeds(spark, monkeypatch, seed):
+    """A run of bytes with other surroundings in every text: its pieces go to many shards, and the result is the same."""
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 2000)
+    rng = random.Random(seed)
+    common = "".join(rng.choice("abcdefgh") for _ in range(230))
+    rows = random_texts(seed)
+    for i in range(100, 180):
+        a = rng.randrange(40)
+        before, behind = ("".join(rng.choice("abcdefgh") for _ in range(150)) for _ in range(2))
+        rows.append((i, before + common[a : a + rng.choice([64, 150, 199, 200, 201])] + behind))
+    shards = []
+    repeated = suffixes._repeated
+
+    def counted(hot, n, length):
+        shards.append(hot.select("range").distinct().count())
+        return repeated(hot, n, length)
+
+    monkeypatch.setattr(suffixes, "_repeated", counted)
+    found = [tuple(r) for r in suffixes.remove_substrings(wide(spark, rows)).collect()]
+    assert sorted(found) == sorted(without_repeats(rows)) and shards[0] > 4
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.remove_substrings(spark.createDataFrame([], DOCS)).collect() == []
 
