@@ -1,4 +1,4 @@
-"""Local outlier factor against a bounded reference sample (all rows, where they fit in it)."""
+"""Local outlier factor: a model of a bounded reference sample (all rows, where they fit in it), and exact scores of all rows."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from farstray.operators.scoring import PLACES
 
-NEIGHBOURS, REFERENCE_ROWS = 20, 5000
+NEIGHBOURS = 20
+#: Rows of a block of the exact scores.
+BLOCK = 2000
 TINY = 1e-10
 
 
@@ -51,7 +53,7 @@ class LofModel:
 
 
 def fit_lof(sample: DataFrame, names: list[str], key: Column, neighbours: int = NEIGHBOURS) -> LofModel:
-    """``sample`` has at most ``REFERENCE_ROWS`` rows; its neighbours are found in tasks against its broadcast."""
+    """``sample`` is bounded; its neighbours are found in tasks against its broadcast."""
     spark = sample.sparkSession
     plain = sample.select(key.cast("string").alias("key"), *(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names))).dropna()
     rows = plain.toPandas().sort_values("key", kind="stable")
@@ -72,3 +74,37 @@ def fit_lof(sample: DataFrame, names: list[str], key: Column, neighbours: int =
     far = d[:, -1]
     density = 1 / (np.maximum(d, far[at]).mean(axis=1) + TINY)
     return LofModel(spark.sparkContext.broadcast((keys, reference, far, density, k)))
+
+
+def exact_lof(df: DataFrame, names: list[str], key: str, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``key`` and lof of every row without nulls, among all of them; keys are distinct.
+
+    Rows are dealt into blocks, and every pair of blocks is a task's group: its nearest rows are merged by row.
+    """
+    points = df.select(F.col(f"`{key}`").alias("i"), F.col(f"`{key}`").cast("string").alias("name"), F.array(*(F.col(f"`{c}`").cast("double") for c in names)).alias("x")).where(~F.exists("x", F.isnull))
+    n = points.count()
+    k = min(neighbours, max(1, n - 1)) if n <= 2 else min(neighbours, max(2, n - 1))
+    blocks = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = points.select("i", "name", "x", block.alias("q")).withColumn("r", other)
+    reference = points.select("name", "x", block.alias("r")).withColumn("q", other)
+
+    def pair(rows: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(reference):
+            return pd.DataFrame({"i": [], "j": [], "d": []})
+        reference = reference.sort_values("name", kind="stable")
+        keys = reference["name"].to_numpy()
+        at, d = nearest(np.vstack(rows["x"].to_numpy()), rows["name"].to_numpy(), keys, np.vstack(reference["x"].to_numpy()), k)
+        found = pd.DataFrame({"i": np.repeat(rows["name"].to_numpy(), at.shape[1]), "j": keys[at.reshape(-1)], "d": d.reshape(-1)})
+        return found[np.isfinite(found["d"])]
+
+    near = rows.groupBy("q", "r").cogroup(reference.groupBy("q", "r")).applyInPandas(pair, "i string, j string, d double")
+    best = near.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, k).alias("near"))
+    # a row's k-distance is its last neighbour's; blocks x k candidates a row, k of them kept
+    best = best.select("i", "near", F.element_at("near", -1)["d"].alias("far")).persist()
+    links = best.select("i", F.explode("near").alias("e")).select("i", F.col("e.j").alias("j"), F.col("e.d").alias("d"))
+    reach = links.join(best.select(F.col("i").alias("j"), "far"), "j").groupBy("i").agg((1 / (F.avg(F.greatest("d", "far")) + TINY)).alias("density")).persist()
+    around = links.join(reach.select(F.col("i").alias("j"), F.col("density").alias("theirs")), "j").groupBy("i").agg(F.avg("theirs").alias("theirs"))
+    scored = around.join(reach, "i").select(F.col("i").alias("name"), F.round(F.col("theirs") / F.col("density"), PLACES).alias("lof"))
+    return points.join(scored, "name").select(F.col("i").alias(key), "lof")

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from farstray.operators.scoring import PLACES
 
-SAMPLE_ROWS = 2000
-
 
 def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0))

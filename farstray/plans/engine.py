@@ -59,30 +59,39 @@ class Detector:
         return out.select(*(F.col(f"`{c}`") for c in df.columns), "anomaly_score", "is_outlier")
 
 
-def fit_model(algorithm: str, sample: DataFrame, names: list[str], key: Column, rows: int, contamination: float):
+def fit_model(algorithm: str, everything: DataFrame, sample: DataFrame, names: list[str], key: Column, rows: int, settings: Settings):
+    """HBOS counts ``everything``, the others learn from ``sample``."""
+    contamination = settings.contamination
     if algorithm == "hbos":
-        return hbos.fit_hbos(sample, names)
+        return hbos.fit_hbos(everything, names)
     if algorithm == "iforest":
         return forest.fit_forest(sample, names)
     if algorithm == "lof":
-        return lof.fit_lof(sample.limit(lof.REFERENCE_ROWS), names, key)
+        return lof.fit_lof(sample.limit(settings.lof_reference_rows), names, key)
     if algorithm == "cblof":
         return cblof.fit_cblof(sample, names, rows)
     if algorithm == "ocsvm":
-        return ocsvm.fit_ocsvm(sample.limit(ocsvm.SAMPLE_ROWS), names, contamination)
+        return ocsvm.fit_ocsvm(sample.limit(settings.ocsvm_sample_rows), names, contamination)
     if algorithm == "ensemble":
         members = []
         for member in ENSEMBLE:
-            model = fit_model(member, sample, names, key, rows, contamination)
-            bounds = scoring.fit_bounds(sample.select(model.raw(names, key).alias("raw")), contamination)
+            model = fit_model(member, everything, sample, names, key, rows, settings)
+            bounds = bounds_of_all(model, everything, names, key, contamination)
             if bounds:
                 members.append((model, bounds))
         return EnsembleModel(tuple(members))
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
+def bounds_of_all(model, everything: DataFrame, names: list[str], key: Column | None, contamination: float) -> scoring.Bounds | None:
+    scores = everything.select(model.raw(names, key).alias("raw")).persist()
+    bounds = scoring.fit_bounds(scores, contamination)
+    scores.unpersist()
+    return bounds
+
+
 def fit_detector(df: DataFrame, algorithm: str, settings: Settings = Settings(), names: list[str] | None = None, key: str | None = None) -> Detector:
-    """Fit features on all rows and the model on a bounded uniform sample (all rows, if they fit).
+    """Fit features, histograms and score bounds on all rows and other models on a bounded uniform sample (all rows, if they fit).
 
     With ``incremental`` the model sees all rows.  Without a varying feature, or with fewer than two rows, nothing is
     flagged.  ``key`` names the column that orders the sample and, for LOF, tells a row from its neighbours.
@@ -106,8 +115,8 @@ def fit_detector(df: DataFrame, algorithm: str, settings: Settings = Settings(),
     if rows < 2:
         return Detector(algorithm, features, None, None, key)
     key_column = F.col("__key") if key else F.xxhash64(*columns)
-    model = fit_model(algorithm, sample, columns, key_column, rows, settings.contamination)
-    bounds = scoring.fit_bounds(sample.select(model.raw(columns, key_column if key else None).alias("raw")), settings.contamination)
+    model = fit_model(algorithm, keyed, sample, columns, key_column, rows, settings)
+    bounds = bounds_of_all(model, keyed, columns, key_column if key else None, settings.contamination)
     sample.unpersist()
     return Detector(algorithm, features, model, bounds, key)
 

@@ -248,9 +248,7 @@ _LOF = """
 @query(None)
 def lof_scores(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    sample = uniform_sample(df, lof.REFERENCE_ROWS, ["c_custkey"])
-    model = lof.fit_lof(sample, ["c_acctbal"], F.col("c_custkey"))
-    return df.select("c_custkey", (F.round(model.raw(["c_acctbal"], F.col("c_custkey")), 4) + F.lit(0.0)).alias("lof"))
+    return lof.exact_lof(df, ["c_acctbal"], "c_custkey").select("c_custkey", (F.round("lof", 4) + F.lit(0.0)).alias("lof"))
 
 
 ORACLES["lof_scores"] = _LOF

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farstray.config import Settings
 from farstray.functions.quantiles import exact_quantiles
-from farstray.operators import categorical, features
+from farstray.operators import categorical, features, lof
 from farstray.operators.profile import profile
 from farstray.plans import cli, engine, route
 from farstray.sources import csv_files
@@ -37,6 +37,30 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
     assert sorted(found.select("id", "anomaly_score", "is_outlier").collect()) == sorted(one.select("id", "anomaly_score", "is_outlier").collect())
 
 
+@pytest.mark.parametrize("algorithm", ["hbos", "lof"])
+def test_bounds_and_histograms_cover_more_rows_than_the_sample(spark, algorithm):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, rng.gauss(50, 10)) for i in range(2500)], "id long, amount double").repartition(3)
+    detector = lambda rows: engine.fit_detector(df, algorithm, Settings(global_sample_rows=rows, clip=False), ["amount"], "id")
+    few, scores = detector(1000), [r["raw"] for r in detector(1000).raw_scores(df).collect()]
+    assert (few.bounds.low, few.bounds.high) == (min(scores), max(scores))
+    assert few.bounds.threshold == pytest.approx(sorted(scores)[int(0.95 * 2499)], abs=0.05)
+    if algorithm == "hbos":
+        assert few.model == detector(50_000).model
+
+
+def test_lof_of_all_rows_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(lof, "BLOCK", 30)
+    rng = random.Random(4)
+    rows = [(i, float(rng.randrange(40)), rng.random()) for i in range(150)]
+    found = dict(map(tuple, lof.exact_lof(spark.createDataFrame(rows + [(900, None, 1.0)], "id long, x double, y double").repartition(3), ["x", "y"], "id").collect()))
+    near = {}
+    for i, x, y in rows:
+        near[i] = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, str(j), j) for j, a, b in rows if j != i)[:20]
+    density = {i: 1 / (sum(max(d, near[j][-1][0]) for d, _, j in e) / 20 + 1e-10) for i, e in near.items()}
+    assert found == pytest.approx({i: sum(density[j] for *_, j in e) / 20 / density[i] for i, e in near.items()})
+
+
 @pytest.mark.parametrize("rows, schema", [([("a",), ("b",), ("c",)], "name string"), ([(42.0,)], "val double"), ([(None,)] * 3, "val double"), ([], "val double")])
 def test_degenerate_tables_are_not_flagged(spark, rows, schema):
     out = engine.detect(spark.createDataFrame(rows, schema)).scored.collect()
