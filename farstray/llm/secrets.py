@@ -1,6 +1,6 @@
 """Secrets in texts by patterns and by a battery of randomness tests, in DataFrame operations only.
 
-Strings of 20 or more key characters that mix letters and digits are tested for being random in the alphabet they seem
+Strings of 20 or more key characters that mix letters and digits (or cases, as no words do) are tested for being random in the alphabet they seem
 to be written in: chi-squared uniformity of its characters, runs above and below the middle of the alphabet, and
 correlation of neighbours.  "It is random" is the hypothesis; within each length class (powers of two, as long strings
 give the tests more power) the Benjamini-Hochberg procedure says which strings are not, and the others are secrets.
@@ -19,9 +19,10 @@ KINDS = {
 }
 #: The same texts and no fewer, as a quick test.
 SCREEN = {"assign": KINDS["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-CANDIDATE = r"([A-Za-z0-9+/_=-]+)"
+#: Key characters, with padding at the end only: of NAME=value each side is a candidate of its own.
+CANDIDATE = r"([A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
 SHORTEST = 20
-CANDIDATE_SCREEN = r"[A-Za-z0-9+/_=-]{20}"
+CANDIDATE_SCREEN = r"[A-Za-z0-9+/_-]{20}"
 #: Alphabets by name, in the order in which they are tried.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -61,12 +62,18 @@ def _upper_tail(z: F.Column) -> F.Column:
 
 
 def randomness(token: F.Column) -> F.Column:
-    """The p-value of "the characters are random", null for what no alphabet fits or has no letter or no digit."""
+    """The p-value of "the characters are random", null for what no alphabet fits or lacks kinds of characters that random strings have.
+
+    Alphabets of one case ask for a letter and a digit.  In those of both cases one random string of
+    20 in thirty has no digit; without one the case must change at a third of the places, as it doesn't in words.
+    """
     fits = [(F.length(F.translate(token, a + "=", "")) == 0, a) for a in ALPHABETS.values()]
     alphabet = F.lit(None).cast("string")
     for ok, a in reversed(fits):
         alphabet = F.when(ok, F.lit(a)).otherwise(alphabet)
-    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    changes = F.regexp_count(token, F.lit("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"))
+    digit = token.rlike("[0-9]")
+    mixed = F.when(F.length(alphabet) == 64, digit & token.rlike("[A-Za-z]") | (3 * changes >= F.length(token))).otherwise(digit & token.rlike("[A-Za-z]"))
     body = F.rtrim(F.translate(token, "=", " "))
     setup = F.struct(alphabet.alias("a"), F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double")).alias("x"))
 

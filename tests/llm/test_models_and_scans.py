@@ -158,6 +158,17 @@ def test_secret_spans(spark):
     assert random_keys >= 10 and missed <= 0.2 * random_keys
 
 
+def test_values_of_env_files_and_keys_without_digits(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    padded, letters = "q83vEjRWeJCrze8SNFZ4kKvN7xI=", "kXpzQRbwvLLsTghmYCNdj"
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"SIGNING={padded} end", f"it is {letters} there", "someVeryLongIdentifierName InternationalizationOfTheWorld home/User/Documents/Letters"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    at = [t.index(k) for t, k in zip(texts, (key, padded, letters))]
+    assert found == {i: f"random:{a}:{a + len(k)}" for i, (a, k) in enumerate(zip(at, (key, padded, letters)))} | {3: ""}
+    assert secrets.redact(docs).where("doc_id = 0").first()["text"] == "AWS_SECRET_ACCESS_KEY=[secret]"
+
+
 def test_secrets_of_nothing_and_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     out = secrets.scan(docs)
