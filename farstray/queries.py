@@ -396,7 +396,7 @@ def explain_hbos_shapley(spark, sf_dir):
 @query(None)
 def explain_iforest_shapley(spark, sf_dir):
     df, d = _detector(spark, sf_dir, "iforest")
-    return _flat(engine.explained(d, df, "p_partkey", 20))
+    return _flat(engine.explained(d, df, "p_partkey", Settings().max_explain_rows))
 
 
 @query("""

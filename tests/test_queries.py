@@ -38,3 +38,8 @@ def test_detectors_score_every_part(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count()
     assert all(0 <= r["anomaly_score"] <= 1 for r in rows) and 0 < sum(r["is_outlier"] for r in rows) < len(rows) / 3
+
+
+def test_forest_explains_as_many_rows_as_the_settings_say(spark):
+    flagged = QUERIES["iforest_outliers"](spark, SF).where("is_outlier").count()
+    assert flagged > 20 and QUERIES["explain_iforest_shapley"](spark, SF).select("row_index").distinct().count() == min(flagged, 100)
