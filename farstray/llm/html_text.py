@@ -19,9 +19,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Fixed values of HTML: inline elements don't end a block, void ones have no content, raw ones no markup.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas video audio".split())
+RAW = frozenset("script style template".split())
+#: Their content is text or fallback text; the only ones that a slash may close at once.
+EMBEDDED = frozenset("noscript iframe object svg canvas video audio".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -84,7 +86,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
             continue
-        if tag == "hr":
+        if tag == "hr" or tag in EMBEDDED and found.group(2).endswith("/"):
             continue
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         while stack and stack[-1][0] in closes:

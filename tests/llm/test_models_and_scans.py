@@ -110,6 +110,12 @@ def test_leaf_blocks_of_odd_markup():
     assert texts("<script>never closed <p>x") == []
 
 
+def test_formulas_and_fallback_texts_are_read():
+    blocks = html_text.leaf_blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<video src='v'><p>a film</p></video><svg/><object><style>p{}</style>a chart</object><p>end")
+    assert [b.text for b in blocks] == ["so x=2 holds", "a film", "a chart", "end"]
+    assert "<video" in blocks[1].path and "<object" in blocks[2].path and "<svg" not in blocks[3].path
+
+
 # --- secrets ----------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
