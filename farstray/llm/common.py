@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A join side of at most this many rows may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of an Arrow batch of texts; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -47,14 +50,24 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def sized_bytes(df: DataFrame, column: str, limit: int = 16 << 20) -> DataFrame:
+    """Mark a checkpointed join side for broadcast if its rows, of which ``column`` varies in length, take ``limit`` bytes at most."""
+    size = df.agg(F.sum(F.octet_length(column)) + 64 * F.count("*")).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches hold at most so many rows in this session.
+    """Let Arrow batches hold at most so many rows and about ``BATCH_BYTES`` in this session.
 
-    A batch of whole texts is held several times at once, by the JVM and by Python; a smaller setting of the session stays.
+    A batch of whole texts is held several times at once, by the JVM and by Python; smaller row limits of the session stay,
+    and so does any byte limit but Spark's own.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's own
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def crc_mod3(column: str) -> F.Column:

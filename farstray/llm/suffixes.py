@@ -1,9 +1,9 @@
 """Suffix-array dedup of long byte strings.
 
 Every string of ``length`` bytes holds an anchor: the 64-byte seed of least hash in it, the leftmost on a tie.  It depends
-on the string alone, so equal strings anywhere have equal seeds.  A count-min sketch drops the anchors whose seed occurs
-once.  The others send the piece of text around them that holds all strings of that anchor to the shard of the seed;
-equal pieces are sent once with their places.  A shard sorts the suffixes of the pieces whose seed has several different
+on the string alone, so equal strings anywhere have equal seeds.  Seeds alone are grouped first, and anchors whose seed
+occurs once are dropped.  The others send the piece of text around them that holds all strings of that anchor to the shard
+of the seed; equal pieces are sent once with their places.  A shard sorts the suffixes of the pieces whose seed has several different
 pieces (Larsson-Sadakane: groups that are not yet told apart are sorted by the ranks a doubling distance ahead), finds the
 common prefixes of neighbours (Kasai, in lanes), and reads off which strings occur twice.  The pieces of a seed that many
 texts hold are dealt over all shards by a hash of the piece: each shard sends the fingerprints of its different strings
@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farstray.llm import packed
-from farstray.llm.common import _STEP, BYTE_CODE, _power_tables, checkpointed, mix, sized, slices, small_batches
+from farstray.llm.common import _STEP, BYTE_CODE, _power_tables, checkpointed, mix, sized, sized_bytes, slices, small_batches
 
 SEED = 64
 FLUSH_BYTES = 12 << 20
 #: About so many bytes of pieces go into one suffix array.
 SHARD_BYTES = 1 << 20
-#: A seed that so many texts hold (255 at most) is dealt over several shards.
+#: A seed with so many anchors is dealt over several shards.
 HOT = 200
+#: So many string starts of a very long text are looked at at a time.
+LONG = 1 << 20
 #: Bytes of text for each shard, beyond the least number of shards.
 TEXT_BYTES = 4 << 20
 
@@ -59,7 +61,8 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int):
     new = np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(starts)] - 1
-    return seed[at[first]], starts[first], starts[last], row_of[starts[first]]
+    # least hashes crowd at the low end: mixed again, they are even
+    return mix(seed[at[first]]), starts[first], starts[last], row_of[starts[first]]
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -144,17 +147,22 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, slot: np.ndarray, most:
     return out
 
 
-def distinct_strings(pieces: list[bytes], weight: np.ndarray, length: int):
-    """Sorted fingerprints and weights of a shard's different strings of ``length`` bytes, and each piece's starts as places among them."""
-    text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    sizes = np.array([len(p) for p in pieces])
-    offset = np.cumsum(sizes) - sizes
+def _prints(text: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """The fingerprints of the strings of ``length`` bytes at all starts of the pieces that lie one after the other in ``text``."""
+    start = spread(np.cumsum(sizes) - sizes, sizes - length + 1)
+    power, inverse = _power_tables(len(text) + 1)
+    sums = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[text] * power[: len(text)])]
+    return mix((sums[start + length] - sums[start]) * inverse[start])
+
+
+def _strings(text: np.ndarray, sizes: np.ndarray, weight: np.ndarray, length: int):
+    """Sorted fingerprints and weights of a shard's different strings of ``length`` bytes, and each start's place among them."""
     order, slot = suffix_array(text)
     shared = common_prefixes(text, order, slot, length)
     of_class = np.cumsum(shared < length)  # neighbours that share less begin a new class
     count = sizes - length + 1
-    piece = np.repeat(np.arange(len(pieces)), count)
-    start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + offset[piece]
+    piece = np.repeat(np.arange(len(sizes)), count)
+    start = spread(np.cumsum(sizes) - sizes, count)
     _, first, classes = np.unique(of_class[slot[start]], return_index=True, return_inverse=True)
     total = np.bincount(classes, weights=weight[piece])
     power, inverse = _power_tables(len(text) + 1)
@@ -163,7 +171,7 @@ def distinct_strings(pieces: list[bytes], weight: np.ndarray, length: int):
     by = np.argsort(prints)
     place = np.empty(len(by), dtype=np.int32)
     place[by] = np.arange(len(by))
-    return prints[by], total[by], np.split(place[classes], np.cumsum(count)[:-1])
+    return prints[by], total[by], place[classes]
 
 
 def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -172,69 +180,116 @@ def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int, shard_
     Pieces are cut into shards of about ``shard_bytes`` with a suffix array each; every shard looks its strings up in the
     sorted strings of all of them by binary search.
     """
-    cuts = np.flatnonzero(np.diff(np.cumsum([len(p) for p in pieces]) // shard_bytes)) + 1
+    sizes = np.array([len(p) for p in pieces])
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // shard_bytes)) + 1
     bounds = [0, *cuts.tolist(), len(pieces)]
-    shards = [distinct_strings(pieces[a:b], weight[a:b], length) for a, b in zip(bounds, bounds[1:])]
+    shards = [_strings(np.frombuffer(b"".join(pieces[a:b]), dtype=np.uint8), sizes[a:b], weight[a:b], length) for a, b in zip(bounds, bounds[1:])]
     prints, at = np.unique(np.concatenate([s[0] for s in shards]), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([s[1] for s in shards]))
-    return [total[np.searchsorted(prints, own)][starts] >= 2 for own, _, by_piece in shards for starts in by_piece]
+    twice = np.concatenate([(total[np.searchsorted(prints, own)] >= 2)[starts] for own, _, starts in shards])
+    return np.split(twice, np.cumsum(sizes - length + 1)[:-1])
 
 
-def string_prints(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece, the fingerprints of the strings of ``length`` bytes at its starts, as ``distinct_strings`` has them."""
-    out = []
-    for piece in pieces:
-        text = np.frombuffer(piece, dtype=np.uint8)
-        power, inverse = _power_tables(len(text) + 1)
-        sums = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[text] * power[: len(text)])]
-        out.append(mix((sums[length:] - sums[:-length]) * inverse[: len(text) - length + 1]))
-    return out
-
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all (start, size) pieces of ``data``, one piece after the other."""
+    ends = np.cumsum(size)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last places of the runs of True."""
-    edge = np.diff(np.r_[0, mask.astype(np.int8), 0])
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for ``count[i]`` places, one i after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
-def _pack(items: dict[tuple[int, bytes], list[tuple[int, int]]]) -> bytes:
-    seeds = np.array([s for s, _ in items], dtype=np.uint64)
-    size = np.array([len(p) for _, p in items], dtype=np.uint32)
-    count = np.array([len(o) for o in items.values()], dtype=np.uint32)
-    owner = np.array([t for o in items.values() for t, _ in o], dtype=np.int64)
-    start = np.array([s for o in items.values() for _, s in o], dtype=np.uint32)
-    head = np.array([len(items), len(owner)], dtype=np.int64)
-    return packed.squeeze(b"".join([head.tobytes(), seeds.tobytes(), size.tobytes(), count.tobytes(), owner.tobytes(), start.tobytes(), *(p for _, p in items)]))
 
+class Pieces:
+    """Different (seed, piece) items in the order of their seeds, and the places (owner, start) that each is found at.
 
-def _unpack(data: bytes):
-    data = packed.unsqueeze(data)
-    n, m = np.frombuffer(data, dtype=np.int64, count=2).tolist()
-    at = 16
-    parts = []
-    for dtype, k in ((np.uint64, n), (np.uint32, n), (np.uint32, n), (np.int64, m), (np.uint32, m)):
-        parts.append(np.frombuffer(data, dtype=dtype, count=k, offset=at))
-        at += parts[-1].nbytes
-    seeds, size, count, owner, start = parts
-    ends = np.cumsum(size, dtype=np.int64) + at
-    cuts = np.cumsum(count, dtype=np.int64)
-    for i in range(n):
-        yield int(seeds[i]), data[ends[i] - size[i] : ends[i]], owner[cuts[i] - count[i] : cuts[i]], start[cuts[i] - count[i] : cuts[i]]
-
-
-def _places(parts: list[bytes]) -> dict[tuple[int, bytes], np.ndarray]:
-    """The different places (owners, starts) of each (seed, piece)."""
-    found: dict[tuple[int, bytes], list] = {}
-    for part in parts:
-        for seed, piece, owner, start in _unpack(part):
-            found.setdefault((seed, piece), []).append((owner, start))
-    return {k: np.unique(np.stack([np.concatenate([o for o, _ in x]), np.concatenate([s for _, s in x]).astype(np.int64)]), axis=1) for k, x in found.items()}
-
+    ``prints`` tells the pieces of one seed apart.  ``of`` is the item of each place; places are sorted by item.
+    """
 
-def _batches(pieces: list[bytes]):
-    """Bounds of runs of pieces of about ``SHARD_BYTES``."""
-    cuts = np.flatnonzero(np.diff(np.cumsum([len(p) for p in pieces]) // SHARD_BYTES)) + 1
-    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(pieces)])
+    def __init__(self, seed, prints, size, start, data, of, owner, begin):
+        """Items may repeat, and so may their places; ``start`` and ``size`` are an item's bytes in ``data``."""
+        order = np.lexsort((size, prints, seed))
+        s, p, n = seed[order], prints[order], size[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (n[1:] != n[:-1])
+        item = np.empty(len(order), dtype=np.int64)
+        item[order] = np.cumsum(new) - 1
+        kept = order[new]
+        self.seed, self.prints, self.size, self.start, self.data = seed[kept], prints[kept], size[kept], start[kept], data
+        of = item[of]
+        order = np.lexsort((begin, owner, of))
+        of, owner, begin = of[order], owner[order], begin[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (of[1:] != of[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] != begin[:-1])
+        self.of, self.owner, self.begin = of[new], owner[new], begin[new]
+        self.weight = np.bincount(self.of, minlength=len(self.seed))
+        self.first = np.cumsum(self.weight) - self.weight
+
+    def __len__(self) -> int:
+        return len(self.seed)
+
+    def packed(self, items: np.ndarray) -> bytes:
+        """The given items and their places as bytes."""
+        at = spread(self.first[items], self.weight[items])
+        head = np.array([len(items), len(at)], dtype=np.int64)
+        parts = [head, self.seed[items], self.prints[items], self.size[items].astype(np.uint32), self.weight[items].astype(np.uint32), self.owner[at], self.begin[at].astype(np.uint32)]
+        return packed.squeeze(b"".join([*(x.tobytes() for x in parts), gather(self.data, self.start[items], self.size[items]).tobytes()]))
+
+    @staticmethod
+    def unpacked(parts: list[bytes]) -> Pieces:
+        columns, at, texts, items = [], 0, [], 0
+        for part in parts:
+            raw = packed.unsqueeze(part)
+            n, m = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
+            offset, found = 16, []
+            for dtype, k in ((np.uint64, n), (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.int64, m), (np.uint32, m)):
+                found.append(np.frombuffer(raw, dtype=dtype, count=k, offset=offset))
+                offset += found[-1].nbytes
+            seed, prints, size, count, owner, begin = found
+            size = size.astype(np.int64)
+            columns.append((seed, prints, size, at + np.cumsum(size) - size, np.repeat(np.arange(items, items + n), count), owner, begin.astype(np.int64)))
+            texts.append(np.frombuffer(raw, dtype=np.uint8, offset=offset))
+            at += len(texts[-1])
+            items += n
+        if not parts:
+            none = np.zeros(0, dtype=np.int64)
+            return Pieces(none.view(np.uint64), none.view(np.uint64), none, none, np.zeros(0, dtype=np.uint8), none, none, none)
+        seed, prints, size, start, of, owner, begin = (np.concatenate(c) for c in zip(*columns))
+        return Pieces(seed, prints, size, start, np.concatenate(texts), of, owner, begin)
+
+    def text(self, items: np.ndarray) -> np.ndarray:
+        return gather(self.data, self.start[items], self.size[items])
+
+    def runs_of(self, items: np.ndarray, size: np.ndarray, length: int, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owners, begin << 32 | end) of the removed bytes at all places of the items; ``hit`` says it for each string start."""
+        count = size - length + 1
+        piece = np.repeat(np.arange(len(items)), count)
+        opens = hit.copy()
+        opens[1:] &= ~hit[:-1] | (piece[1:] != piece[:-1])
+        closes = hit.copy()
+        closes[:-1] &= ~hit[1:] | (piece[1:] != piece[:-1])
+        place = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+        first, last, of = place[opens], place[closes], piece[opens]
+        n_runs = np.bincount(of, minlength=len(items))
+        at = spread(self.first[items], self.weight[items])
+        by_place = np.repeat(np.arange(len(items)), self.weight[items])
+        run = spread((np.cumsum(n_runs) - n_runs)[by_place], n_runs[by_place])
+        owner, begin = (np.repeat(x[at], n_runs[by_place]) for x in (self.owner, self.begin))
+        return owner, ((begin + first[run]).astype(np.uint64) << np.uint64(32)) | (begin + last[run] + length).astype(np.uint64)
+
+
+def _groups(size: np.ndarray, whole: np.ndarray | None = None):
+    """Bounds of runs of items of about ``SHARD_BYTES``; items with equal ``whole`` neighbours stay together."""
+    if not len(size):
+        return []
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // SHARD_BYTES)) + 1
+    if whole is not None:
+        first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+        cuts = np.unique(first[np.searchsorted(first, cuts, side="right") - 1])
+        cuts = cuts[cuts > 0]
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]))
 
 
 def _repeated(hot: DataFrame, shards: int, length: int) -> DataFrame:
@@ -247,10 +302,10 @@ def _repeated(hot: DataFrame, shards: int, length: int) -> DataFrame:
     def send(shard, parts):
         import pyarrow as pa
 
-        places = _places(parts)
-        names = list(places)
-        for a, b in _batches([p for _, p in names]):
-            prints, total, _ = distinct_strings([p for _, p in names[a:b]], np.array([places[n].shape[1] for n in names[a:b]], dtype=float), length)
+        pieces = Pieces.unpacked(parts)
+        for a, b in _groups(pieces.size):
+            items = np.arange(a, b)
+            prints, total, _ = _strings(pieces.text(items), pieces.size[items], pieces.weight[items], length)
             to = packed.ranges(prints, shards)
             cuts = np.searchsorted(to, np.arange(shards + 1))  # prints are sorted, and so are their ranges
             keys = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
@@ -276,63 +331,88 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
 
     A byte goes if a string of ``length`` UTF-8 bytes that covers it also starts anywhere else, in the same document or
     another; all is judged on the input.  Null and empty texts have no bytes.  Rows with the same text are documents of
-    their own, whatever their doc_id, and lose all their bytes to each other.  Other columns are ignored.
+    their own, whatever their doc_id (null too), and lose all their bytes to each other.  Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), F.xxhash64(text, F.hash(text), F.octet_length(text)).alias("key"), text.alias("text"))
     long = texts.where(F.octet_length("text") >= length)
-    one = checkpointed(long.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
-    copied = checkpointed(one.where("copies > 1").select("key", "copies"))
-    bits_row = packed.log2_cells(4 * one.count())
-    standing = spark.sparkContext.broadcast(packed.count_min(one.select("row"), lambda b: [mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))], bits_row, least=1))
+    copied = long.groupBy("key").agg(F.min("row").alias("stands"), F.count("*").alias("copies")).where("copies > 1")
+    copied = checkpointed(copied.select("key", "stands"))
+    # one row stands for all with the same text
+    source = long.join(sized(copied, 1_000_000), "key", "left").where("stands IS NULL OR stands = row").select("key", "text")
 
     def pieces(batch):
-        """Slices of the texts that stand for their copies: their keys, bytes, and anchors."""
-        import pyarrow as pa
-
-        row = mix(batch.column("row").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        mask = pa.array(packed.marked(standing.value, bits_row, row))
-        keys = batch.column("key").filter(mask).to_numpy(zero_copy_only=False)
-        for at, offsets, data in slices(batch.column("text").filter(mask)):
-            yield keys[at : at + len(offsets) - 1], offsets, data, anchors(offsets, data, length)
-
-    size = packed.text_bytes(long)
-    bits = packed.log2_cells(size // 16)
-    source = long.select("row", "key", "text")
-    sketch, often = map(spark.sparkContext.broadcast, packed.count_mins(source, lambda batch: (a[0] for *_, a in pieces(batch)), bits, [2, HOT]))
-    shards = max(4 * packed.partitions(docs), -(-size // TEXT_BYTES))
+        """Slices of the texts: their keys, where the slice begins in its text, bytes, and anchors."""
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        for at, offsets, data in slices(batch.column("text")):
+            for base in range(0, max(1, len(data) - length + 1), LONG) if len(offsets) == 2 else [0]:
+                # of a very long text, the strings that start in so many bytes at a time
+                part = data[base : base + LONG + length - 1] if len(offsets) == 2 else data
+                ends = np.array([0, len(part)]) if len(offsets) == 2 else offsets
+                seed, first, last, row = anchors(ends, part, length)
+                yield keys[at : at + len(offsets) - 1][row], base - ends[row], part, seed & ~np.uint64(1), first, last
+
+    def seeds(batch):
+        for owner, _, _, seed, _, _ in pieces(batch):
+            yield owner, seed
+
+    def repeated(_, parts):
+        """Seeds with more than one anchor, with the last bit set where there are many."""
+        owner, value, first = packed.grouped(parts)
+        n = np.diff(np.r_[first, len(owner)])
+        n = np.repeat(n, n)
+        yield owner[n > 1], value[n > 1] | (n[n > 1] >= HOT).astype(np.uint64)
+
+    wanted = checkpointed(packed.answered(packed.pairs_by_range(source, seeds), repeated, "key", ["seeds"]))
+    source = source.join(sized_bytes(wanted, "seeds"), "key")
+    shards = max(4 * packed.partitions(docs), -(-packed.text_bytes(long) // TEXT_BYTES))
 
     def send(batches):
         import pyarrow as pa
 
-        held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        held = []
 
         def flush():
-            names = list(held)
-            deal = np.array([s for s, _ in names], dtype=np.uint64)
-            hot = packed.marked(often.value, bits, deal)
-            for i in np.flatnonzero(hot).tolist():
-                deal[i] = int.from_bytes(hashlib.blake2b(names[i][1], digest_size=8).digest(), "big")
-            parts: dict[tuple[int, bool], dict] = {}
-            for name, k, h in zip(names, packed.ranges(deal, shards).tolist(), hot.tolist()):
-                parts.setdefault((k, h), {})[name] = held[name]
+            columns = list(zip(*held))
             held.clear()
-            columns = [pa.array([k for k, _ in parts], pa.int32()), pa.array([h for _, h in parts]), pa.array([_pack(p) for p in parts.values()], pa.binary())]
+            texts = columns.pop()
+            before = np.cumsum([0, *map(len, texts)])[:-1]
+            seed, prints, size, start, owner, begin, hot = map(np.concatenate, columns)
+            start = start + np.repeat(before, [len(c) for c in columns[0]])
+            here = Pieces(seed | hot.astype(np.uint64), prints, size, start, np.concatenate(texts), np.arange(len(seed)), owner, begin)
+            often = (here.seed & np.uint64(1)) > 0
+            to = packed.ranges(np.where(often, here.prints, here.seed), shards)
+            # an item's range and kind as one number
+            kind = 2 * to.astype(np.int64) + often
+            order = np.argsort(kind, kind="stable")
+            kinds, cuts = np.unique(kind[order], return_index=True)
+            data = [here.packed(order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            columns = [pa.array(kinds // 2, pa.int32()), pa.array(kinds % 2 > 0), pa.array(data, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["range", "hot", "data"])
 
         waiting = 0
         for batch in batches:
-            for keys, offsets, data, (seed, first, last, row) in pieces(batch):
-                hit = np.flatnonzero(packed.marked(sketch.value, bits, seed))
-                raw = data.tobytes()
-                for s, a, b, owner, begin in zip(seed[hit].tolist(), first[hit].tolist(), last[hit].tolist(), keys[row[hit]].tolist(), offsets[row[hit]].tolist()):
-                    places = held.setdefault((s, raw[a : b + length]), [])
-                    if not places:
-                        waiting += b + length - a
-                    places.append((owner, a - begin))
-                    waiting += 16
+            known = {k: np.frombuffer(s, dtype=np.uint64) for k, s in zip(batch.column("key").to_pylist(), batch.column("seeds").to_pylist())}
+            for owner, base, data, seed, first, last in pieces(batch):
+                if not len(seed):
+                    continue
+                hot = np.zeros(len(seed), dtype=bool)
+                hit = np.zeros(len(seed), dtype=bool)
+                bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    own = known[int(owner[a])]
+                    hot[a:b] = np.isin(seed[a:b] | np.uint64(1), own)
+                    hit[a:b] = hot[a:b] | np.isin(seed[a:b], own)
+                hit = np.flatnonzero(hit)
+                if len(hit):
+                    size = last[hit] + length - first[hit]
+                    power, inverse = _power_tables(len(data) + 1)
+                    sums = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODE[data] * power[: len(data)])]
+                    prints = mix((sums[first[hit] + size] - sums[first[hit]]) * inverse[first[hit]] + size.astype(np.uint64))
+                    held.append((seed[hit], prints, size, np.cumsum(size) - size, owner[hit], first[hit] + base[hit], hot[hit], gather(data, first[hit], size)))
+                    waiting += int(size.sum()) + 48 * len(hit)
                 if waiting >= FLUSH_BYTES:
                     yield flush()
                     waiting = 0
@@ -340,39 +420,26 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
             yield flush()
 
     def judge(_, parts):
-        spans_owner, spans = [], []
-        seeds = {}
-        places = _places([p[1:] for p in parts if p[:1] == b"0"])
-        for seed, piece in places:
-            seeds.setdefault(seed, []).append(piece)
-        contested = []
-        for seed, own in seeds.items():
-            if len(own) > 1:
-                contested += [(seed, p) for p in own]
-            elif places[seed, own[0]].shape[1] > 1:  # one piece, in several places: all its strings repeat
-                _spans(places[seed, own[0]], np.zeros(1, dtype=np.int64), np.array([len(own[0]) - length]), length, spans_owner, spans)
-        at = 0
-        while at < len(contested):  # whole seeds, SHARD_BYTES at a time
-            end, total = at, 0
-            while end < len(contested) and (total < SHARD_BYTES or contested[end][0] == contested[end - 1][0]):
-                total += len(contested[end][1])
-                end += 1
-            group = contested[at:end]
-            masks = repeated_starts([p for _, p in group], np.array([places[g].shape[1] for g in group], dtype=float), length)
-            for g, mask in zip(group, masks):
-                if mask.any():
-                    _spans(places[g], *runs(mask), length, spans_owner, spans)
-            at = end
-        dealt = _places([p[1:] for p in parts if p[:1] == b"1"])
+        cold = Pieces.unpacked([p[1:] for p in parts if p[:1] == b"0"])
+        pieces_of = np.bincount(np.unique(cold.seed, return_inverse=True)[1]) if len(cold) else np.zeros(0, dtype=np.int64)
+        alone = np.repeat(pieces_of == 1, pieces_of)
+        # a seed's only piece: if it is in several places, all its strings repeat
+        items = np.flatnonzero(alone & (cold.weight > 1))
+        if len(items):
+            size = cold.size[items]
+            yield cold.runs_of(items, size, length, np.ones(int((size - length + 1).sum()), dtype=bool))
+        contested = np.flatnonzero(~alone)
+        for a, b in _groups(cold.size[contested], cold.seed[contested]):
+            items = contested[a:b]
+            prints, total, at = _strings(cold.text(items), cold.size[items], cold.weight[items], length)
+            yield cold.runs_of(items, cold.size[items], length, (total >= 2)[at])
+        dealt = Pieces.unpacked([p[1:] for p in parts if p[:1] == b"1"])
         twice = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(packed.unsqueeze(p[1:]), dtype=np.uint64) for p in parts if p[:1] == b"2")]))
-        if len(twice):
-            for name, prints in zip(dealt, string_prints([p for _, p in dealt], length)):
-                mask = twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints
-                if mask.any():
-                    _spans(dealt[name], *runs(mask), length, spans_owner, spans)
-        owner = np.concatenate(spans_owner) if spans_owner else np.zeros(0, dtype=np.int64)
-        value = np.concatenate(spans) if spans else np.zeros(0, dtype=np.uint64)
-        yield owner, value
+        for a, b in _groups(dealt.size) if len(twice) else []:
+            items = np.arange(a, b)
+            prints = _prints(dealt.text(items), dealt.size[items], length)
+            hit = twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints
+            yield dealt.runs_of(items, dealt.size[items], length, hit)
 
     sent = checkpointed(source.mapInArrow(send, "range int, hot boolean, data binary"))
     hot = sent.where("hot").select("range", "data")
@@ -382,12 +449,10 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     rows = cold.unionByName(dealt).unionByName(back)
     spans = checkpointed(packed.answered(rows, judge, "key", ["spans"]))
     # copies are removed whole and need no spans
-    small = texts.join(sized(copied, 1_000_000), "key", "left").withColumn("whole", F.col("copies").isNotNull()).drop("copies", "row")
-    keys = sized(spans.select("key"), 1_000_000)
-    none = F.lit(None).cast("binary")
-    cut_some = small.where("not whole").join(keys, "key", "left_semi").join(spans, "key")
-    cut_none = small.where("not whole").join(keys, "key", "left_anti").withColumn("spans", none)
-    every = cut_some.select("doc_id", "text", "whole", "spans").unionByName(cut_none.select("doc_id", "text", "whole", "spans")).unionByName(small.where("whole").select("doc_id", "text", "whole", none.alias("spans")))
+    whole = texts.join(sized(copied.select("key"), 1_000_000), "key", "left_semi").where(F.octet_length("text") >= length)
+    other = texts.join(sized(copied.select("key"), 1_000_000), "key", "left_anti").join(sized_bytes(spans, "spans"), "key", "left")
+    none = F.lit(None).cast("binary").alias("spans")
+    every = whole.select("doc_id", "text", F.lit(True).alias("whole"), none).unionByName(other.select("doc_id", "text", F.lit(False).alias("whole"), "spans"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_bytes]
 
     def cut(batches):
@@ -398,27 +463,20 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
             out = []
             for text, whole, spans in zip(batch.column("text"), batch.column("whole").to_pylist(), batch.column("spans").to_pylist()):
                 raw = text.as_py().encode("utf-8")
-                kept, n_spans = raw, 0
-                if whole:
-                    kept, n_spans = b"", 1
-                elif spans:
-                    pairs = np.frombuffer(spans, dtype=np.uint64)
-                    edges = np.zeros(len(raw) + 1, dtype=np.int64)
-                    np.add.at(edges, (pairs >> np.uint64(32)).astype(np.int64), 1)
-                    np.add.at(edges, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
-                    gone = np.cumsum(edges[:-1]) > 0
-                    kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                    n_spans = len(runs(gone)[0])
-                out.append((len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))
+                begin, end = ([0], [len(raw)]) if whole else removed_runs(spans or b"")
+                kept = b"".join([raw[a:b] for a, b in zip([0, *end], [*begin, len(raw)])])
+                out.append((len(raw), len(raw) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     return every.mapInArrow(cut, schema)
 
 
-def _spans(places: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, owners: list, spans: list) -> None:
-    """Removed bytes of every place of a piece, as begin << 32 | end."""
-    begin = (places[1][:, None] + first[None]).reshape(-1).astype(np.uint64)
-    end = (places[1][:, None] + last[None] + length).reshape(-1).astype(np.uint64)
-    owners.append(np.repeat(places[0], len(first)))
-    spans.append((begin << np.uint64(32)) | end)
+def removed_runs(spans: bytes) -> tuple[list[int], list[int]]:
+    """Begins and ends of the maximal runs that the spans (begin << 32 | end) cover."""
+    pairs = np.sort(np.frombuffer(spans, dtype=np.uint64))
+    if not len(pairs):
+        return [], []
+    begin, end = (pairs >> np.uint64(32)).astype(np.int64), np.maximum.accumulate((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    new = np.r_[True, begin[1:] > end[:-1]]
+    return begin[new].tolist(), end[np.r_[new[1:], True]].tolist()

@@ -8,7 +8,7 @@ import struct
 import numpy as np
 import pytest
 
-from farstray.llm import bpe, suffixes, warc
+from farstray.llm import bpe, packed, suffixes, warc
 
 DOCS = "doc_id long, text string, key long, row string, spans string"
 
@@ -94,6 +94,28 @@ def test_suffix_dedup_deals_frequent_seeds(spark, monkeypatch, seed):
     assert sorted(found) == sorted(without_repeats(rows)) and shards[0] > 4
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_suffix_dedup_of_very_long_texts_and_null_ids(spark, monkeypatch, seed):
+    """Texts longer than what is looked at at a time, rows without an id, and one passage in every text."""
+    monkeypatch.setattr(suffixes, "LONG", 500)
+    rng = random.Random(seed)
+    line = "".join(rng.choice("abcdefgh") for _ in range(220))
+    letters = "".join(rng.choice("abcdefghijkl é") for _ in range(40_000))
+    rows = [(None, letters[:9000]), (None, "short"), (None, None), (1, letters[8000:20_000] + "#" + letters[15_000:16_000]), (2, "z" * 4000)]
+    rows += [(i, f"{i} " + "".join(rng.choice("mnopqr") for _ in range(300)) + line + str(i)) for i in range(3, 40)]
+    found = [tuple(r) for r in suffixes.remove_substrings(wide(spark, rows)).collect()]
+    assert sorted(found, key=str) == sorted(without_repeats(rows), key=str)
+
+
+def test_seeds_are_dealt_evenly():
+    """Seeds are the least of many hashes; dealt as they are, nearly all would be in the first range."""
+    data = np.random.default_rng(5).integers(97, 123, 2_000_000, dtype=np.uint8)
+    seed, first, last, _ = suffixes.anchors(np.array([0, len(data)]), data, 200)
+    assert last[-1] == len(data) - 200 and (first[1:] == last[:-1] + 1).all()
+    counts = np.bincount(packed.ranges(seed, 32), minlength=32)
+    assert counts.max() < 2 * counts.mean()
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.remove_substrings(spark.createDataFrame([], DOCS)).collect() == []
 
