@@ -30,8 +30,8 @@ SHARD_BYTES = 1 << 20
 HOT = 200
 #: So many string starts of a very long text are looked at at a time.
 LONG = 1 << 20
-#: Bytes of text for each shard, beyond the least number of shards.
-TEXT_BYTES = 4 << 20
+#: Bytes of text for each shard, and the least number of shards.
+TEXT_BYTES, LEAST_SHARDS = 2 << 20, 8
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int):
@@ -367,7 +367,7 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
 
     wanted = checkpointed(packed.answered(packed.pairs_by_range(source, seeds), repeated, "key", ["seeds"]))
     source = source.join(sized_bytes(wanted, "seeds"), "key")
-    shards = max(4 * packed.partitions(docs), -(-packed.text_bytes(long) // TEXT_BYTES))
+    shards = max(LEAST_SHARDS, -(-packed.text_bytes(long) // TEXT_BYTES))
 
     def send(batches):
         import pyarrow as pa
