@@ -50,7 +50,7 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def sized_bytes(df: DataFrame, column: str, limit: int = 16 << 20) -> DataFrame:
+def sized_bytes(df: DataFrame, column: str, limit: int = 1 << 20) -> DataFrame:
     """Mark a checkpointed join side for broadcast if its rows, of which ``column`` varies in length, take ``limit`` bytes at most."""
     size = df.agg(F.sum(F.octet_length(column)) + 64 * F.count("*")).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
