@@ -46,6 +46,54 @@ def test_toxicity_on_held_out_rows(spark):
     assert len({r["score"] for r in out if r["doc_id"] in (900, 901)}) == 1
 
 
+def by_hand(texts, labels, corpus, discount, order, telling):
+    """Each text's measure by the definition: dictionaries of word tuples, one probability at a time."""
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = [{}, {}]
+    for text, toxic in {(t, y) for t, y in labels}:
+        w = split(text)
+        for g in {tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)}:
+            counts[toxic][g] = counts[toxic].get(g, 0) + 1
+    total, mass = {}, [{}, {}]
+    for c in (0, 1):
+        for g, n in counts[c].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + n
+            mass[c][g[:-1]] = mass[c].get(g[:-1], 0) + max(n - discount, 0)
+    pairs = {(a, b) for t in corpus for w in [split(t)] for a, b in zip([None, *w], w)}
+
+    def chance(c, context, word):
+        if context is None:
+            return sum(b == word for _, b in pairs) / len(pairs)
+        below = chance(c, context[1:] if context else None, word)
+        kept = (mass[0].get(context, 0) + mass[1].get(context, 0)) / total.get(context, 1)
+        if not mass[c].get(context):
+            return below
+        return kept * max(counts[c].get((*context, word), 0) - discount, 0) / mass[c][context] + (1 - kept) * below
+
+    out = []
+    for text in texts:
+        w = split(text)
+        step = lambda i, k: np.log(chance(1, tuple(w[i - k + 1 : i]), w[i]) / chance(0, tuple(w[i - k + 1 : i]), w[i]))
+        best = [max(sum(step(i - k + j, j) for j in range(1, k + 1)) / k for k in range(1, min(order, i + 1) + 1)) for i in range(len(w))]
+        best = sorted(best)[-telling:]
+        out.append(sum(best) / len(best) if best else 0.0)
+    return out
+
+
+def test_toxicity_measures_are_those_of_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DISCOUNT", 1)
+    rng = random.Random(4)
+    plain, bad = ["a", "Été", "of", "den", "ro", "漢", "lig"], ["zork", "of", "den"]
+    rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 and rng.random() < 0.4 else plain) for _ in range(rng.choice([1, 5, 12]))), int(i % 3 == 0)) for i in range(60)]
+    corpus = [(i, t) for i, t, _ in rows] + [(100, "new words of den"), (101, None), (102, ""), (103, "zork"), (104, "den of zork, zork! 9")]
+    docs = spark.createDataFrame([(i, t, 0.0, 0, "") for i, t in corpus], DOCS).repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    texts = [t for _, t in corpus]
+    expected = by_hand([t for t in texts if t], [(t, y) for _, t, y in rows], texts, 1, 3, toxicity.TELLING)
+    found = model.models.measures(__import__("pyarrow").array([t for t in texts if t]))
+    assert np.allclose(found, expected, atol=1e-6)
+
+
 def test_toxicity_never_uses_held_out_labels(spark):
     rows = made_texts(200)
     docs = spark.createDataFrame([(i, t, 0.0, 0, "") for i, t, _ in rows], DOCS)
@@ -191,7 +239,6 @@ def test_redaction(spark):
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no tables")
-@pytest.mark.xfail(strict=False, reason="recall is 0.67 at sf0.01 and 0.54 at sf0.1: open")
 def test_toxicity_of_the_tables(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     scored = toxicity.toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL")
