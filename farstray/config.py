@@ -12,7 +12,6 @@ FREQUENCY_MODES = ("two-pass", "single-pass")
 #: Inclusive ranges; None is open.
 RANGES = {
     "contamination": (0.001, 0.20),
-    "chunk_size": (100, None),
     "cat_rare_threshold": (0.001, 0.50),
     "cat_max_cardinality_ratio": (0.01, 1.0),
     "cat_min_cardinality": (1, None),
@@ -36,17 +35,16 @@ class Settings:
     contamination: float = 0.05
     scaling: str = "robust"
     impute: str = "median"
-    chunk_size: int = 100_000
     output_path: str = "results/output.parquet"
     explain: bool = False
     max_explain_rows: int = 100
-    max_file_mb: float = 50.0
     cat_rare_threshold: float = 0.01
     cat_max_cardinality_ratio: float = 0.10
     cat_min_cardinality: int = 10
     cat_freq_mode: str = "two-pass"
     profiler_id_cardinality_ratio: float = 0.50
     numeric_cast_threshold: float = 0.80
+    profile_sampled: bool = False
     profiler_sample_rows: int = 1000
     global_sample_rows: int = 50_000
     lof_reference_rows: int = 5000

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns that a detection adds.
+#: Columns that a detection adds.
 OUTPUTS = ("anomaly_score", "is_outlier", "cat_anomaly_score", "is_cat_outlier", "explanation")
-#: Names (trimmed, any case) that hold ground truth and are never features.
+#: Names (trimmed, any case) that hold ground truth and are never features.
 TRUTH_NAMES = frozenset({"is_outlier", "outlier_type", "ground_truth", "label", "target"})
-#: A column of one of these names, or with one as its first or last part, looks like an identifier.
+#: A column of one of these names, or with one as its first or last part, looks like an identifier.
 ID_NAMES = ("id", "idx", "index", "row_id", "row_num", "serial", "record_id", "row_index", "rowid", "pk", "key")
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
 INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)

@@ -10,8 +10,8 @@ from farstray.functions.sampling import uniform_sample
 
 MOST_COLUMNS = 50
 RELATIVE = 0.3
-#: A frequency table of at most this many rows may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A column's frequency table of at most so many bytes may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -45,26 +45,27 @@ def rare_categories(
     """Add cat_anomaly_score (the largest rarity of a row's values, 0 to 1) and is_cat_outlier.
 
     A value is flagged if its frequency is below ``min(threshold, 0.3 / number of values)``.  Nulls have rarity 0 and are
-    never flagged; a value without a frequency (unseen in a sample) has rarity 1 and is.
+    never flagged; a value without a frequency (unseen in a sample) has rarity 1 and is.  Counts are taken in one scan and
+    kept, so that each column's join reads them and not the table again.
     """
     names = C.categorical_columns(df, exclude) if names is None else names
     rows = df.count() if rows is None else rows
     none = {"cat_anomaly_score": F.lit(0.0), "is_cat_outlier": F.lit(False)}
     if not names or not rows:
         return df.withColumns(none)
-    counts = value_counts(df, names)
+    counts = value_counts(df, names).persist()
     names = candidate_columns(counts, names, rows, ratio, least)
     if not names:
         return df.withColumns(none)
     freq = frequencies(counts, names, rows) if freq is None else freq
-    stats = {r["column"]: r for r in freq.groupBy("column").agg(F.min("freq").alias("low"), F.max("freq").alias("high"), F.count("*").alias("n")).collect()}
+    stats = {r["column"]: r for r in freq.groupBy("column").agg(F.min("freq").alias("low"), F.max("freq").alias("high"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 32).alias("bytes")).collect()}
     out, rarities, flags = df, [], []
     for i, c in enumerate(names):
         if c not in stats:  # only nulls
             continue
         s = stats[c]
         table = freq.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("freq").alias(f"__f{i}"))
-        table = F.broadcast(table) if s["n"] <= BROADCAST_ROWS else table
+        table = F.broadcast(table) if s["bytes"] <= BROADCAST_BYTES else table
         out = out.join(table, F.col(f"`{c}`").cast("string") == F.col(f"__v{i}"), "left")
         f, known = F.coalesce(F.col(f"__f{i}"), F.lit(0.0)), F.col(f"`{c}`").isNotNull()
         span = s["high"] - s["low"]

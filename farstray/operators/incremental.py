@@ -1,6 +1,8 @@
 """Out-of-core one-class model: Nyström features of standardised columns and hashed categories, fitted by gradient passes.
 
-Each pass adds the hinge gradient over all rows: tasks return one row of sums.  ``step`` fits one micro-batch of a stream.
+Columns are clipped to their 1st and 99th percentile.  Each pass takes the margin that leaves the share ``nu`` of the rows
+outside, an exact quantile, and adds the hinge gradient over all rows: tasks return one row of sums.  ``step`` does the
+same with one micro-batch of a stream.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farstray.functions import columns as C
+from farstray.functions.quantiles import exact_quantiles
 from farstray.functions.sampling import uniform_sample
 from farstray.operators.ocsvm import kernel
 from farstray.operators.scoring import PLACES
@@ -31,6 +34,7 @@ class IncrementalModel:
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
     scale: tuple[tuple[float, float], ...]
+    clips: tuple[tuple[float, float], ...]
     landmarks: np.ndarray
     whiten: np.ndarray
     gamma: float
@@ -40,40 +44,49 @@ class IncrementalModel:
     steps: int = 0
 
     def inputs(self) -> list[Column]:
-        plain = [(C.sanitized(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m))) - F.lit(m)) / F.lit(s) for c, (m, s) in zip(self.numeric, self.scale)]
+        plain = []
+        for c, (m, s), (low, high) in zip(self.numeric, self.scale, self.clips):
+            x = C.sanitized(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m)))
+            plain.append((F.least(F.greatest(x, F.lit(low)), F.lit(high)) - F.lit(m)) / F.lit(s))
         return [c.alias(f"x{i}") for i, c in enumerate(plain + hashed_categories(list(self.categorical)))]
 
     def features(self, x: np.ndarray) -> np.ndarray:
         return kernel(x, self.landmarks, self.gamma) @ self.whiten
 
-    def pull(self, df: DataFrame) -> tuple[np.ndarray, float, int]:
-        """Hinge gradient sums over all rows: of the weights, how many rows are inside the margin, how many there are."""
+    def pull(self, df: DataFrame) -> tuple[np.ndarray, int]:
+        """The sum of the features of all rows outside the margin, and how many rows there are."""
         shared = df.sparkSession.sparkContext.broadcast(self)
 
         def run(batches):
             model = shared.value
-            g, inside, n = np.zeros(len(model.weights)), 0, 0
+            g, n = np.zeros(len(model.weights)), 0
             for pdf in batches:
                 z = model.features(pdf.to_numpy(dtype=float))
-                short = z @ model.weights < model.offset
-                g -= z[short].sum(axis=0)
-                inside += int(short.sum())
+                g += z[z @ model.weights < model.offset].sum(axis=0)
                 n += len(z)
-            yield pd.DataFrame({"i": range(len(g)), "g": g, "inside": float(inside), "n": n})
+            yield pd.DataFrame({"i": range(len(g)), "g": g, "n": n})
 
-        sums = df.select(*self.inputs()).mapInPandas(run, "i int, g double, inside double, n long").groupBy("i").agg(F.sum("g").alias("g"), F.sum("inside").alias("inside"), F.sum("n").alias("n"))
+        sums = df.select(*self.inputs()).mapInPandas(run, "i int, g double, n long").groupBy("i").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
         rows = sums.orderBy("i").collect()  # a row for each landmark
-        return np.array([r["g"] for r in rows]), rows[0]["inside"] if rows else 0.0, rows[0]["n"] if rows else 0
+        shared.destroy()
+        return np.array([r["g"] for r in rows]), rows[0]["n"] if rows else 0
+
+    def settled(self, df: DataFrame) -> IncrementalModel:
+        """With the margin that leaves the share ``nu`` of the rows of ``df`` outside."""
+        inner = df.select((-replace(self, offset=0.0).raw()).alias("inner")).persist()
+        [offset] = exact_quantiles(inner, ["inner"], [self.nu])["inner"]
+        inner.unpersist()
+        return replace(self, offset=self.offset if offset is None else offset)
 
     def step(self, df: DataFrame) -> IncrementalModel:
-        """One gradient step on the rows of ``df``."""
-        g, inside, n = self.pull(df)
+        """One gradient step on the rows of ``df``: towards the rows that are outside, as each of them pulls."""
+        model = self.settled(df)
+        outside, n = model.pull(df)
         if not n:
             return self
         rate = 1.0 / (self.steps + 2)
-        weights = self.weights - rate * (self.weights + g / (self.nu * n))
-        offset = self.offset - rate * (inside / (self.nu * n) - 1.0)
-        return replace(self, weights=weights, offset=offset, steps=self.steps + 1)
+        weights = (1 - rate) * model.weights + rate * outside / (self.nu * n)
+        return replace(model, weights=weights, steps=self.steps + 1).settled(df)
 
     def raw(self, names: list[str] | None = None, key: Column | None = None) -> Column:
         model = self
@@ -93,8 +106,11 @@ def begin(df: DataFrame, contamination: float, numeric: list[str], categorical:
     if stats["n"] < 2:
         return None
     scale = tuple((stats[f"m{i}"] or 0.0, stats[f"s{i}"] or 1.0) for i in range(len(numeric)))
+    clean = df.select(*(C.sanitized(F.col(f"`{c}`").cast("double")).alias(c) for c in numeric))
+    ends = exact_quantiles(clean, numeric, [0.01, 0.99], stats["n"])
+    clips = tuple((m, m) if ends[c][0] is None else tuple(ends[c]) for c, (m, _) in zip(numeric, scale))
     empty = np.zeros((0, 0))
-    model = IncrementalModel(tuple(numeric), tuple(categorical), scale, empty, empty, 1.0, np.zeros(0), 0.0, contamination)
+    model = IncrementalModel(tuple(numeric), tuple(categorical), scale, clips, empty, empty, 1.0, np.zeros(0), 0.0, contamination)
     points = uniform_sample(df, LANDMARKS, keys).select(*model.inputs()).toPandas().to_numpy(dtype=float)
     points = np.unique(points, axis=0)
     gamma = 1 / points.shape[1]
@@ -104,7 +120,7 @@ def begin(df: DataFrame, contamination: float, numeric: list[str], categorical:
     return replace(model, weights=model.features(points).mean(axis=0))
 
 
-def fit_incremental(df: DataFrame, contamination: float, numeric: list[str], categorical: list[str], passes: int = 15, keys: list[str] | None = None) -> IncrementalModel | None:
+def fit_incremental(df: DataFrame, contamination: float, numeric: list[str], categorical: list[str], passes: int = 3, keys: list[str] | None = None) -> IncrementalModel | None:
     model = begin(df, contamination, numeric, categorical, keys)
     for _ in range(passes if model else 0):
         model = model.step(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from dataclasses import fields
+from dataclasses import asdict, fields
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Find outliers in a CSV file.")
     p.add_argument("-i", "--input", required=True)
     p.add_argument("--validate-only", action="store_true", help="check the file's lines and stop; exit code 1 if anything is wrong")
+    p.add_argument("--answer", action="store_true", help="print profile, counters, first outliers and explanations as JSON")
     p.add_argument("--key", help="the column that identifies a row")
     for f in fields(Settings):
         name = "--" + f.name.replace("_", "-")
@@ -34,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = vars(parser().parse_args(argv))
     spark = spark or SparkSession.builder.appName("farstray").getOrCreate()
-    path, only, key = args.pop("input"), args.pop("validate_only"), args.pop("key")
+    path, only, key, whole = (args.pop(k) for k in ("input", "validate_only", "key", "answer"))
     settings = Settings(**args)
     csv_files.validate_file(spark, path)
     if only:
@@ -45,10 +46,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(wrong > 0)
     table = csv_files.read_csv(spark, path)
     if not key:
-        table, key = table.withColumn("_row_id", F.monotonically_increasing_id()), "_row_id"
+        table, key = table.withColumn("_row_id", F.xxhash64(*table.columns)), "_row_id"
         settings = Settings(**args | {"exclude_columns": [*args["exclude_columns"], key]})
+    share = csv_files.null_share(table).first()
+    if share["mostly_null"]:
+        print(f"more than half of the cells are empty ({share['nulls']} of {share['cells']})", file=sys.stderr)
     found = detect(table, settings, key, size_mb=csv_files.file_size_mb(spark, path))
-    print(json.dumps({"algorithm": found.algorithm} | results.write_scored(found.scored, settings.output_path)))
+    counters = results.write_scored(found.scored, settings.output_path)
+    if whole:
+        print(results.answer(found.scored, key, counters, asdict(found.profile), found.explanations))
+    else:
+        print(json.dumps({"algorithm": found.algorithm} | counters))
     if found.explanations is not None:
         results.write_explanations(found.explanations, settings.output_path)
     return 0

@@ -103,7 +103,7 @@ def fit_detector(df: DataFrame, algorithm: str, settings: Settings = Settings(),
         if model is None:
             return Detector(algorithm, None, None, None, key)
         bounds = scoring.fit_bounds(df.select(model.raw().alias("raw")), settings.contamination)
-        return Detector(algorithm, None, model, replace(bounds, threshold=1e-12) if bounds else None, key)
+        return Detector(algorithm, None, model, bounds, key)
     features = fit_features(df, names, settings.scaling, settings.impute, exclude, settings.clip)
     if not features.kept:
         return Detector(algorithm, features, None, None, key)
@@ -136,11 +136,13 @@ class Detection:
 def detect(df: DataFrame, settings: Settings = Settings(), key: str | None = None, names: list[str] | None = None, size_mb: float = 0.0) -> Detection:
     """Run everything on a table.  Columns whose names clash with added ones are kept as ``<name>__input``.
 
+    With ``profile_sampled`` the profile is that of ``profiler_sample_rows`` rows and the count of all.
     A table with a date or time column is passed through with zero scores, unless ``on_datetime`` is "ignore".
     """
     df = C.without_collisions(df)
     typed = cast_numeric_strings(df, settings.numeric_cast_threshold, settings.exclude_columns)
-    found = profile(typed, settings.profiler_id_cardinality_ratio, size_mb)
+    few = uniform_sample(typed, settings.profiler_sample_rows, [key] if key else None) if settings.profile_sampled else typed
+    found = profile(few, settings.profiler_id_cardinality_ratio, size_mb, typed.count() if settings.profile_sampled else None)
     algorithm = choose_algorithm(found, settings)
     zero = {"anomaly_score": F.lit(0.0), "is_outlier": F.lit(False), "cat_anomaly_score": F.lit(0.0), "is_cat_outlier": F.lit(False)}
     if found.datetime and settings.on_datetime == "passthrough":

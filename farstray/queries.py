@@ -265,6 +265,18 @@ def _by_algorithm(algorithm: str):
 for _a in ("iforest", "lof", "cblof", "ocsvm", "ensemble", "incremental"):
     _by_algorithm(_a)
 
+#: Neighbours are looked up among the first rows in the order of the sample's hash, as many as the settings say.
+ORACLES["lof_outliers"] = f"""
+    WITH {_part_features()},
+    ref AS (SELECT p_partkey AS j, f0 AS b0, f1 AS b1 FROM f ORDER BY md5(CAST(p_partkey AS VARCHAR)), CAST(p_partkey AS VARCHAR) LIMIT {Settings().lof_reference_rows}),
+    d AS (SELECT p_partkey AS i, j, sqrt((f0 - b0) * (f0 - b0) + (f1 - b1) * (f1 - b1)) AS d FROM f JOIN ref ON j <> p_partkey),
+    k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, CAST(j AS VARCHAR)) <= 20),
+    far AS (SELECT i, max(d) AS kd FROM k GROUP BY i),
+    den AS (SELECT k.i, 1 / (avg(greatest(k.d, far.kd)) + 1e-10) AS den FROM k JOIN far ON far.i = k.j GROUP BY k.i),
+    r AS (SELECT k.i AS p_partkey, round(avg(o.den) / any_value(m.den), 10) AS raw FROM k JOIN den o ON o.i = k.j JOIN den m ON m.i = k.i GROUP BY k.i),
+    t AS (SELECT min(raw) AS lo, max(raw) AS hi, quantile_cont(raw, 0.95) AS cut FROM r)
+    SELECT p_partkey, round((raw - lo) / (hi - lo), 4) + 0.0 AS anomaly_score, raw >= cut AS is_outlier FROM r, t"""
+
 
 @query("""
     WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd, count(*) AS n FROM events),
@@ -406,8 +418,27 @@ def explain_iforest_shapley(spark, sf_dir):
     SELECT doc_id, type, count(*) AS n FROM (SELECT doc_id, unnest([a, b, z]) AS type FROM c) WHERE type IS NOT NULL GROUP BY doc_id, type""")
 def csv_line_checks(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.replace("text", F.lit("th"), F.lit('"')), "\n")).alias("value"))
-    found = df.select("doc_id", F.explode(lines.quote_checks(F.col("value"))).alias("d"))
-    return found.groupBy("doc_id", lines.issue_type(F.col("d")).alias("type")).agg(F.count("*").alias("n"))
+    found = df.select("doc_id", F.explode(lines.quote_checks(F.col("value"))).alias("x"))
+    return found.groupBy("doc_id", "x.type").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH t AS (
+        SELECT CASE WHEN k = 1 THEN [] WHEN k % 10 = 0 THEN ['Wrong field count'] WHEN k % 11 = 0 THEN ['Multiline record', 'Invalid quoting']
+                    WHEN k % 13 = 0 THEN ['Broken quoted field', 'Invalid quoting'] WHEN k % 17 = 0 THEN ['NULL byte'] ELSE [] END AS types FROM (SELECT c_custkey + 1 AS k FROM customer))
+    SELECT type, count(*) AS n FROM (SELECT unnest(types) AS type FROM t) GROUP BY type""")
+def csv_lines_validated(spark, sf_dir):
+    """The line validator on customers written as CSV lines, some of them broken in a way that their key tells."""
+    k, name, segment = F.col("c_custkey") + 1, F.translate("c_name", '"', ""), F.translate("c_mktsegment", '"', "")
+    broken = (
+        F.when(k == 1, F.concat_ws(",", k.cast("string"), name, segment))
+        .when(k % 10 == 0, F.concat_ws(",", k.cast("string"), name, segment, F.lit("more")))
+        .when(k % 11 == 0, F.concat_ws(",", k.cast("string"), F.concat(name, F.lit('"x')), segment))
+        .when(k % 13 == 0, F.concat_ws(",", k.cast("string"), F.concat(F.lit('"a""'), name, F.lit('"')), segment))
+        .when(k % 17 == 0, F.concat_ws(",", k.cast("string"), F.concat(name, F.lit("\0")), segment))
+    )
+    rows = table(spark, sf_dir, "customer").select(k.alias("line"), F.coalesce(broken, F.concat_ws(",", k.cast("string"), name, segment)).alias("value"))
+    return lines.validate_lines(rows).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -419,12 +450,42 @@ def precision_recall(spark, sf_dir):
     return scoring.precision_recall(joined, F.col("n_chars") > 2000, F.col("toxic") == 1)
 
 
-@query(None)
+_DRAW = "CAST(floor((({x2}) * ({x2}) % 2147483647) / 64) AS BIGINT) % {n}"
+
+
+def _draw_sql(salt: int, n: int, seed: int = 42) -> str:
+    x = f"((id + {1 + seed + 7919 * salt}) * 48271 % 2147483647)"
+    x = f"(({x} * {x} + {69621 * (salt + 1)}) % 2147483647 * 16807 + {salt}) % 2147483647"
+    return _DRAW.format(x2=x, n=n)
+
+
+def _pick_sql(values, salt: int) -> str:
+    return f"list_extract({list(values)}, CAST(1 + {_draw_sql(salt, len(values))} AS BIGINT))"
+
+
+@query(f"""
+    SELECT kind, count(*) AS n FROM (
+        SELECT CASE WHEN h < 60 THEN {_pick_sql(synthetic.NUMERIC, 3)} WHEN h < 70 THEN {_pick_sql(synthetic.SINGLE, 4)} ELSE {_pick_sql(synthetic.CATEGORICAL, 5)} END AS kind
+        FROM (SELECT id, {_draw_sql(2, 100)} AS h FROM range(20000) r(id) WHERE {_draw_sql(1, 100_000)} < 2000)) GROUP BY kind""")
 def synthetic_outliers(spark, sf_dir):
     return synthetic.outlier_breakdown(synthetic.synthetic_table(spark, 20_000))
 
 
-@query(None)
+def _several_rare_sql(source: str, key: str, values: tuple[str, ...], threshold: float = 0.01) -> str:
+    """Rarities of several columns; one with too many values, as the settings say, takes no part."""
+    parts, rarity, rare, joins = [], [], [], ""
+    for i, v in enumerate(values):
+        parts.append(f"f{i} AS (SELECT {v} AS v, count(*) / any_value(n) AS f FROM {source}, n WHERE {v} IS NOT NULL GROUP BY {v})")
+        parts.append(f"s{i} AS (SELECT min(f) AS lo, max(f) AS hi, count(*) AS k, count(*) + (SELECT count(*) > 0 FROM {source} WHERE {v} IS NULL)::INT <= greatest(10, floor(any_value(n) * 0.1)) AS ok FROM f{i}, n)")
+        joins += f" LEFT JOIN f{i} ON f{i}.v = {source}.{v} CROSS JOIN s{i}"
+        rarity.append(f"CASE WHEN s{i}.ok AND {v} IS NOT NULL AND s{i}.hi > s{i}.lo THEN (s{i}.hi - f{i}.f) / (s{i}.hi - s{i}.lo) ELSE 0 END")
+        rare.append(f"(s{i}.ok AND {v} IS NOT NULL AND f{i}.f < least({threshold}, 0.3 / s{i}.k))")
+    return f"WITH n AS (SELECT count(*) AS n FROM {source}), {', '.join(parts)} SELECT {key}, round(greatest({', '.join(rarity)}), 4) + 0.0 AS cat_anomaly_score, {' OR '.join(rare)} AS is_cat_outlier FROM {source}{joins}"
+
+
+@query(f"""
+    SELECT p_partkey, anomaly_score, is_outlier, cat_anomaly_score, is_cat_outlier
+    FROM ({ORACLES["hbos_outliers"]}) JOIN ({_several_rare_sql("part", "p_partkey", ("p_name", "p_brand", "p_type"))}) USING (p_partkey)""")
 def detect_all(spark, sf_dir):
     """The whole engine on part: profile, route, detector, rare categories."""
     return engine.detect(table(spark, sf_dir, "part"), Settings(algorithm="hbos"), key="p_partkey").scored.select("p_partkey", "anomaly_score", "is_outlier", "cat_anomaly_score", "is_cat_outlier")

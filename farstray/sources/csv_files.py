@@ -1,4 +1,4 @@
-"""CSV input: checks of the file, an all-text scan, counts, and the head of a table."""
+"""CSV input: checks of the file, an all-text scan, counts."""
 
 from __future__ import annotations
 
@@ -39,9 +39,22 @@ def validate_file(spark: SparkSession, path: str) -> None:
         raise CsvError(f"{path} is empty")
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Every column as text.  ``multi_line=False`` lets Spark split large files, if no field holds a line break."""
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a physical line has an odd number of double quotes, so that a field may go on in the next one."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Every column as text; bytes that are not UTF-8 become replacement characters.
+
+    Files are split, unless a line leaves a quote open: then a file is one task's, as fields may hold line breaks.
+    ``multi_line`` says so beforehand.
+    """
     validate_file(spark, path)
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, path)
     df = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     if not df.columns or df.isEmpty():
         raise CsvError(f"{path} has no rows")
@@ -57,11 +70,6 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return max(0, spark.read.option("lineSep", "\n").text(path).count() - 1)
 
 
-def head(df: DataFrame, rows: int, order: str) -> DataFrame:
-    """The first rows in the order of a key (Spark's limit alone has none)."""
-    return df.orderBy(order).limit(rows)
-
-
 def null_share(df: DataFrame) -> DataFrame:
     """One row: cells, null cells, and whether more than half are null."""
     nulls = C.total([F.col(f"`{c}`").isNull().cast("long") for c in df.columns])

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from farstray.functions import columns as C
 from farstray.operators.scoring import top_outliers
 
 
@@ -32,5 +33,8 @@ def write_explanations(explanations: DataFrame, path: str) -> None:
 def answer(scored: DataFrame, key: str, summary: dict, profile, explanations: DataFrame | None = None, rows: int = 500, explained: int = 200) -> str:
     """JSON of the profile, the summary, the first outliers and explanations; each list is bounded."""
     outliers = [json.loads(r[0]) for r in top_outliers(scored, key, rows).select(F.to_json(F.struct("*"))).collect()]
+    if explanations is not None:
+        multiple = lambda f: f.withField("multiple", C.multiple_text(f["actual_value"], f["median_value"]))
+        explanations = explanations.withColumn("top_features", F.transform("top_features", multiple))
     texts = [json.loads(r[0]) for r in explanations.limit(explained).select(F.to_json(F.struct("*"))).collect()] if explanations is not None else []
     return json.dumps({"profile": profile, "summary": summary, "outliers": outliers, "explanations": texts}, default=str)

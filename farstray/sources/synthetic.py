@@ -1,59 +1,70 @@
-"""Tables with known outliers for tests and demonstrations: every value is a hash of the row number and the seed."""
+"""Tables of deliveries with known outliers, for tests and demonstrations.
+
+Every value is drawn by whole-number arithmetic on the row number and the seed, the same on every engine.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The commonest states and the codes of the table's small columns.
-STATES = "ASSAM BIHAR GUJARAT HARYANA KARNATAKA KERALA MANIPUR ODISHA PUNJAB TRIPURA".split()
-STATUSES = ("Fully Covered", "Partially Covered", "Not Covered")
-SYLLABLES = "BA DE GO HI KU LA ME NO PI RU SA TE VO WI YU ZA".split()
-COUNTS = {"POP_SC": 800, "POP_ST": 800, "POP_GEN": 2000, "HH_SC": 300, "HH_ST": 300, "HH_GEN": 900}
-POOLS = {"DISTRICT": 150, "BLOCK": 600, "GP": 3000, "VILLAGE": 8000, "HABITATION": 12000}
+PRIME = 2_147_483_647
+REGIONS = ("north", "east", "south", "west", "centre", "coast", "islands")
+STATES = ("delivered", "returned", "on the way", "lost")
+#: Numbers and the largest ordinary value of each; parcels and weights of a size belong together.
+SIZES = ("small", "medium", "large")
+NUMBERS = {"parcels_small": 120, "parcels_medium": 60, "parcels_large": 24, "kg_small": 90, "kg_medium": 240, "kg_large": 480}
+NUMERIC = ("huge", "below_zero", "light", "nothing", "shifted")
+CATEGORICAL = ("bad_state", "bad_region", "bad_flag")
+SINGLE = ("own_stop", "own_route")
+#: Shares of the kinds of outliers, in hundredths.
+NUMERIC_SHARE, SINGLE_SHARE = 60, 10
 
 
-def _draw(salt: str, n: int, seed: int, of: Column | None = None) -> Column:
-    return F.pmod(F.xxhash64(F.lit(f"{seed}:{salt}"), F.col("id") if of is None else of), F.lit(n))
+def draw(salt: int, n: int, seed: int) -> Column:
+    """A number from 0 to n - 1 for each row: three rounds of multiplication modulo a prime."""
+    prime = F.lit(PRIME)
+    x = F.pmod((F.col("id") + F.lit(1 + seed + 7919 * salt)) * F.lit(48271), prime)
+    x = F.pmod(x * x + F.lit(69621 * (salt + 1)), prime)
+    x = F.pmod(x * F.lit(16807) + F.lit(salt), prime)
+    return F.pmod(F.floor(F.pmod(x * x, prime) / F.lit(64)), F.lit(n)).cast("int")
 
 
 def _pick(values, place: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), place.cast("int") + 1)
+    return F.element_at(F.array(*map(F.lit, values)), place + 1)
 
 
 def synthetic_table(spark: SparkSession, rows: int, contamination: float = 0.02, seed: int = 42) -> DataFrame:
-    """16 fields, IS_OUTLIER and OUTLIER_TYPE.  Half of the outliers are numeric; a tenth of the others are unique names."""
+    """id, names, numbers, flags, is_planted and kind (empty for ordinary rows) of ``rows`` deliveries.
+
+    Numeric kinds: one number far too large or below zero, weights too light for their parcels, all numbers zero, a decimal
+    point lost in one.  Categorical kinds: a state, region or flag that doesn't exist.  Single ones: a stop or route of its own.
+    """
     df = spark.range(rows)
-    name = lambda salt, n: F.concat(*(_pick(SYLLABLES, _draw(f"{salt}{k}", len(SYLLABLES), seed, _draw(salt, n, seed))) for k in range(3)))
-    million = 1_000_000
-    hit = _draw("hit", million, seed) < int(contamination * million)
-    kind = F.when(~hit, "").otherwise(
-        F.when(_draw("half", 2, seed) == 0, _pick(("high", "negative", "ratio"), _draw("numeric", 3, seed))).otherwise(F.when(_draw("single", 10, seed) == 0, "singleton").otherwise(_pick(("status", "state"), _draw("category", 2, seed))))
-    )
-    df = df.withColumn("__kind", kind).withColumn("__column", _pick(list(COUNTS), _draw("column", len(COUNTS), seed)))
-    group = _pick(("SC", "ST", "GEN"), _draw("group", 3, seed))
-    df = df.withColumn("__group", group)
-    numbers = {}
-    for c, most in COUNTS.items():
-        plain, mine = _draw(c, most + 1, seed), F.col("__column") == c
-        value = F.when((F.col("__kind") == "high") & mine, 50_000 + _draw("big", 450_001, seed)).when((F.col("__kind") == "negative") & mine, -1 - _draw("below", 500, seed))
-        ratio = (F.col("__kind") == "ratio") & (F.col("__group") == c.split("_")[1])
-        small = 1 + _draw("small", 20, seed)
-        numbers[c] = value.when(ratio, small if c.startswith("POP") else small + 200 + _draw("more", 1801, seed)).otherwise(plain)
-    unique = F.concat(F.lit("UNIQUE "), F.col("id").cast("string"))
-    fields = {"STATE": F.when(F.col("__kind") == "state", "UNKNOWN STATE").otherwise(_pick(STATES, _draw("state", len(STATES), seed)))}
-    fields |= {c: name(c, n) for c, n in POOLS.items()}
-    fields["HABITATION"] = F.when(F.col("__kind") == "singleton", unique).otherwise(fields["HABITATION"])
-    fields |= numbers
-    fields |= {"STATUS": F.when(F.col("__kind") == "status", "n/a").otherwise(_pick(STATUSES, _draw("status", 3, seed))), "FLAG1": _pick(("YES", "NO"), _draw("f1", 2, seed)), "FLAG2": _pick(("YES", "NO"), _draw("f2", 2, seed)), "DATE": _pick(("01_04_2009", "01_04_2010", "01_10_2009"), _draw("date", 3, seed))}
-    of = F.when(F.col("__kind").isin("high", "negative"), F.col("__column")).when(F.col("__kind") == "ratio", F.col("__group")).otherwise("")
-    fields |= {"IS_OUTLIER": (F.col("__kind") != "").cast("int"), "OUTLIER_TYPE": F.when(F.col("__kind") == "", "").otherwise(F.concat_ws(":", "__kind", of))}
-    return df.select("id", *(v.alias(k) for k, v in fields.items()))
+    hundred = draw(2, 100, seed)
+    kind = F.when(hundred < NUMERIC_SHARE, _pick(NUMERIC, draw(3, len(NUMERIC), seed))).when(hundred < NUMERIC_SHARE + SINGLE_SHARE, _pick(SINGLE, draw(4, len(SINGLE), seed))).otherwise(_pick(CATEGORICAL, draw(5, len(CATEGORICAL), seed)))
+    planted = draw(1, 100_000, seed) < F.lit(int(contamination * 100_000))
+    df = df.select("id", F.when(planted, kind).otherwise("").alias("kind"), draw(6, len(NUMBERS), seed).alias("__number"), _pick(SIZES, draw(7, len(SIZES), seed)).alias("__size"))
+    k, named = F.col("kind"), lambda word, n, salt: F.concat(F.lit(word + " "), draw(salt, n, seed).cast("string"))
+    out = {
+        "region": F.when(k == "bad_region", "nowhere").otherwise(_pick(REGIONS, draw(8, len(REGIONS), seed))),
+        "depot": named("depot", 40, 9),
+        "route": F.when(k == "own_route", F.concat(F.lit("route x"), F.col("id").cast("string"))).otherwise(named("route", 500, 10)),
+        "stop": F.when(k == "own_stop", F.concat(F.lit("stop x"), F.col("id").cast("string"))).otherwise(named("stop", 5000, 11)),
+    }
+    for i, (name, most) in enumerate(NUMBERS.items()):
+        plain, mine = 1 + draw(20 + i, most, seed), F.col("__number") == i
+        value = F.when((k == "huge") & mine, 40 * most + draw(30 + i, 100 * most, seed)).when((k == "below_zero") & mine, -plain).when((k == "shifted") & mine, 100 * plain).when(k == "nothing", 0)
+        light = (k == "light") & (F.col("__size") == name.split("_")[1])
+        out[name] = value.when(light, most if name.startswith("parcels") else 1).otherwise(plain)
+    out["state"] = F.when(k == "bad_state", "?").otherwise(_pick(STATES, draw(12, len(STATES), seed)))
+    out |= {f: F.when((k == "bad_flag") & F.lit(f == "signed"), "maybe").otherwise(_pick(("yes", "no"), draw(salt, 2, seed))) for f, salt in (("signed", 13), ("insured", 14))}
+    return df.select("id", *(v.alias(c) for c, v in out.items()), (k != "").cast("int").alias("is_planted"), "kind")
 
 
 def outlier_breakdown(df: DataFrame) -> DataFrame:
     """How many rows of each kind of outlier."""
-    return df.where("IS_OUTLIER = 1").groupBy(F.split("OUTLIER_TYPE", ":")[0].alias("kind")).agg(F.count("*").alias("n"))
+    return df.where("is_planted = 1").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def write_quoted_csv(df: DataFrame, path: str) -> None:
