@@ -13,12 +13,14 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
 from array import array
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 
+from farstray.llm.common import small_batches, worker_tables
+
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -75,7 +77,7 @@ class Transducer:
                 left, right = _halves(token, ranks)
                 self.halves[ranks[token]] = (ranks[left], ranks[right])
                 self.joined[ranks[left], ranks[right]] = ranks[token]
-        self.kept_apart: dict[tuple[int, int], bool] = {}
+        self.kept_apart: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -92,11 +94,11 @@ class Transducer:
         """
         if left < 0:
             return True
-        known = self.kept_apart.get((left, right))
+        known = self.kept_apart.get(left << 32 | right)
         if known is None:
-            if len(self.kept_apart) > 4 * self.most_states:
+            if len(self.kept_apart) > 2 * self.most_states:
                 self.kept_apart.clear()
-            known = self.kept_apart[left, right] = self._stay(left, right)
+            known = self.kept_apart[left << 32 | right] = self._stay(left, right)
         return known
 
     def _stay(self, left: int, right: int) -> bool:
@@ -186,32 +188,73 @@ class Transducer:
         return b"".join(out)
 
 
+def _utf8_arcs() -> list[bytes]:
+    """For each state of the automaton the next one by byte.
+
+    A state is what may come next: a character's begin (0), one to three continuation bytes (1 to 3) or one of four second bytes of
+    narrower range (after E0, ED, F0, F4: 4 to 7); 8 is an error.
+    """
+    wrong = 8
+    arcs = [bytearray([wrong]) * 256 for _ in range(9)]
+    begin = [(0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)]
+    later = {1: (0x80, 0xBF, 0), 2: (0x80, 0xBF, 1), 3: (0x80, 0xBF, 2), 4: (0xA0, 0xBF, 1), 5: (0x80, 0x9F, 1), 6: (0x90, 0xBF, 2), 7: (0x80, 0x8F, 2)}
+    for low, high, to in begin:
+        arcs[0][low : high + 1] = bytes([to]) * (high + 1 - low)
+    for state, (low, high, to) in later.items():
+        arcs[state][low : high + 1] = bytes([to]) * (high + 1 - low)
+    return [bytes(a) for a in arcs]
+
+
+HIGH = re.compile(rb"[\x80-\xff]+")
+
+
 class Utf8Stream:
-    """Text of a byte stream whose pieces may end within a character.
+    """Whole characters of a byte stream whose pieces may end within one, by an automaton that is driven by the bytes.
 
-    The state is what is left of an unfinished character: at most three bytes.
+    The state of the automaton and the bytes of an unfinished character, at most three, are all that is kept.  Runs of
+    ASCII leave the state as it is and are passed over at once.  Bytes that are in no character become U+FFFD as text and stay what they are as bytes.
     """
 
+    ARCS = _utf8_arcs()
+
     def __init__(self) -> None:
-        self.rest = b""
+        self.state, self.rest, self.wrong = 0, b"", 0
+
+    def feed_bytes(self, piece: bytes) -> bytes:
+        """The bytes of the characters that are certain now."""
+        whole = self.rest + piece
+        arcs, state, begin, at, wrong = self.ARCS, self.state, 0, len(self.rest), self.wrong
+        for run in HIGH.finditer(whole, at):
+            if run.start() > at and state:  # an unfinished character before ASCII
+                state, wrong = 0, wrong + 1
+            begin = begin if state else run.start()
+            for at in range(run.start(), run.end()):
+                byte = whole[at]
+                state = arcs[state][byte]
+                if state == 0:
+                    begin = at + 1
+                elif state == 8:
+                    # what came before is no character; the byte itself may begin one
+                    wrong += 1
+                    state = arcs[0][byte] if at > begin else 8
+                    begin = at if state < 8 else at + 1
+                    state %= 8
+            at = run.end()
+        if at < len(whole):
+            begin, state, wrong = len(whole), 0, wrong + (state > 0)
+        self.state, self.rest, self.wrong = state, whole[begin:], wrong
+        return whole[:begin]
 
     def feed(self, piece: bytes) -> str:
-        piece = self.rest + piece
-        hold = 0
-        for back in range(1, min(3, len(piece)) + 1):
-            byte = piece[-back]
-            if byte >= 0xC0:  # a leading byte: 2, 3 or 4 bytes long
-                hold = back if back < (2 + (byte >= 0xE0) + (byte >= 0xF0)) else 0
-                break
-            if byte < 0x80:
-                break
-        self.rest = piece[len(piece) - hold :]
-        return piece[: len(piece) - hold].decode("utf-8", "replace")
+        return self.feed_bytes(piece).decode("utf-8", "replace")
 
-    def close(self) -> str:
-        last, self.rest = self.rest.decode("utf-8", "replace"), b""
+    def close_bytes(self) -> bytes:
+        last, self.state, self.rest = self.rest, 0, b""
         return last
 
+    def close(self) -> str:
+        return self.close_bytes().decode("utf-8", "replace")
+
 
 class Codec:
     """Splits texts into pre-tokens, encodes each, and decodes id streams.
@@ -219,7 +262,7 @@ class Codec:
     Pre-tokens met lately are kept in two generations of bounded size; what is met again moves to the younger one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 400_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -246,17 +289,11 @@ class Codec:
         return b"".join([known(p) or missed(p) for p in pieces])
 
     def decode(self, ids: bytes, step: int = 65_536):
-        """The text in pieces, as it becomes certain."""
+        """The bytes of the text in pieces of whole characters, as they become certain."""
         stream, bytes_of = Utf8Stream(), self.bytes_of
         for at in range(0, len(ids), 4 * step):
-            yield stream.feed(b"".join([bytes_of[i] for i in array("I", ids[at : at + 4 * step])]))
-        yield stream.close()
-
-
-@lru_cache(maxsize=2)
-def _codec(ranks_path: str, pattern: str) -> Codec:
-    """One for each Python worker, for all its tasks."""
-    return Codec(read_ranks(ranks_path), pattern)
+            yield stream.feed_bytes(b"".join([bytes_of[i] for i in array("I", ids[at : at + 4 * step])]))
+        yield stream.close_bytes()
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -269,17 +306,24 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     schema = OUTPUT.replace("doc_id long", f"`{key}` {docs.schema[key].dataType.simpleString()}") + (", ids array<int>" if keep_ids else "")
 
     def run(batches):
+        # one for each Python worker, for all its tasks
+        codec = worker_tables((ranks_path, pattern), lambda: Codec(read_ranks(ranks_path), pattern))
+        gc.disable()  # the tables hold very many objects and no cycles
+        try:
+            yield from encoded(codec, batches)
+        finally:
+            gc.enable()
+
+    def encoded(codec, batches):
         import pyarrow as pa
 
-        codec = _codec(ranks_path, pattern)
-        gc.disable()  # the tables hold very many objects and no cycles
         for batch in batches:
             rows = []
             for value in batch.column(1):
                 ids = codec.encode(value.as_py() or "")
                 decoded = hashlib.sha256()
                 for piece in codec.decode(ids):
-                    decoded.update(piece.encode("utf-8"))
+                    decoded.update(piece)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), array("I", ids) if keep_ids else None))
             columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -287,6 +331,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
                 columns.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        gc.enable()
+
+    small_batches(docs.sparkSession)
 
     return docs.select(key, text).mapInArrow(run, schema)

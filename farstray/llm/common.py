@@ -74,6 +74,20 @@ def crc_mod3(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 
 
+_held: dict = {}
+
+
+def worker_tables(key, make):
+    """What ``make()`` gives, kept in this Python worker for later tasks until another operator begins here.
+
+    Workers outlive a query, and the tables of one operator would take the memory of the next.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 # --- words of whole Arrow batches -------------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -112,6 +126,7 @@ def slices(column, most_bytes: int = 256_000):
     """
     import pyarrow as pa
 
+    _held.clear()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")

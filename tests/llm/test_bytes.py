@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import struct
+from array import array
 
 import numpy as np
 import pytest
@@ -187,6 +188,34 @@ def test_utf8_stream_at_every_cut():
             assert stream.feed(raw[:i]) + stream.feed(raw[i:j]) + stream.feed(raw[j:]) + stream.close() == text
 
 
+def test_utf8_stream_keeps_bytes_that_are_no_text():
+    rng = random.Random(12)
+    odd = [b"\xff", b"\xc3", b"\xe2\x82", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc0\xaf", b"\xf0\x9f\x98", b"a", "é漢\U0001f600".encode(), b"ab c"]
+    for _ in range(400):
+        raw = b"".join(rng.choice(odd) for _ in range(rng.randrange(8)))
+        cuts = sorted(rng.randrange(len(raw) + 1) for _ in range(3))
+        pieces = [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+        as_bytes, as_text = bpe.Utf8Stream(), bpe.Utf8Stream()
+        assert b"".join([*map(as_bytes.feed_bytes, pieces), as_bytes.close_bytes()]) == raw
+        assert "".join([*map(as_text.feed, pieces), as_text.close()]) == raw.decode("utf-8", "replace")
+        valid = "�" not in raw.decode("utf-8", "replace")
+        assert not valid or as_bytes.wrong == 0 and as_bytes.rest == b""
+
+
+def test_bpe_of_a_very_long_text_without_caches(tokenizer):
+    """The path for texts beyond a million characters, and every pre-token through the transducer."""
+    path, pattern, library = tokenizer
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeéß漢 ") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    text = " ".join(rng.choice(words) for _ in range(230_000))
+    assert len(text) > 1_000_000
+    ids = array("I", bpe.Codec(bpe.read_ranks(path), pattern).encode(text)).tolist()
+    assert ids == library.encode_ordinary(text)
+    plain = bpe.Codec(bpe.read_ranks(path), pattern, most_cached=1)
+    short = text[:20_000]
+    assert array("I", plain.encode(short)).tolist() == library.encode_ordinary(short) and len(plain.cache) <= 1
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, sha1 string, last long"
