@@ -70,6 +70,11 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def row_key(docs: DataFrame) -> F.Column:
+    """A 64-bit key of a row's doc_id and text; rows that repeat both share it."""
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), docs["doc_id"].isNull(), docs["text"])
+
+
 def crc_mod3(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 

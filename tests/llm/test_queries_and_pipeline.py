@@ -1,12 +1,14 @@
 """The registered queries against their SQL, and the pipeline against its stages' definitions."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from farstray.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from farstray.llm.common import checkpointed
 from farstray.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +79,45 @@ def test_pipeline_with_nulls_repeats_and_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_pipeline_against_definitions_of_its_own(spark, tmp_path):
+    """Each stage on a small corpus against brute force that shares nothing with the operators; extra columns clash."""
+    rng = random.Random(21)
+    words = [f"w{i}x" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(60) + (" zorkig grubvex plimskrat" if i % 5 == 0 else "")) for i in range(150)]
+    passage = text(12)
+    copy = rows[1][1]
+    near = " ".join([*copy.split()[:-2], "other", "end"])
+    rows += [(200, copy), (None, copy), (None, near), (7, copy), (201, "start " + passage + " and more " + text(20)), (202, f"key api_key = Zx9aQ71kLmP0 {text(20)}"), (203, ""), (204, None), (7, text(40)), (205, f"AKIA{'Q7Z' * 6} {text(10)}"), (205, f"AKIA{'Q7Z' * 6} {text(10)}")]
+    schema = "doc_id long, text string, row long, node string, score double, label string, gone int, spans string"
+    docs = spark.createDataFrame([(i, t, 1, "n", 0.5, "l", 2, "s") for i, t in rows], schema).repartition(3)
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(150)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    kept = [(i, t) for i, t in rows if "zorkig" not in (t or "")]
+    stages = [dict(corpus_pipeline.STAGES)[k] for k in ("toxicity", "near_duplicates", "decontamination", "secrets", "tokens")]
+    show = lambda rows: sorted(map(str, rows))
+    out = stages[0](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and show((r["doc_id"], r["text"]) for r in out.collect()) == show(kept)
+    chosen = []
+    for i, t in sorted(set(kept), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        s = shingles(t or "")
+        if not s or not any(100 * len(s & o) >= 75 * len(s | o) for o in (shingles(u or "") for _, u in chosen) if o):
+            chosen.append((i, t))
+    kept = [r for r in kept if r in set(chosen)]
+    out = stages[1](spark, checkpointed(out), str(tmp_path))
+    assert show((r["doc_id"], r["text"]) for r in out.collect()) == show(kept) and (None, copy) not in kept and (7, copy) not in kept
+    kept = [(i, t) for i, t in kept if passage not in (t or "")]
+    out = stages[2](spark, checkpointed(out), str(tmp_path))
+    assert show((r["doc_id"], r["text"]) for r in out.collect()) == show(kept) and 201 not in {i for i, _ in kept}
+    hide = lambda t: t and t.replace("api_key = Zx9aQ71kLmP0", "[secret]").replace(f"AKIA{'Q7Z' * 6}", "[secret]")
+    kept = [(i, hide(t)) for i, t in kept]
+    out = stages[3](spark, checkpointed(out), str(tmp_path))
+    assert out.columns == docs.columns and show((r["doc_id"], r["text"]) for r in out.collect()) == show(kept)
+    assert show(r["doc_id"] for r in stages[4](spark, checkpointed(out), str(tmp_path)).collect()) == show(i for i, _ in kept)
