@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 
@@ -80,6 +81,20 @@ def crc_mod3(column: str) -> F.Column:
 
 
 _held: dict = {}
+_libc: list = []
+
+
+def release() -> None:
+    """Give memory that is free in this Python worker back to the system; workers stay, and so would what they once took."""
+    import pyarrow as pa
+
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda _: 0)
+    pa.default_memory_pool().release_unused()
+    _libc[0](0)
 
 
 def worker_tables(key, make):
@@ -144,6 +159,7 @@ def slices(column, most_bytes: int = 256_000):
         end = min(end, n)
         yield at, (offsets[at : end + 1] - offsets[at]), data[offsets[at] : offsets[end]]
         at = end
+    release()
 
 
 def word_spans(offsets: np.ndarray, data: np.ndarray, is_gap: np.ndarray = ASCII_SPACE):

@@ -2,7 +2,8 @@
 
 One Spark row carries the fingerprints that a task has for one range of the hash space, as bytes.  Shuffles then move
 little more than the fingerprints themselves, and sorting is left to numpy.  Ranges are even, as fingerprints are
-hashes, and one key cannot make a range hot: a task sends each distinct fingerprint (or pair) once per flush.
+hashes.  A fingerprint that very many owners have would make its range hot: such ones are found in a sample, what is to
+be said of each is broadcast, and their pairs go to their owners without being gathered.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farstray.llm.common import mix
+from farstray.llm.common import mix, release
 
 #: Items that a task holds before it sends them on.
 FLUSH = 1_000_000
+#: Fingerprints with ``HEAVY`` items in a sample of texts of about so many bytes are not gathered.  The sample decides where
+#: work is done, not what comes out; at most a fingerprint for each ``HEAVY`` items of the sample is broadcast.
+SAMPLE_BYTES, HEAVY = 256 << 20, 32
 #: Bounds of a sketch: log2 of its cells.  The largest is a bitmap of 32 MB when it is broadcast.
 LEAST_CELLS, MOST_CELLS = 16, 28
 
@@ -69,10 +73,12 @@ def by_range(rows: DataFrame, work: Callable[[int, list[bytes]], Iterator], sche
                 if held and key != now:
                     yield from work(now, held)
                     held = []
+                    release()
                 now = key
                 held.append(data.as_py())
         if held:
             yield from work(now, held)
+        release()
 
     return rows.repartition(partitions(rows), "range").sortWithinPartitions("range").mapInArrow(run, schema)
 
@@ -159,8 +165,65 @@ def marked(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
 # --- exact grouping ---------------------------------------------------------------------------------------------------
 
 
-def pairs_by_range(source: DataFrame, pairs: Callable[[object], Iterable[tuple[np.ndarray, np.ndarray]]], per_partition: int = 2) -> DataFrame:
-    """Rows (range, data) of the (owner, fingerprint) pairs that ``pairs(batch)`` yields, for ``by_range``."""
+def heavy_items(source: DataFrame, items: Callable[[object], Iterable[np.ndarray]], total_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints that ``HEAVY`` items or more of a sample have, in order, and their counts there."""
+    share = min(1.0, SAMPLE_BYTES / max(total_bytes, 1))
+    n = 2 * partitions(source)
+
+    def count(batches):
+        import pyarrow as pa
+
+        held, waiting = [], 0
+
+        def flush():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            cuts = np.searchsorted(ranges(keys, n), np.arange(n + 1))  # keys are sorted, and so are their ranges
+            at = [k for k in range(n) if cuts[k] < cuts[k + 1]]
+            data = [pack_pairs(counts[cuts[k] : cuts[k + 1]].astype(np.int64), keys[cuts[k] : cuts[k + 1]]) for k in at]
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["range", "data"])
+
+        for batch in batches:
+            for part in items(batch):
+                if len(part):
+                    held.append(part)
+                    waiting += len(part)
+                    if waiting >= FLUSH:
+                        yield flush()
+                        waiting = 0
+        if held:
+            yield flush()
+
+    def add(_, parts):
+        import pyarrow as pa
+
+        counts, keys = map(np.concatenate, zip(*map(unpack_pairs, parts)))
+        keys, at = np.unique(keys, return_inverse=True)
+        counts = np.bincount(at, weights=counts).astype(np.int64)
+        often = counts >= HEAVY
+        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["key", "n"])
+
+    sample = source.sample(share, 7) if share < 1 else source
+    found = by_range(sample.mapInArrow(count, "range int, data binary"), add, "key long, n long").toArrow()
+    keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order].astype(np.uint64)
+
+
+def is_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``values`` are among the sorted ``keys``, and the place of each there."""
+    if not len(keys):
+        return np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return keys[at] == values, at
+
+
+def pairs_by_range(source: DataFrame, pairs: Callable[[object], Iterable[tuple[np.ndarray, np.ndarray]]], heavy, per_partition: int = 2) -> DataFrame:
+    """Rows (range, data) of the (owner, fingerprint) pairs that ``pairs(batch)`` yields, for ``by_range``.
+
+    ``heavy`` is a broadcast (sorted fingerprints, a number for each).  Pairs of these are dealt by owner and carry the number:
+    ``unpack_pairs`` gives three columns of them and two of others.
+    """
     n = per_partition * partitions(source)
 
     def send(batches):
@@ -168,16 +231,21 @@ def pairs_by_range(source: DataFrame, pairs: Callable[[object], Iterable[tuple[n
 
         owners: list[np.ndarray] = []
         values: list[np.ndarray] = []
+        known, numbers = heavy.value
 
         def flush():
             owner, value = np.concatenate(owners), np.concatenate(values)
             owners.clear()
             values.clear()
-            at = ranges(value, n)
-            order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(n + 1))
-            keys = [k for k in range(n) if cuts[k] < cuts[k + 1]]
-            data = [pack_pairs(owner[order[cuts[k] : cuts[k + 1]]], value[order[cuts[k] : cuts[k + 1]]]) for k in keys]
+            often, place = is_in(known, value)
+            keys, data = [], []
+            for to, columns in ((ranges(value[~often], n), (owner[~often], value[~often])), (ranges(mix(owner[often].astype(np.int64).view(np.uint64)), n), (owner[often], value[often], numbers[place[often]]))):
+                order = np.argsort(to, kind="stable")
+                cuts = np.searchsorted(to[order], np.arange(n + 1))
+                for k in range(n):
+                    if cuts[k] < cuts[k + 1]:
+                        keys.append(k)
+                        data.append(pack_pairs(*(c[order[cuts[k] : cuts[k + 1]]] for c in columns)))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["range", "data"])
 
         waiting = 0
@@ -196,13 +264,17 @@ def pairs_by_range(source: DataFrame, pairs: Callable[[object], Iterable[tuple[n
     return source.mapInArrow(send, "range int, data binary")
 
 
-def grouped(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of a range, sorted by fingerprint, then owner; and where each fingerprint's group starts."""
-    owner, value = (np.concatenate(x) for x in zip(*map(unpack_pairs, parts)))
+def grouped(parts: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The pairs of a range sorted by fingerprint, then owner, with where each fingerprint's group starts; and the heavy pairs
+    (owner, fingerprint, number) as they came."""
+    found = [unpack_pairs(p) for p in parts]
+    light, heavy = ([f for f in found if len(f) == k] for k in (2, 3))
+    owner, value = map(np.concatenate, zip(*light)) if light else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
     order = np.lexsort((owner, value))
     owner, value = owner[order], value[order]
     first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=np.int64)
-    return owner, value, first
+    passed = tuple(map(np.concatenate, zip(*heavy))) if heavy else (np.zeros(0, dtype=np.int64), *(np.zeros(0, dtype=np.uint64),) * 2)
+    return (owner, value, first), passed
 
 
 def answered(rows: DataFrame, work: Callable[[int, list[bytes]], Iterator[tuple[np.ndarray, ...]]], owner: str, names: list[str]) -> DataFrame:

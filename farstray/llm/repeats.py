@@ -2,7 +2,8 @@
 
 The sketch overestimates: a window it counts once occurs once and needs no shuffle.  Windows it counts twice or more
 are grouped exactly by fingerprint, so none is lost, and each document learns which of its windows start in a document
-with a smaller doc_id.  The sketch has a bounded size; where the corpus outgrows it, it lets more through and the second
+with a smaller doc_id.  Of windows that very many documents hold, the smallest doc_id is found by an aggregate that tasks
+begin, and no group is gathered.  The sketch has a bounded size; where the corpus outgrows it, it lets more through and the second
 pass, which is exact, does more of the work.  Windows are compared by 64-bit fingerprints of their words.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farstray.llm import packed
-from farstray.llm.common import checkpointed, run_hashes, sized, slices, small_batches, word_hashes, word_spans
+from farstray.llm.common import checkpointed, run_hashes, sized_bytes, slices, small_batches, word_hashes, word_spans
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -29,6 +30,34 @@ def windows(column, size: int):
         yield row[: len(runs)][within] + at, runs[within]
 
 
+def _least_owners(texts: DataFrame, keys: np.ndarray, size: int) -> np.ndarray:
+    """The smallest owner of each of the sorted windows ``keys``."""
+    out = np.zeros(len(keys), dtype=np.uint64)
+    if not len(keys):
+        return out
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def least(batches):
+        import pyarrow as pa
+
+        known = shared.value
+        best = np.full(len(known), NO_ID)
+        seen = np.zeros(len(known), dtype=bool)
+        for batch in batches:
+            owner = batch.column("owner").to_numpy(zero_copy_only=False)
+            for row, h in windows(batch.column("text"), size):
+                hit, at = packed.is_in(known, h)
+                np.minimum.at(best, at[hit], owner[row[hit]])
+                seen[at[hit]] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(best[at])], names=["at", "least"])
+
+    found = texts.select("owner", "text").mapInArrow(least, "at long, least long").groupBy("at").agg(F.min("least").alias("least")).toArrow()
+    out[found["at"].to_numpy()] = found["least"].to_numpy().view(np.uint64)
+    shared.destroy()
+    return out
+
+
 def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept`` with ``keep_text``) of every document.
 
@@ -39,7 +68,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("owner"), "text")
-    bits = packed.log2_cells(packed.text_bytes(texts) // 7)
+    size_of_all = packed.text_bytes(texts)
+    bits = packed.log2_cells(size_of_all // 7)
     bitmap = packed.count_min(texts.select("text"), lambda batch: (h for _, h in windows(batch.column("text"), size)), bits)
     sketch = spark.sparkContext.broadcast(bitmap)
 
@@ -50,16 +80,18 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
             yield owner[row[hit]], h[hit]
 
     def losers(_, parts):
-        owner, value, first = packed.grouped(parts)
+        (owner, value, first), (heavy_owner, heavy_value, heavy_least) = packed.grouped(parts)
         least = np.repeat(owner[first], np.diff(np.r_[first, len(owner)]))  # sorted: a group's first owner is its smallest
         lost = owner > least
         yield owner[lost], value[lost]
+        lost = heavy_owner > heavy_least.view(np.int64)
+        yield heavy_owner[lost], heavy_value[lost]
 
-    rows = packed.pairs_by_range(texts.select("owner", "text"), suspects)
+    heavy, _ = packed.heavy_items(texts.select("text"), lambda batch: (h for _, h in windows(batch.column("text"), size)), size_of_all)
+    heavy = spark.sparkContext.broadcast((heavy, _least_owners(texts, heavy, size)))
+    rows = packed.pairs_by_range(texts.select("owner", "text"), suspects, heavy)
     lost = checkpointed(packed.answered(rows, losers, "owner", ["lost"]))
-    ids = sized(lost.select("owner"), 1_000_000)
-    changed = texts.join(ids, "owner", "left_semi").join(lost, "owner")
-    same = texts.join(ids, "owner", "left_anti").withColumn("lost", F.lit(None).cast("binary"))
+    both = texts.join(sized_bytes(lost, "lost"), "owner", "left").select("doc_id", "text", "lost")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
     def cut(batches):
@@ -83,5 +115,4 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + keep_text])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + keep_text])
 
-    both = changed.select("doc_id", "text", "lost").unionByName(same.select("doc_id", "text", "lost"))
     return both.mapInArrow(cut, schema)

@@ -360,14 +360,17 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
 
     def repeated(_, parts):
         """Seeds with more than one anchor, with the last bit set where there are many."""
-        owner, value, first = packed.grouped(parts)
+        (owner, value, first), (heavy_owner, heavy_value, _) = packed.grouped(parts)
         n = np.diff(np.r_[first, len(owner)])
         n = np.repeat(n, n)
         yield owner[n > 1], value[n > 1] | (n[n > 1] >= HOT).astype(np.uint64)
+        yield heavy_owner, heavy_value | np.uint64(1)
 
-    wanted = checkpointed(packed.answered(packed.pairs_by_range(source, seeds), repeated, "key", ["seeds"]))
+    size = packed.text_bytes(long)
+    heavy = spark.sparkContext.broadcast(packed.heavy_items(source, lambda batch: (seed for _, seed in seeds(batch)), size))
+    wanted = checkpointed(packed.answered(packed.pairs_by_range(source, seeds, heavy), repeated, "key", ["seeds"]))
     source = source.join(sized_bytes(wanted, "seeds"), "key")
-    shards = max(LEAST_SHARDS, -(-packed.text_bytes(long) // TEXT_BYTES))
+    shards = max(LEAST_SHARDS, -(-size // TEXT_BYTES))
 
     def send(batches):
         import pyarrow as pa

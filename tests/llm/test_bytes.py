@@ -108,6 +108,16 @@ def test_suffix_dedup_of_very_long_texts_and_null_ids(spark, monkeypatch, seed):
     assert sorted(found, key=str) == sorted(without_repeats(rows), key=str)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_suffix_dedup_with_seeds_that_are_not_gathered(spark, monkeypatch, seed):
+    monkeypatch.setattr(packed, "HEAVY", 3)
+    rows = random_texts(seed)
+    line = "".join(random.Random(seed).choice("abcdefgh") for _ in range(210))
+    rows += [(i, f"{i} head {line[: 190 + i % 21]} tail {i}") for i in range(200, 240)]
+    found = [tuple(r) for r in suffixes.remove_substrings(wide(spark, rows)).collect()]
+    assert sorted(found) == sorted(without_repeats(rows))
+
+
 def test_seeds_are_dealt_evenly():
     """Seeds are the least of many hashes; dealt as they are, nearly all would be in the first range."""
     data = np.random.default_rng(5).integers(97, 123, 2_000_000, dtype=np.uint8)

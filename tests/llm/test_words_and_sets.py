@@ -157,6 +157,28 @@ def test_repeats(spark, seed):
     assert sorted(found, key=key) == sorted(kept_words(rows), key=key)
 
 
+@pytest.mark.parametrize("sample", [256 << 20, 20_000])
+def test_frequent_windows_and_shingles_are_not_gathered(spark, monkeypatch, sample):
+    monkeypatch.setattr(repeats.packed, "HEAVY", 2)
+    monkeypatch.setattr(repeats.packed, "SAMPLE_BYTES", sample)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = corpus(9) + [(i, f"u{i} v{i} {passage} x{i} y{i % 3}") for i in range(300, 340)] + [(None, passage)]
+    found = [tuple(r) for r in repeats.remove_repeats(wide(spark, rows)).collect()]
+    assert sorted(found, key=key) == sorted(kept_words(rows), key=key)
+    found = [tuple(r) for r in jaccard.similar_components(wide(spark, rows)).collect()]
+    assert sorted(found, key=key) == sorted(components(rows), key=key)
+    pairs = repeats.packed.pairs_by_range
+    gathered = []
+
+    def seen(source, items, heavy, *rest):
+        gathered.append(len(heavy.value[0]))
+        return pairs(source, items, heavy, *rest)
+
+    monkeypatch.setattr(repeats.packed, "pairs_by_range", seen)
+    repeats.remove_repeats(wide(spark, rows)).collect()
+    assert gathered[0] > 0
+
+
 def test_repeats_with_a_full_sketch_lose_nothing(spark, monkeypatch):
     """Where nearly every cell is shared the exact pass does all of the work."""
     monkeypatch.setattr(repeats.packed, "LEAST_CELLS", 9)
