@@ -65,7 +65,7 @@ class Transducer:
     places where a later token could begin, so that a step only looks at what one more byte changes.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
         self.ranks = ranks
         self.most_states = most_states
         self.prefixes = {token[:k] for token in ranks for k in range(1, len(token) + 1)}

@@ -1,8 +1,8 @@
 """Secrets in texts by patterns and by a battery of randomness tests, in DataFrame operations only.
 
 Strings of 20 or more key characters that mix letters and digits (or cases, as no words do) are tested for being random in the alphabet they seem
-to be written in: chi-squared uniformity of its characters, runs above and below the middle of the alphabet, and
-correlation of neighbours.  "It is random" is the hypothesis; within each length class (powers of two, as long strings
+to be written in: chi-squared uniformity of its characters, runs above and below the middle of the alphabet, runs of
+characters of one kind (small or capital letters, digits, signs), and correlation of neighbours.  "It is random" is the hypothesis; within each length class (powers of two, as long strings
 give the tests more power) the Benjamini-Hochberg procedure says which strings are not, and the others are secrets.
 """
 
@@ -33,6 +33,9 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+KIND_OF = {"abcdefghijklmnopqrstuvwxyz": "a", "ABCDEFGHIJKLMNOPQRSTUVWXYZ": "A", "0123456789": "0", "+/_-": "-"}
+#: Places where the kind changes.
+CHANGE = "(?<=a)[^a]|(?<=A)[^A]|(?<=0)[^0]|(?<=-)[^-]"
 RANK = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 SPAN = "array<struct<start:long,rank:int,end:long>>"
 
@@ -61,6 +64,12 @@ def _upper_tail(z: F.Column) -> F.Column:
     return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070565992 * z * z * z)))
 
 
+def kind_changes(alphabet: str) -> tuple[float, float]:
+    """The chance that two random neighbours are of different kinds, and that it happens twice in a row."""
+    share = [sum(c in chars for c in alphabet) / len(alphabet) for chars in KIND_OF]
+    return sum(p * (1 - p) for p in share), sum(p * (1 - p) ** 2 for p in share)
+
+
 def randomness(token: F.Column) -> F.Column:
     """The p-value of "the characters are random", null for what no alphabet fits or lacks kinds of characters that random strings have.
 
@@ -68,14 +77,16 @@ def randomness(token: F.Column) -> F.Column:
     20 in thirty has no digit; without one the case must change at a third of the places, as it doesn't in words.
     """
     fits = [(F.length(F.translate(token, a + "=", "")) == 0, a) for a in ALPHABETS.values()]
-    alphabet = F.lit(None).cast("string")
+    alphabet, once, two = F.lit(None).cast("string"), F.lit(0.5), F.lit(0.25)
     for ok, a in reversed(fits):
         alphabet = F.when(ok, F.lit(a)).otherwise(alphabet)
+        once, two = (F.when(ok, F.lit(chance)).otherwise(other) for chance, other in zip(kind_changes(a), (once, two)))
     changes = F.regexp_count(token, F.lit("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"))
     digit = token.rlike("[0-9]")
     mixed = F.when(F.length(alphabet) == 64, digit & token.rlike("[A-Za-z]") | (3 * changes >= F.length(token))).otherwise(digit & token.rlike("[A-Za-z]"))
     body = F.rtrim(F.translate(token, "=", " "))
-    setup = F.struct(alphabet.alias("a"), F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double")).alias("x"))
+    kinds = F.translate(body, "".join(KIND_OF), "".join(kind * len(chars) for chars, kind in KIND_OF.items()))
+    setup = F.struct(alphabet.alias("a"), once.alias("once"), two.alias("twice"), F.regexp_count(kinds, F.lit(CHANGE)).cast("double").alias("changes"), F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double")).alias("x"))
 
     def tests(s):
         x, size = s["x"], F.length(s["a"]).cast("double")
@@ -93,12 +104,16 @@ def randomness(token: F.Column) -> F.Column:
         twice = 2 * ones * zeros
         spread = F.sqrt(F.greatest(twice * (twice - n) / (n * n * (n - 1)), F.lit(0.0)))
         z_runs = F.when(spread > 0, F.abs(runs - 1 - twice / n) / spread).otherwise(F.lit(0.0))
+        # too few changes of kind only: words, and numbers behind them
+        varies = (n - 1) * s["once"] * (1 - s["once"]) + 2 * (n - 2) * (s["twice"] - s["once"] * s["once"])
+        z_kinds = ((n - 1) * s["once"] - s["changes"]) / F.sqrt(F.greatest(varies, F.lit(1e-9)))
         mean = total(x) / n
         power = total(F.transform(x, lambda v: (v - mean) * (v - mean)))
         serial = total(F.transform(pairs, lambda p: (p["p"] - mean) * (p["q"] - mean)))
         z_serial = F.when(power > 0, F.abs(serial / power) * F.sqrt(n)).otherwise(F.lit(0.0))
-        least = F.least(_upper_tail(z_chi), 2 * _upper_tail(z_runs), 2 * _upper_tail(z_serial))
-        return F.least(F.lit(1.0), 3 * least)
+        # people choose parts of some keys, and changes of kind suffer first: that test needs ten times the evidence
+        least = F.least(_upper_tail(z_chi), 2 * _upper_tail(z_runs), 10 * _upper_tail(F.greatest(z_kinds, F.lit(-6.0))), 2 * _upper_tail(z_serial))
+        return F.least(F.lit(1.0), 4 * least)
 
     p = F.element_at(F.transform(F.array(setup), tests), 1)
     return F.when(mixed & alphabet.isNotNull() & (F.length(body) >= SHORTEST), p)

@@ -1,6 +1,7 @@
 """Toxicity, exact top-k, page text and secret scans: held-out accuracy and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -223,6 +224,76 @@ def test_values_of_env_files_and_keys_without_digits(spark):
     assert secrets.redact(docs).where("doc_id = 0").first()["text"] == "AWS_SECRET_ACCESS_KEY=[secret]"
 
 
+def by_definition(token, alphabet):
+    """The battery's p-value with the distributions themselves: an incomplete gamma series and the error function."""
+    body = token.rstrip("=")
+    x = [alphabet.index(c) + 1 for c in body]
+    n, size = len(x), len(alphabet)
+    chi = sum(x.count(v) ** 2 for v in set(x)) * size / n - n
+    a, z = (size - 1) / 2, chi / 2
+    term = total = 1 / a
+    for k in range(1, 2000):
+        term *= z / (a + k)
+        total += term
+    p_chi = 1 - total * math.exp(-z + a * math.log(z) - math.lgamma(a))
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    high = [v > size / 2 for v in x]
+    ones, zeros = sum(high), n - sum(high)
+    runs = 1 + sum(p != q for p, q in zip(high, high[1:]))
+    spread = math.sqrt(2 * ones * zeros * (2 * ones * zeros - n) / (n * n * (n - 1))) if ones and zeros else 0
+    p_runs = 2 * tail(abs(runs - 1 - 2 * ones * zeros / n) / spread) if spread else 1.0
+    mean = sum(x) / n
+    power = sum((v - mean) ** 2 for v in x)
+    p_serial = 2 * tail(abs(sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / power) * math.sqrt(n))
+    kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
+    share = [sum(kind(c) == k for c in alphabet) / size for k in "aA0-"]
+    q, two = sum(s * (1 - s) for s in share), sum(s * (1 - s) ** 2 for s in share)
+    changes = sum(kind(p) != kind(r) for p, r in zip(body, body[1:]))
+    p_kinds = tail(((n - 1) * q - changes) / math.sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * (two - q * q)))
+    return min(1.0, 4 * min(p_chi, p_runs, p_serial, 10 * p_kinds))
+
+
+def test_p_values_of_the_battery(spark):
+    rng = random.Random(17)
+    rows = []
+    for name, alphabet in secrets.ALPHABETS.items():
+        for n in (20, 33, 64, 200):
+            token = "".join(rng.choice(alphabet) for _ in range(n))
+            token = token if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) else "a1A1"[:2] + token[2:]
+            if next(a for a in secrets.ALPHABETS.values() if all(c in a for c in token)) == alphabet:
+                rows.append((token, alphabet))
+    rows += [("parse_stream_2_value_9", secrets.ALPHABETS["base64url"]), ("abababababab1b1b1b1b1b1b", secrets.ALPHABETS["hex"]), ("BuildFactoryConfig7Of3Z", secrets.ALPHABETS["base64"])]
+    found = spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", secrets.randomness(F.col("t")).alias("p")).collect()
+    assert len(rows) > 20
+    for r, (token, alphabet) in zip(found, rows):
+        expected = by_definition(token, alphabet)
+        assert abs(r["p"] - expected) < 0.02 + 0.1 * expected, token
+
+
+def test_random_keys_are_found_and_identifiers_left_alone(spark):
+    rng = random.Random(5)
+    verbs, nouns = "get set make read write load find parse build check open close send fetch".split(), "user name table index value buffer stream record window session handler request".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [letters + letters.lower() + "0123456789+/", letters + letters.lower() + "0123456789-_", letters.lower() + "0123456789", letters + "0123456789", letters + "234567", "0123456789ABCDEF"]
+    keys = ["".join(rng.choice(kinds[i % 6]) for _ in range(rng.choice([20, 24, 32, 40, 64, 88]))) for i in range(300)]
+
+    def name(i):
+        words = [rng.choice(verbs), *(rng.choice(nouns) for _ in range(rng.randrange(3, 6)))]
+        return [f"{'_'.join(words)}_v{i % 9}", f"{'-'.join(words)}-{i}", "/".join(["usr", "lib", *words]), "".join(w.title() for w in words) + f"Impl{i % 9}"][i % 4]
+
+    names = [name(i) for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate([f"see {t} here" for t in keys + names])), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert sum(f":4:{4 + len(k)}" in spans[i] for i, k in enumerate(keys)) >= 0.9 * len(keys)
+    assert sum(spans[len(keys) + i] != "" for i in range(len(names))) <= 0.05 * len(names)
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "word " * 200_000 + f"token: abc123 AKIA{'Z9' * 10} " + "k9Qz" * 3 + " x" * 300_000
+    [row] = secrets.scan(spark.createDataFrame([(None, text)], "doc_id long, text string")).collect()
+    assert (row["n_assign"], row["n_access"], row["n_hex"]) == (1, 1, 0) and row["spans"].startswith("assign:1000000:1000013")
+
+
 def test_secrets_of_nothing_and_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     out = secrets.scan(docs)
