@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 
@@ -33,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Where the setting is missing (local tests), a folder of this process is used and removed at its end.
+    Where the setting is missing, a folder of this process is used and removed at its end; that is for local masters
+    only, as executors elsewhere would not see it.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="checkpoints-"))
             atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)

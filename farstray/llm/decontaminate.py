@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farstray.llm.common import checkpointed, sized
+from farstray.llm.common import checkpointed, sized, sized_bytes
+
+#: Words or windows of the benchmark of at most so many bytes are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,19 +50,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     tokens = docs.select("doc_id", F.xxhash64("text").alias("copy"), words("text").alias("w"))
     vocabulary = checkpointed(windows.select(F.explode("words").alias("word")).distinct())
     found = tokens.select(F.explode("w").alias("word"))
-    counts = checkpointed(found.join(sized(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n")))
+    counts = checkpointed(found.join(sized_bytes(vocabulary, "word", BROADCAST_BYTES), "word").groupBy("word").agg(F.count("*").alias("n")))
     placed = windows.select("id", F.posexplode("words").alias("place", "word")).join(counts, "word", "left")
     rarest = placed.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r")).where("r.n > 0")
-    rarest = rarest.join(windows, "id").groupBy(F.col("r.word").alias("word"))
-    prefix = checkpointed(rarest.agg(F.collect_list(F.struct(F.col("r.place").alias("place"), F.size("words").alias("len"), "window", "id")).alias("at")))
-    # the context holds every window that the word at pos can be in
-    met = tokens.select("doc_id", "copy", "w", F.posexplode("w").alias("pos", "word")).join(sized(prefix), "word")
+    prefix = rarest.join(windows, "id").select(F.col("r.word").alias("word"), F.col("r.place").alias("place"), F.size("words").alias("len"), "window", "id")
+    prefix = checkpointed(prefix)
+    met = tokens.select("doc_id", "copy", "w", F.posexplode("w").alias("pos", "word")).join(sized_bytes(prefix, "window", BROADCAST_BYTES), "word")
+    # near holds every window that the word at pos can be in
     left = F.least(F.col("pos"), F.lit(size - 1))
-    met = met.select("doc_id", "copy", "pos", left.alias("left"), F.slice("w", F.col("pos") - left + 1, 2 * size).alias("near"), F.explode("at").alias("at"))
-    begin = F.col("left") - F.col("at.place")
-    fits = (begin >= 0) & (begin + F.col("at.len") <= F.size("near"))
-    met = met.where(fits).where(F.array_join(F.slice("near", begin + 1, F.col("at.len")), " ") == F.col("at.window"))
-    hits = met.select("doc_id", "copy", (F.col("pos") - F.col("at.place")).alias("start"), F.col("at.len").alias("len"), F.col("at.id").alias("id")).distinct()
+    met = met.select("doc_id", "copy", "pos", "place", "len", "window", "id", left.alias("left"), F.slice("w", F.col("pos") - left + 1, 2 * size).alias("near"))
+    begin = F.col("left") - F.col("place")
+    fits = (begin >= 0) & (begin + F.col("len") <= F.size("near"))
+    met = met.where(fits).where(F.array_join(F.slice("near", begin + 1, F.col("len")), " ") == F.col("window"))
+    hits = met.select("doc_id", "copy", (F.col("pos") - F.col("place")).alias("start"), "len", "id").distinct()
     hits = checkpointed(hits)
     # hit words: windows in the order of their starts add what the ones before have not covered
     order = Window.partitionBy("doc_id", "copy").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)

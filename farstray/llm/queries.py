@@ -49,6 +49,10 @@ def op9_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_counts(spark, sf_dir):
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op10_suffixes(spark, sf_dir):
     return suffixes.remove_substrings(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_suffixes": op10_suffixes,
     "op3_jaccard_links": op3_jaccard_links,
+    "op9_secret_counts": op9_secret_counts,
 }
 
 ORACLES: dict[str, str] = {
@@ -120,6 +125,43 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
                sha256(array_to_string(list_filter(w, lambda x, k: ks IS NULL OR NOT list_contains(ks, k)), ' ')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
+    # the 160 bits of a digest by five
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+        ), k AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS digest, max(page_id) OVER (PARTITION BY h) AS last FROM p
+        ), b AS (SELECT *, array_to_string(list_transform(string_split(digest, ''), lambda c: right('0000' || bin(instr('0123456789abcdef', c) - 1), 4)), '') AS bits FROM k)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS BIGINT) * (16 >> CAST(j AS INTEGER)))) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+        FROM b""",
+    # in this table the article element is the main text
+    "op8_html_text": r"""
+        WITH a AS (
+            SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS t FROM pages
+        ), p AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+        SELECT page_id, url, text, length(text) AS n_chars FROM p""",
+    "op9_secret_counts": r"""
+        SELECT doc_id,
+               CAST(len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6)) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS BIGINT) AS n_access,
+               CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 24)) AS BIGINT) AS n_hex
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "op10_suffixes": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), s AS (
+            SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k
+            FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 200)) AS i FROM d WHERE length(h) >= 400)
+        ), m AS (SELECT doc_id, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)
+        ), g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS new FROM m
+        ), r AS (
+            SELECT doc_id, min(i) AS b, max(i) + 200 AS e
+            FROM (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run
+        ), l AS (SELECT doc_id, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es, sum(e - b) AS gone FROM r GROUP BY doc_id
+        ), k AS (SELECT d.doc_id, h, length(h) // 2 AS n, coalesce(bs, []) AS bs, coalesce(es, []) AS es, coalesce(gone, 0) AS gone FROM d LEFT JOIN l USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(len(bs) AS BIGINT) AS n_spans,
+               sha256(unhex(array_to_string(list_transform(list_zip([0] || es, bs || [n]), lambda x: substr(h, 2 * x[1] + 1, 2 * (x[2] - x[1]))), ''))) AS kept_sha256
+        FROM k""",
     "op3_jaccard": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
