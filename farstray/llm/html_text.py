@@ -10,11 +10,14 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from farstray.llm.common import small_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PART = re.compile(r"[a-z]+")
@@ -260,13 +263,20 @@ def main_text(page: str | None, model: ChainModel) -> str:
     return " ".join(b.text for b, label in zip(blocks, labels) if label)
 
 
+@lru_cache(maxsize=4)
+def trained(pages: int) -> ChainModel:
+    """The model of so many generated pages; the same ones each time, so a session trains it once."""
+    return train(labelled(pages))
+
+
 def extract(pages: DataFrame, model: ChainModel | None = None, training_pages: int = 400) -> DataFrame:
     """page_id, url, text, n_chars of every page; null html is empty and gives an empty text.
 
     The model is trained once on the driver from ``training_pages`` generated labelled pages, and broadcast: its size is
     that of their vocabulary of tags and classes.  Repeated rows stay repeated; other columns are ignored.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled(training_pages)))
+    small_batches(pages.sparkSession)
+    shared = pages.sparkSession.sparkContext.broadcast(model or trained(training_pages))
     taken = pages.select("page_id", "url", "html")
 
     def run(batches):

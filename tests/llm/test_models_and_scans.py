@@ -1,10 +1,12 @@
 """Toxicity, exact top-k, page text and secret scans: held-out accuracy and brute force."""
 
 import hashlib
+import html
 import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,6 +153,28 @@ def test_text_of_pages_the_model_has_not_seen(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no tables")
+def test_text_of_the_tables_pages_is_their_article(spark):
+    """In the table the article element holds the main text: words found of those there, and the other way round."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found = {r["page_id"]: r["text"].split() for r in html_text.extract(pages).collect()}
+    common = there = said = 0
+    for r in pages.collect():
+        article = re.search("<article>(.*)</article>", r["html"], re.S)
+        words = html.unescape(re.sub("<[^>]*>", " ", article.group(1))).split()
+        common += sum((Counter(words) & Counter(found[r["page_id"]])).values())
+        there, said = there + len(words), said + len(found[r["page_id"]])
+    assert common >= 0.98 * there and common >= 0.98 * said
+
+
+def test_very_long_and_broken_pages(spark):
+    long = "<body><nav><ul><li><a href='/x'>home</a></li></ul></nav><article>" + "<p>Some words of a sentence that goes on, and another one.</p>" * 20_000 + "</article><footer>end</footer></body>"
+    broken = ['<p class="x>never closed quote <p>next</p>', "<div id='a\"b'><article><p>text</article", "<" * 5000, "<p " + "a=b " * 3000, "&#xZZ; &#99999999; &unknown; &amp", "</p></p></article><p>left over"]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate([long, *broken])], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert len(found) == 7 and len(found[0].split()) >= 0.98 * 11 * 20_000 and "home" not in found[0] and not found[0].endswith("end")
+
+
 def test_leaf_blocks_of_odd_markup():
     texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
     assert texts("<p>a &amp; b&nbsp;c<br>d<p>e <b>f</b>g</p>") == ["a & b c d", "e fg"]
