@@ -19,7 +19,7 @@ from array import array
 import regex
 from pyspark.sql import DataFrame
 
-from farstray.llm.common import small_batches, worker_tables
+from farstray.llm.common import small_batches, tidy, worker_tables
 
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -334,4 +334,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
 
     small_batches(docs.sparkSession)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)

@@ -84,6 +84,18 @@ def crc_mod3(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 
 
+def tidy(work):
+    """``work`` on Arrow batches, with ``release`` at the end of each task, when its own arrays are gone."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 _held: dict = {}
 _libc: list = []
 

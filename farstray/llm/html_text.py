@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from farstray.llm.common import small_batches
+from farstray.llm.common import small_batches, tidy
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -286,4 +286,4 @@ def extract(pages: DataFrame, model: ChainModel | None = None, training_pages: i
             texts = [main_text(page.as_py(), shared.value) for page in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return taken.mapInArrow(run, taken.select("page_id", "url").schema.add("text", T.StringType()).add("n_chars", T.LongType()))
+    return taken.mapInArrow(tidy(run), taken.select("page_id", "url").schema.add("text", T.StringType()).add("n_chars", T.LongType()))

@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farstray.llm.common import mix, release
+from farstray.llm.common import mix, release, tidy
 
 #: Items that a task holds before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 600_000
 #: Fingerprints with ``HEAVY`` items in a sample of texts of about so many bytes are not gathered.  The sample decides where
 #: work is done, not what comes out; at most a fingerprint for each ``HEAVY`` items of the sample is broadcast.
 SAMPLE_BYTES, HEAVY = 256 << 20, 32
@@ -80,7 +80,7 @@ def by_range(rows: DataFrame, work: Callable[[int, list[bytes]], Iterator], sche
             yield from work(now, held)
         release()
 
-    return rows.repartition(partitions(rows), "range").sortWithinPartitions("range").mapInArrow(run, schema)
+    return rows.repartition(partitions(rows), "range").sortWithinPartitions("range").mapInArrow(tidy(run), schema)
 
 
 # --- count-min sketch -------------------------------------------------------------------------------------------------
@@ -149,7 +149,7 @@ def count_mins(source: DataFrame, items: Callable[[object], Iterable[np.ndarray]
             total[at] += np.minimum(raw[4 * n :], 255 - total[at])
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([b"".join(np.packbits(total >= least).tobytes() for least in leasts)], pa.binary())], names=["range", "bitmap"])
 
-    rows = source.mapInArrow(count, "range int, data binary")
+    rows = source.mapInArrow(tidy(count), "range int, data binary")
     out = np.zeros((len(leasts), max(1, (1 << bits) // 8)), dtype=np.uint8)
     each = width // 8
     for r in by_range(rows, add, "range int, bitmap binary").toLocalIterator():  # bounded: all of them are the bitmaps
@@ -204,7 +204,7 @@ def heavy_items(source: DataFrame, items: Callable[[object], Iterable[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["key", "n"])
 
     sample = source.sample(share, 7) if share < 1 else source
-    found = by_range(sample.mapInArrow(count, "range int, data binary"), add, "key long, n long").toArrow()
+    found = by_range(sample.mapInArrow(tidy(count), "range int, data binary"), add, "key long, n long").toArrow()
     keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order].astype(np.uint64)
@@ -261,7 +261,7 @@ def pairs_by_range(source: DataFrame, pairs: Callable[[object], Iterable[tuple[n
         if owners:
             yield flush()
 
-    return source.mapInArrow(send, "range int, data binary")
+    return source.mapInArrow(tidy(send), "range int, data binary")
 
 
 def grouped(parts: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:

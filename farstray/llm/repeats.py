@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farstray.llm import packed
-from farstray.llm.common import checkpointed, run_hashes, sized_bytes, slices, small_batches, word_hashes, word_spans
+from farstray.llm.common import checkpointed, run_hashes, sized_bytes, slices, small_batches, tidy, word_hashes, word_spans
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -52,7 +52,7 @@ def _least_owners(texts: DataFrame, keys: np.ndarray, size: int) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(best[at])], names=["at", "least"])
 
-    found = texts.select("owner", "text").mapInArrow(least, "at long, least long").groupBy("at").agg(F.min("least").alias("least")).toArrow()
+    found = texts.select("owner", "text").mapInArrow(tidy(least), "at long, least long").groupBy("at").agg(F.min("least").alias("least")).toArrow()
     out[found["at"].to_numpy()] = found["least"].to_numpy().view(np.uint64)
     shared.destroy()
     return out
@@ -115,4 +115,4 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + keep_text])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + keep_text])
 
-    return both.mapInArrow(cut, schema)
+    return both.mapInArrow(tidy(cut), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farstray.llm import packed
-from farstray.llm.common import _STEP, BYTE_CODE, _power_tables, checkpointed, mix, sized, sized_bytes, slices, small_batches
+from farstray.llm.common import BYTE_CODE, _power_tables, checkpointed, mix, sized, sized_bytes, slices, small_batches, tidy
 
 SEED = 64
 FLUSH_BYTES = 12 << 20
@@ -444,7 +444,7 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
             hit = twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints
             yield dealt.runs_of(items, dealt.size[items], length, hit)
 
-    sent = checkpointed(source.mapInArrow(send, "range int, hot boolean, data binary"))
+    sent = checkpointed(source.mapInArrow(tidy(send), "range int, hot boolean, data binary"))
     hot = sent.where("hot").select("range", "data")
     marks = _repeated(hot, shards, length)
     kinds = ((sent.where("not hot"), b"0"), (hot, b"1"), (marks, b"2"))
@@ -472,7 +472,7 @@ def remove_substrings(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return every.mapInArrow(cut, schema)
+    return every.mapInArrow(tidy(cut), schema)
 
 
 def removed_runs(spans: bytes) -> tuple[list[int], list[int]]:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farstray.llm.common import checkpointed
+from farstray.llm.common import checkpointed, tidy
 
 EXACT_FLOAT = 2**53
 EXACT_LONG = 2**63
@@ -122,7 +122,7 @@ def _of_block(rows, candidates: DataFrame, k: int, scale: float, bins: int, wide
             i, j = np.nonzero((counts > 0) & (later < k))
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(counts[i, j])], names=["query", "bin", "n"])
 
-        found = candidates.mapInArrow(count, "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+        found = candidates.mapInArrow(tidy(count), "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("query").orderBy(F.col("bin").desc())
         found = found.withColumn("upto", F.sum("n").over(w)).withColumn("left", F.col("upto") - F.col("n"))
         needed = spark.createDataFrame([(int(i), int(k - above[i])) for i in range(at)], "query int, needed long")
@@ -163,6 +163,6 @@ def _of_block(rows, candidates: DataFrame, k: int, scale: float, bins: int, wide
         for i, equal in ties.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(equal), i), pa.int32()), pa.array(np.full(len(equal), own[i]), pa.int64()), pa.array(equal, pa.int64()), pa.array(np.full(len(equal), int(low[i])), pa.int64())], names=["query", "query_id", "vec_id", "score"])
 
-    kept = candidates.mapInArrow(keep, "query int, query_id long, vec_id long, score long")
+    kept = candidates.mapInArrow(tidy(keep), "query int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,7 +16,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farstray.llm.common import checkpointed, sized
+from farstray.llm.common import checkpointed, sized, tidy
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, and the revisit profile.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -142,7 +142,7 @@ def write(marked: DataFrame, folder: str) -> DataFrame:
             done.append(archive.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["archive", "records", "bytes"])
 
-    return checkpointed(marked.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records long, bytes long"))
+    return checkpointed(marked.select("page_id", "url", "html", "refers_to").mapInArrow(tidy(run), "archive string, records long, bytes long"))
 
 
 def records_of(stream, chunk: int = 1 << 18):
@@ -210,7 +210,7 @@ def read(manifest: DataFrame, folder: str, keep_payload: bool = False) -> DataFr
                             rows = []
                 yield pack(rows)
 
-    return manifest.select("archive").mapInArrow(run, schema)
+    return manifest.select("archive").mapInArrow(tidy(run), schema)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
