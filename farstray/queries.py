@@ -316,9 +316,10 @@ def cat_freq_single_pass(spark, sf_dir):
 def _rare_sql(source: str, key: str, value: str, threshold: float) -> str:
     return f"""
         WITH d AS (SELECT {key}, {value} AS v FROM {source}), n AS (SELECT count(*) AS n FROM d),
-        f AS (SELECT v, count(*) / any_value(n) AS f FROM d, n WHERE v IS NOT NULL GROUP BY v), s AS (SELECT min(f) AS lo, max(f) AS hi, count(*) AS k FROM f)
-        SELECT {key}, CASE WHEN v IS NULL OR hi = lo THEN 0.0 ELSE round((hi - f) / (hi - lo), 4) + 0.0 END AS cat_anomaly_score,
-               v IS NOT NULL AND f < least({threshold}, 0.3 / k) AS is_cat_outlier
+        f AS (SELECT v, count(*) / any_value(n) AS f FROM d, n WHERE v IS NOT NULL GROUP BY v),
+        s AS (SELECT min(f) AS lo, max(f) AS hi, count(*) AS k, count(*) + (SELECT CAST(count(*) > 0 AS INTEGER) FROM d WHERE v IS NULL) <= greatest(10, floor((SELECT n FROM n) * 0.1)) AS ok FROM f)
+        SELECT {key}, CASE WHEN NOT ok OR v IS NULL OR hi = lo THEN 0.0 ELSE round((hi - f) / (hi - lo), 4) + 0.0 END AS cat_anomaly_score,
+               ok AND v IS NOT NULL AND f < least({threshold}, 0.3 / k) AS is_cat_outlier
         FROM d LEFT JOIN f USING (v), s"""
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from farstray.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.01"  # on smaller tables rules apply that the SQL leaves out (too many categories, small samples)
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents conversations labels".split()
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -20,12 +20,13 @@ def plain(rows):
     return sorted(out)
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", SF])
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_sql(spark, name):
+def test_sql(spark, name, sf_dir):
     con = duckdb.connect()
     for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    found = QUERIES[name](spark, SF)
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = QUERIES[name](spark, sf_dir)
     columns = sorted(found.columns)
     expected = con.sql(ORACLES[name])
     assert sorted(expected.columns) == columns
