@@ -45,7 +45,7 @@ def rare_categories(
     """Add cat_anomaly_score (the largest rarity of a row's values, 0 to 1) and is_cat_outlier.
 
     A value is flagged if its frequency is below ``min(threshold, 0.3 / number of values)``.  Nulls have rarity 0 and are
-    never flagged; a value without a frequency (unseen in a sample) has rarity 1 and is.  Counts are taken in one scan and
+    never flagged; a value without a frequency (unseen in a sample) is, with rarity 1 where frequencies differ.  Counts are taken in one scan and
     kept, so that each column's join reads them and not the table again.
     """
     names = C.categorical_columns(df, exclude) if names is None else names

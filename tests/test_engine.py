@@ -229,3 +229,45 @@ def test_csv_input_and_command_line(spark, tmp_path, capsys):
     assert csv_files.read_csv(spark, str(path)).count() == 53
     assert cli.main(["-i", str(path), "--output-path", str(tmp_path / "out.parquet"), "--key", "id", "--algorithm", "iforest"], spark) == 0
     assert "iforest" in capsys.readouterr().out
+
+
+def test_values_that_a_sample_lacks_are_rare(spark):
+    df = spark.createDataFrame([(i, "aab"[i % 3]) for i in range(900)] + [(5000, "odd"), (5001, None)], "id long, kind string")
+    freq = categorical.sample_frequencies(df.where("id < 900"), ["kind"], 200, ["id"])
+    out = {r["id"]: (r["cat_anomaly_score"], r["is_cat_outlier"]) for r in categorical.rare_categories(df, ["kind"], freq=freq).collect()}
+    assert out[5000] == (1.0, True) and out[5001] == (0.0, False) and not any(flag for i, (_, flag) in out.items() if i < 900)
+    once = engine.detect(df, Settings(algorithm="hbos", cat_freq_mode="single-pass"), key="id").scored
+    assert once.where("is_cat_outlier AND id < 900").isEmpty()
+
+
+def test_several_columns_take_the_largest_rarity(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "x" if i else "y") for i in range(400)], "id long, even string, odd string")
+    [row] = categorical.rare_categories(df, ["even", "odd"]).where("is_cat_outlier").collect()
+    assert row["id"] == 0 and row["cat_anomaly_score"] == 1.0
+
+
+def test_columns_with_the_fewest_values_are_looked_at(spark):
+    counts = spark.createDataFrame([(f"c{i}", str(v), 1) for i in range(60) for v in range(1 + i % 12)], "column string, value string, n long")
+    names = categorical.candidate_columns(counts, [f"c{i}" for i in range(60)], 100)
+    assert len(names) == categorical.MOST_COLUMNS and names[:5] == ["c0", "c12", "c24", "c36", "c48"] and "c11" not in names
+
+
+def test_explanations_are_the_fitted_detectors(spark):
+    assert engine.detect(amounts(spark), Settings(algorithm="incremental", explain=True), key="id").explanations is None
+    found = engine.detect(amounts(spark), Settings(algorithm="hbos", explain=True, max_explain_rows=5), key="id")
+    rows = found.explanations.collect()
+    assert 0 < len(rows) <= 5 and {r["method"] for r in rows} == {"shap"} and {r["top_features"][0]["feature"] for r in rows} == {"amount"}
+
+
+def test_a_fitted_detector_scores_other_tables(spark):
+    detector = engine.fit_detector(amounts(spark), "iforest", Settings(), ["amount"], "id")
+    other = spark.createDataFrame([(1, 50.0, "A"), (2, 650.0, "B"), (3, None, "C")], "id long, amount double, category string")
+    out = {r["id"]: r for r in detector.transform(other).collect()}
+    assert out[2]["is_outlier"] and not out[1]["is_outlier"] and out[2]["anomaly_score"] > out[1]["anomaly_score"] and len(out) == 3
+
+
+def test_bytes_that_are_no_text_are_read(spark, tmp_path):
+    path = tmp_path / "bytes.csv"
+    path.write_bytes(b"name,x\n\xff\xfeab,1\nplain,2\n")
+    rows = csv_files.read_csv(spark, str(path)).collect()
+    assert len(rows) == 2 and "\ufffd" in rows[0]["name"] and rows[0]["x"] == "1"
