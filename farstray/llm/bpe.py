@@ -262,7 +262,7 @@ class Codec:
     Pre-tokens met lately are kept in two generations of bounded size; what is met again moves to the younger one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 250_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
