@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from farstray.llm import bpe, decontaminate, html_text, jaccard, repeats, secrets, suffixes, topk, toxicity, warc
+from farstray.llm import bpe, decontaminate, html_text, jaccard, personal, repeats, secrets, suffixes, topk, toxicity, tries, variants, warc
 from farstray.llm.common import table
 
 
@@ -57,6 +57,22 @@ def op10_suffixes(spark, sf_dir):
     return suffixes.remove_substrings(table(spark, sf_dir, "documents"))
 
 
+def op11_personal(spark, sf_dir):
+    return personal.scan(table(spark, sf_dir, "documents"))
+
+
+def op11_personal_base(spark, sf_dir):
+    return op11_personal(spark, sf_dir).drop("spans", "scores")
+
+
+def op12_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark, sf_dir):
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -70,6 +86,10 @@ QUERIES = {
     "op10_suffixes": op10_suffixes,
     "op3_jaccard_links": op3_jaccard_links,
     "op9_secret_counts": op9_secret_counts,
+    "op11_personal": op11_personal,
+    "op12_variants": op12_variants,
+    "op13_trie": op13_trie,
+    "op11_personal_base": op11_personal_base,
 }
 
 ORACLES: dict[str, str] = {
@@ -185,3 +205,86 @@ ORACLES["op3_jaccard_links"] = (
     .replace("SELECT d.doc_id, coalesce(n, 0) AS n_shingles,", "SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(k.n_links, 0) AS n_links,")
     .replace("FROM d LEFT JOIN n USING (doc_id) JOIN", "FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x) k USING (doc_id) JOIN")
 )
+
+#: The unsigned checksum of each ``s`` of ``keyed``, a byte at a time by the table of the 256 bytes' own checksums.
+_CRC = """
+        crc_table AS (
+            SELECT CAST(list(c ORDER BY b) AS BIGINT[]) AS t FROM (SELECT b, list_reduce([CAST(b AS BIGINT)] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(b))
+        ), crc_steps AS (
+            SELECT s, hex(encode(s)) AS h, CAST(0 AS BIGINT) AS i, CAST(4294967295 AS BIGINT) AS c FROM keyed
+            UNION ALL
+            SELECT s, h, i + 1, xor(c // 256, t[CAST(xor(c % 256, CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS BIGINT)) + 1 AS BIGINT)]) FROM crc_steps, crc_table WHERE 2 * i < length(h)
+        ), crcs AS (SELECT s, xor(c, 4294967295) AS crc FROM crc_steps WHERE 2 * i = length(h))"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _spans_sql(kind: str, pattern: str, keep: str) -> str:
+    """Places of the matches x of a pattern, which lie between what splitting by it leaves, where ``keep`` holds."""
+    gaps, found = f"regexp_split_to_array(t, '{pattern}')", f"regexp_extract_all(t, '{pattern}')"
+    ends = f"list_transform(range(1, len({found}) + 1), lambda i: CAST(list_sum(list_transform(list_slice({gaps}, 1, i), lambda v: length(v))) + list_sum(list_transform(list_slice({found}, 1, i), lambda v: length(v))) AS BIGINT))"
+    kept = f"list_filter(list_zip({found}, {ends}), lambda m: ({keep.replace('$x', 'm[1]')}))"
+    return f"list_transform({kept}, lambda m: concat('{kind}:', m[2] - length(m[1]), ':', m[2])) AS {kind}"
+
+
+_NUMBER = "regexp_replace($x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_NUMBER})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({_NUMBER}, -1 - i, 1) AS BIGINT) ELSE (2 * CAST(substr({_NUMBER}, -1 - i, 1) AS BIGINT)) // 10 + (2 * CAST(substr({_NUMBER}, -1 - i, 1) AS BIGINT)) % 10 END)) % 10 = 0"
+_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split($x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_NUMBER}) BETWEEN 16 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_NUMBER}) BETWEEN 8 AND 15"),
+]
+
+ORACLES["op11_personal_base"] = f"""
+        WITH k AS (SELECT doc_id, {", ".join(_spans_sql(*k) for k in _KINDS)} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+        SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k, _, _ in _KINDS)}, sha256(array_to_string(email || ip || card || phone, ',')) AS base_sha256 FROM k"""
+
+ORACLES["op12_variants"] = f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) WHERE length(w) >= 5 GROUP BY ALL
+        ), keyed AS (SELECT DISTINCT concat(doc_id, ':', w) AS s FROM runs
+        ), {_CRC.strip()}, words AS (
+            SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT CASE WHEN crc % 97 = 0 THEN concat(substr(w, 1, crc % length(w)), substr(w, crc % length(w) + 2)) ELSE w END AS w, n FROM runs JOIN crcs ON s = concat(doc_id, ':', w)
+            ) WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3
+        ), less AS (SELECT w, n, i, concat(substr(w, 1, i - 1), substr(w, i + 1)) AS v FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)
+        ), near AS (
+            SELECT DISTINCT a.w AS w, a.n AS n, b.w AS o, b.n AS m FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.w <> b.w
+            UNION SELECT words.w, words.n, less.w, less.n FROM words JOIN less ON words.w = v
+            UNION SELECT less.w, less.n, words.w, words.n FROM words JOIN less ON words.w = v
+        ), best AS (SELECT w, count(*) AS n_near, arg_min(o, (-m, encode(o))) AS o, max(m) AS m FROM near GROUP BY w
+        ), formed AS (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN o END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (w)
+        ), follow AS (SELECT w, w AS at FROM formed UNION ALL SELECT follow.w, formed.form FROM follow JOIN formed ON formed.w = follow.at WHERE form IS NOT NULL)
+        SELECT formed.w AS word, form, follow.at AS root, n, n_near, form_n
+        FROM formed JOIN follow USING (w) JOIN (SELECT w FROM formed WHERE form IS NULL) l ON l.w = follow.at"""
+
+#: A node is a depth and the row number of the smallest conversation that has its prefix.
+ORACLES["op13_trie"] = rf"""
+        WITH RECURSIVE turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS nth, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id
+        ), keyed AS (SELECT CAST(conv_id AS VARCHAR) AS s FROM ids
+        ), {_CRC.strip()}, known AS (
+            SELECT ids.conv_id, ids.n, crc % 4 AS h, ids.conv_id - ids.conv_id % 20 AS donor, least(crc % 4, coalesce(d.n, 0)) AS k
+            FROM ids JOIN crcs ON s = CAST(ids.conv_id AS VARCHAR) LEFT JOIN ids d ON d.conv_id = ids.conv_id - ids.conv_id % 20
+        ), built AS (
+            SELECT known.conv_id, nth AS depth, t FROM known JOIN turns ON turns.conv_id = donor AND nth <= h
+            UNION ALL SELECT known.conv_id, nth - h + k, t FROM known JOIN turns ON turns.conv_id = known.conv_id AND nth > h
+        ), hashed AS (
+            SELECT conv_id, depth, sha256(string_agg(sha256(concat(length(t.role), ':', t.role, t.text)), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k, t.text AS text FROM built
+            UNION ALL SELECT conv_id, 0, '', '' FROM ids
+        ), nodes AS (SELECT depth, k, min(conv_id) AS node, count(*) AS n_convs, any_value(len(regexp_extract_all(text, '[^ 	-
+]+'))) AS words FROM hashed GROUP BY depth, k
+        ), place AS (SELECT conv_id, depth, node, n_convs, words, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM hashed JOIN nodes USING (depth, k)
+        ), own AS (
+            SELECT p.node AS conv_id, p.depth, any_value(u.node) AS parent_conv_id, any_value(p.n_convs) AS n_convs, (any_value(p.n_convs) - 1) * any_value(p.words) AS saved,
+                   coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (p.last), '') AS ends
+            FROM place p LEFT JOIN place u ON u.conv_id = p.conv_id AND u.depth = p.depth - 1 GROUP BY p.node, p.depth
+        ), down AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM own WHERE depth > 0 GROUP BY ALL
+        ), whole AS (
+            SELECT p.node AS conv_id, p.depth, sum(CAST(n_children IS NULL AS BIGINT)) AS n_leaves, sum(saved) AS saved_tokens
+            FROM own JOIN place p ON p.conv_id = own.conv_id AND p.depth <= own.depth LEFT JOIN down ON down.conv_id = own.conv_id AND down.depth = own.depth GROUP BY p.node, p.depth
+        )
+        SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+        FROM own JOIN whole USING (conv_id, depth) LEFT JOIN down USING (conv_id, depth)"""
