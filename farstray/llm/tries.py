@@ -4,9 +4,9 @@ Turns are brought down to digests and word counts at once; a node is known by it
 it (128 bits), which every conversation can tell by itself.  Conversations lie in ranges of turns, so that a very long one is worked on
 by several tasks; only one row for each range of a conversation is carried over.
 
-Totals follow by leaf peeling: a node holds how many children it waits for, and a finished node sends its subtree's totals to its parent, until
-the root finishes.  A node that waits for one child alone needn't wait in line: such chains are halved each round, so that the
-rounds follow the logarithm of the trie's size and not its depth.
+Totals follow by leaf peeling: counters hold how many children are waited for, and what has finished sends its subtree's totals to its parent, until
+the root finishes.  A path of nodes that share a member sends as one, so that the rounds follow the logarithm of the members and not the depth;
+its nodes' own totals are sums along the path.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ GIVEN, RUN = 4, 20
 NODE = ["depth", "k1", "k2"]
 #: Conversation ids that are joined to one text before they are sent to be digested.
 PACK = 50_000
+#: Nodes of a path that one task sums up; longer paths are summed by chunks.
+CHUNK = 10_000
 
 
 def tag(digest: Column, depth: Column) -> tuple[Column, Column]:
@@ -151,48 +153,48 @@ def digests_of_ends(ends: DataFrame) -> DataFrame:
     return packed.repartition(*NODE).sortWithinPartitions(*NODE, "first").mapInArrow(tidy(digest), "depth long, k1 long, k2 long, ends_sha256 string")
 
 
-def peeled(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with n_leaves and saved_tokens of their subtrees.
+def peeled(paths: DataFrame) -> DataFrame:
+    """label, leaves and saved of every path's whole subtree, by messages from those that no other hangs on.
 
-    Nodes have conv_id and depth, which name them, parent_conv_id, n_children, child_xor (of the children's ids) and own_saved.
-    ``waits`` counts unfinished children, and the xor of their ids is the id of the last one.  ``next_id`` and ``next_depth`` name the
-    node that a chain waits for; what lies between has been added up already.
+    ``paths`` have label, above (the label of the path they hang on, null at the root), waits (how many hang on them), and leaves and saved of
+    their own nodes.  Those that wait for none have finished and send their totals up, until the root's path finishes.
     """
-    waiting = F.col("n_children") == 1
-    state = checkpointed(
-        nodes.select(
-            *(c for c in nodes.columns if c not in ("child_xor", "own_saved")),
-            F.col("n_children").alias("waits"), F.col("child_xor").alias("wait_xor"), (F.col("n_children") == 0).cast("long").alias("leaves"), F.col("own_saved").alias("saved"),
-            F.when(waiting, F.col("child_xor")).alias("next_id"), F.when(waiting, F.col("depth") + 1).alias("next_depth"),
-        )
-    )
-    columns, finished = state.columns, []
+    state, finished = paths, []
     while True:
-        done = state.where("waits = 0")
-        finished.append(done.withColumnsRenamed({"leaves": "n_leaves", "saved": "saved_tokens"}).drop("waits", "wait_xor", "next_id", "next_depth"))
+        state = checkpointed(state)
+        finished.append(state.where("waits = 0").drop("waits", "above"))
         if state.where("waits > 0").isEmpty():
             return reduce(DataFrame.unionByName, finished)
-        sent = done.where("parent_conv_id IS NOT NULL").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth"))
-        sent = sent.agg(F.count("*").alias("told"), F.bit_xor("conv_id").alias("told_xor"), F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
-        forks = state.where("waits > 1").join(sent, ["conv_id", "depth"], "left").fillna(0, ["told", "told_xor", "more_leaves", "more_saved"])
-        forks = forks.withColumns({"waits": F.col("waits") - F.col("told"), "wait_xor": F.col("wait_xor").bitwiseXOR(F.col("told_xor")), "leaves": F.col("leaves") + F.col("more_leaves"), "saved": F.col("saved") + F.col("more_saved")})
-        forks = forks.withColumns({"next_id": F.when(F.col("waits") == 1, F.col("wait_xor")), "next_depth": F.when(F.col("waits") == 1, F.col("depth") + 1)}).select(columns)
+        sent = state.where("waits = 0").groupBy(F.col("above").alias("label")).agg(F.count("*").alias("told"), F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+        state = state.where("waits > 0").join(sent, "label", "left").fillna(0, ["told", "more_leaves", "more_saved"])
+        state = state.select("label", "above", *((F.col(c) + F.col(more)).alias(c) for c, more in (("leaves", "more_leaves"), ("saved", "more_saved"))), (F.col("waits") - F.col("told")).alias("waits"))
 
-        def ahead(df):
-            return df.select(F.col("conv_id").alias("next_id"), F.col("depth").alias("next_depth"), F.lit(1).alias("there"), F.col("leaves").alias("more_leaves"), F.col("saved").alias("more_saved"), F.col("next_id").alias("further_id"), F.col("next_depth").alias("further_depth"))
 
-        def joined(chain, other):
-            """A chain that waits for a node of ``other`` takes its totals; there is True then."""
-            both = chain.join(ahead(other), ["next_id", "next_depth"], "left").fillna(0, ["there", "more_leaves", "more_saved"])
-            return both.withColumns({"leaves": F.col("leaves") + F.col("more_leaves"), "saved": F.col("saved") + F.col("more_saved")})
+def with_totals(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with n_leaves and saved_tokens of their subtrees; they have depth, label, above (the parent's label), n_children, own_saved.
 
-        # first those whose last child has finished; then the others skip a link that hasn't, which would miss none that has
-        chains = joined(state.where("waits = 1"), done).withColumn("waits", F.when(F.col("there") == 1, 0).otherwise(1).cast("long")).select(columns)
-        chains = checkpointed(chains)
-        still = chains.where("waits = 1")
-        skipped = joined(still, still)
-        skipped = skipped.withColumns({"next_id": F.when(F.col("there") == 1, F.col("further_id")).otherwise(F.col("next_id")), "next_depth": F.when(F.col("there") == 1, F.col("further_depth")).otherwise(F.col("next_depth"))}).select(columns)
-        state = checkpointed(forks.unionByName(chains.where("waits = 0")).unionByName(skipped))
+    Nodes of one label are a path, each the parent of the next.  The label is the member whose id has the smallest hash, so it changes only about as
+    often on a way down as the logarithm of the members, and so many rounds the messages take, however deep the trie is.
+    """
+    top = F.col("above").isNull() | (F.col("above") != F.col("label"))
+    leaf = (F.col("n_children") == 0).cast("long")
+    paths = nodes.groupBy("label").agg(F.min(F.when(top, F.col("above"))).alias("above"), F.min("depth").alias("depth"), F.sum(leaf).alias("leaves"), F.sum("own_saved").alias("saved"))
+    waits = nodes.where(top & F.col("above").isNotNull()).groupBy(F.col("above").alias("label")).agg(F.count("*").alias("waits"))
+    paths = checkpointed(paths.join(waits, "label", "left").fillna(0, ["waits"]))
+    totals = peeled(paths.drop("depth"))
+    hung = paths.select("label", "above", "depth").where("above IS NOT NULL").join(totals, "label")
+    hung = hung.groupBy(F.col("above").alias("label"), (F.col("depth") - 1).alias("depth")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+    own = nodes.join(hung, ["label", "depth"], "left").fillna(0, ["more_leaves", "more_saved"])
+    own = own.withColumns({"chunk": F.floor(F.col("depth") / CHUNK), "leaves": leaf + F.col("more_leaves"), "saved": F.col("own_saved") + F.col("more_saved")})
+    # from the bottom of a path up: within a chunk of it, and then the chunks below
+    upward = Window.partitionBy("label", "chunk").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = own.withColumns({"n_leaves": F.sum("leaves").over(upward), "saved_tokens": F.sum("saved").over(upward)})
+    if not nodes.where(F.col("depth") >= CHUNK).isEmpty():
+        below = Window.partitionBy("label").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        chunks = own.groupBy("label", "chunk").agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
+        chunks = chunks.select("label", "chunk", *(F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in ("l", "s")))
+        summed = summed.join(chunks, ["label", "chunk"]).withColumns({"n_leaves": F.col("n_leaves") + F.col("l_below"), "saved_tokens": F.col("saved_tokens") + F.col("s_below")})
+    return summed
 
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
@@ -204,23 +206,22 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     """
     turns, turnless = rebuilt_turns(light_turns(conversations))
     turns = checkpointed(turns)
-    everyone = turns.select("conv_id").unionByName(turnless)
-    nodes = turns.groupBy(*NODE).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.min("words").alias("words"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     zero = F.lit(0).cast("long")
-    whole = everyone.distinct().agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    root = whole.select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id", "n_convs", zero.alias("words"), zero.alias("p1"), zero.alias("p2"))
-    nodes = checkpointed(nodes.unionByName(root))
-    below = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2"))
-    nodes = nodes.join(below.agg(F.count("*").alias("n_children"), F.bit_xor("conv_id").alias("child_xor")), NODE, "left").fillna(0, ["n_children", "child_xor"])
-    nodes = checkpointed(nodes)
-    # the root is the parent of very many; it is one number
-    top = nodes.where("depth = 0").select("conv_id").first()
-    deep = nodes.where("depth > 1")
-    above = nodes.where("depth > 0").select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    deep = deep.join(above, ["depth", "p1", "p2"])
-    flat = nodes.where("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.lit(top[0] if top else None).cast("long")))
-    linked = deep.unionByName(flat).select("conv_id", *NODE, "parent_conv_id", "n_convs", "n_children", "child_xor", ((F.col("n_convs") - 1) * F.col("words")).alias("own_saved"))
-    totals = peeled(linked)
-    ends = turns.where("last").select(*NODE, "conv_id").unionByName(turnless.select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id"))
+    member = F.struct(F.xxhash64("conv_id").alias("order"), F.col("conv_id").alias("id"))
+    merged = (F.min("conv_id").alias("conv_id"), F.min(member).alias("first"), F.count("*").alias("n_convs"))
+    nodes = turns.groupBy(*NODE).agg(*merged, F.min("words").alias("words"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+    everyone = turns.where("depth = 1").select("conv_id").unionByName(turnless)
+    root = everyone.agg(*merged).where("n_convs > 0").select(*(zero.alias(c) for c in NODE), "conv_id", "first", "n_convs", *(zero.alias(c) for c in ("words", "p1", "p2")))
+    nodes = checkpointed(nodes.unionByName(root).withColumn("label", F.col("first.id")).drop("first"))
+    below = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
+    nodes = nodes.join(below, NODE, "left").fillna(0, ["n_children"])
+    # the root is the parent of very many; it is one row
+    top = root.select("conv_id", F.col("first.id")).first() or (None, None)
+    above = nodes.where("depth > 0").select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"), F.col("label").alias("above"))
+    deep = nodes.where("depth > 1").join(above, ["depth", "p1", "p2"])
+    flat = nodes.where("depth <= 1").withColumns({n: F.when(F.col("depth") == 1, F.lit(v).cast("long")) for n, v in zip(("parent_conv_id", "above"), top)})
+    linked = deep.unionByName(flat).select("conv_id", "label", "above", *NODE, "parent_conv_id", "n_convs", "n_children", ((F.col("n_convs") - 1) * F.col("words")).alias("own_saved"))
+    totals = with_totals(checkpointed(linked))
+    ends = turns.where("last").select(*NODE, "conv_id").unionByName(turnless.select(*(zero.alias(c) for c in NODE), "conv_id"))
     out = totals.join(digests_of_ends(ends), NODE, "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "pages"):
+    for t in ("documents", "embeddings", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
@@ -29,7 +29,7 @@ def test_sql(spark, name):
 
 def test_every_query_has_a_row_for_each_input(spark):
     docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
-    for name in ("op1_toxicity", "op7_bpe", "op9_secrets", "op10_suffixes"):
+    for name in ("op1_toxicity", "op7_bpe", "op9_secrets", "op10_suffixes", "op11_personal"):
         assert QUERIES[name](spark, SF).select("doc_id").exceptAll(docs.select("doc_id")).isEmpty(), name
         assert QUERIES[name](spark, SF).count() == docs.count(), name
     for name in ("op6_warc", "op8_html_text"):
