@@ -62,21 +62,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def routes(word: str, length: int) -> list[tuple]:
-    """How ``word`` could be one edit from a word of ``length``: (half, its letters, the other's half, its letters), in order.
+def route(word: str, length: int, i: int) -> tuple[bool, str, bool, str]:
+    """The ``i``-th of four ways in which ``word`` could be one edit from a word of ``length``: which half is whole, its letters, which half of the rest is, its letters.
 
-    Of words one edit apart at least one route is the same, with the length of the second.
+    Of words one edit apart at least one way is the same, with the length of the second.
     """
     h = length // 2
-    out: list[tuple] = []
-    for right, seg, rest, m in ((False, word[:h], word[h:], length - h), (True, word[len(word) - (length - h) :], word[: len(word) - (length - h)], h)):
-        out.append((right, seg, False, rest[: m // 2]))
-        out.append((right, seg, True, rest[max(0, len(rest) - (m - m // 2)) :]))
-    return out
+    if i < 2:
+        seg, rest, m = word[:h], word[h:], length - h
+    else:
+        cut = len(word) - (length - h)
+        seg, rest, m = word[cut:], word[:cut], h
+    return i > 1, seg, bool(i % 2), rest[max(0, len(rest) - (m - m // 2)) :] if i % 2 else rest[: m // 2]
 
 
-def shard_of(length: int, route: tuple, shards: int) -> int:
-    right, seg, last, sub = route
+def shard_of(length: int, way: tuple[bool, str, bool, str], shards: int) -> int:
+    right, seg, last, sub = way
     return crc32(f"{length} {right:d}{last:d} {seg} {sub}".encode()) % shards
 
 
@@ -97,8 +98,8 @@ class Shard:
         self.held: dict[str, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
         self.automaton = None
 
-    def add(self, word: str, n: int, route: tuple) -> None:
-        right, seg, last, sub = route
+    def add(self, word: str, n: int, i: int) -> None:
+        right, seg, last, sub = route(word, len(word), i)
         self.held[seg][right, len(word), last, sub].append((word, n))
 
     def build(self) -> None:
@@ -106,26 +107,31 @@ class Shard:
 
         self.automaton = ahocorasick.Automaton()
         for seg, by_route in self.held.items():
-            self.automaton.add_word(seg, (seg, by_route))
+            self.automaton.add_word(seg, (len(seg), by_route))
         self.automaton.make_automaton()
 
-    def near(self, word: str):
-        """(word, n) of this shard one edit from ``word``; of all shards only that of the first common route gives a pair."""
-        size = len(word)
-        own = {k: routes(word, k) for k in (size - 1, size, size + 1)}
-        for end, (seg, by_route) in self.automaton.iter(word):
-            s = len(seg)
-            for right, begins, lengths in ((False, end + 1 == s, (2 * s, 2 * s + 1)), (True, end + 1 == size, (2 * s - 1, 2 * s))):
-                if not begins:
-                    continue
-                for length in lengths:
-                    if length not in own:
-                        continue
-                    for i in (2, 3) if right else (0, 1):
-                        for other, n in by_route.get((right, length, own[length][i][2], own[length][i][3]), ()):
-                            theirs = routes(other, length)
-                            if one_edit(word, other) and not any(own[length][j] == theirs[j] for j in range(i)):
-                                yield other, n
+    def near(self, word: str, ways: int):
+        """(word, n) of this shard one edit from ``word`` on the ``ways``, bits of 4 x (length - own length + 1) + route, that lead here.
+
+        A pair that has several ways in common is found on all, and given for the first.
+        """
+        size, begins, ends = len(word), {}, {}
+        for end, (s, by_route) in self.automaton.iter(word):
+            if end + 1 == s:
+                begins[s] = by_route
+            if end + 1 == size:
+                ends[s] = by_route
+        for way in range(12):
+            if not ways >> way & 1:
+                continue
+            length, i = size - 1 + way // 4, way % 4
+            at = begins.get(length // 2) if i < 2 else ends.get(length - length // 2)
+            if at is None:
+                continue
+            right, _, last, sub = route(word, length, i)
+            for other, n in at.get((right, length, last, sub), ()):
+                if one_edit(word, other) and not any(route(word, length, j) == route(other, length, j) for j in range(i)):
+                    yield other, n
 
 
 def near_words(words: DataFrame, shards: int) -> DataFrame:
@@ -137,9 +143,14 @@ def near_words(words: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(shard_of(len(word), r, shards), word, n, i) for i, r in enumerate(routes(word, len(word)))]
-                sizes = (len(word) - 1, len(word), len(word) + 1)
-                rows += [(s, word, 0, -1) for s in {shard_of(k, r, shards) for k in sizes for r in routes(word, k)}]
+                ways: dict[int, int] = {}
+                for way in range(12):
+                    length, i = len(word) - 1 + way // 4, way % 4
+                    shard = shard_of(length, route(word, length, i), shards)
+                    ways[shard] = ways.get(shard, 0) | 1 << way
+                    if length == len(word):
+                        rows.append((shard, word, n, i))
+                rows += [(shard, word, 0, -bits) for shard, bits in ways.items()]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int32()))], names=["shard", "word", "n", "route"])
 
@@ -147,16 +158,16 @@ def near_words(words: DataFrame, shards: int) -> DataFrame:
         import pyarrow as pa
 
         shard, scanned = Shard(), []
-        for word, n, route in zip(*(table.column(c).to_pylist() for c in ("word", "n", "route"))):
-            if route < 0:
-                scanned.append(word)
+        for word, n, i in zip(*(table.column(c).to_pylist() for c in ("word", "n", "route"))):
+            if i < 0:
+                scanned.append((word, -i))
             else:
-                shard.add(word, n, routes(word, len(word))[route])
+                shard.add(word, n, i)
         out = []
         if shard.held:
             shard.build()
-            for word in scanned:
-                found = [(-n, other) for other, n in shard.near(word)]
+            for word, ways in scanned:
+                found = [(-n, other) for other, n in shard.near(word, ways)]
                 if found:
                     best = min(found)
                     out.append((word, len(found), best[0], best[1]))
