@@ -19,7 +19,7 @@ RANGES = {
     "numeric_cast_threshold": (0.50, 1.0),
     "profiler_sample_rows": (100, 100_000),
     "global_sample_rows": (1000, 500_000),
-    "lof_reference_rows": (2, 50_000),
+    "lof_reference_rows": (2, 500_000),
     "ocsvm_sample_rows": (2, 20_000),
     "route_incremental_size_mb": (50, 10_000),
     "route_hbos_row_threshold": (10_000, None),
@@ -47,7 +47,7 @@ class Settings:
     profile_sampled: bool = False
     profiler_sample_rows: int = 1000
     global_sample_rows: int = 50_000
-    lof_reference_rows: int = 5000
+    lof_reference_rows: int = 50_000
     ocsvm_sample_rows: int = 2000
     route_incremental_size_mb: float = 500
     route_hbos_row_threshold: int = 1_000_000

@@ -7,7 +7,7 @@ same with one micro-batch of a stream.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,17 @@ class IncrementalModel:
     nu: float
     steps: int = 0
 
+    def state(self) -> dict:
+        """All of it as plain numbers and texts, for JSON."""
+        return {f.name: v.tolist() if isinstance(v := getattr(self, f.name), np.ndarray) else v for f in fields(self)}
+
+    @classmethod
+    def of(cls, state: dict) -> IncrementalModel:
+        pairs = {c: tuple(map(tuple, state[c])) for c in ("scale", "clips")}
+        names = {c: tuple(state[c]) for c in ("numeric", "categorical")}
+        arrays = {c: np.array(state[c], dtype=float) for c in ("landmarks", "whiten", "weights")}
+        return cls(**(state | pairs | names | arrays))
+
     def inputs(self) -> list[Column]:
         plain = []
         for c, (m, s), (low, high) in zip(self.numeric, self.scale, self.clips):

@@ -1,4 +1,7 @@
-"""Local outlier factor: a model of a bounded reference sample (all rows, where they fit in it), and exact scores of all rows."""
+"""Local outlier factor: a model of a bounded reference sample (all rows, where they fit in it), and exact scores of all rows.
+
+Neighbours are found by boxes (``neighbours``), so that most rows are compared with few others.
+"""
 
 from __future__ import annotations
 
@@ -9,102 +12,90 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farstray.functions.checkpoints import checkpointed
+from farstray.operators.neighbours import BLOCK, Boxes, exact_neighbours
 from farstray.operators.scoring import PLACES
 
 NEIGHBOURS = 20
-#: Rows of a block of the exact scores.
-BLOCK = 2000
 TINY = 1e-10
 
 
-def nearest(x: np.ndarray, own: np.ndarray, keys: np.ndarray, reference: np.ndarray, k: int):
-    """Places and distances of the k nearest reference rows with another key, ties to the smaller key (keys are sorted)."""
-    at, distance = [], []
-    for i in range(0, len(x), 512):
-        part = x[i : i + 512]
-        d = np.sqrt(((part[:, None, :] - reference[None]) ** 2).sum(axis=2)) if reference.shape[1] <= 8 else np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + (reference**2).sum(axis=1) - 2 * part @ reference.T, 0))
-        d[own[i : i + 512][:, None] == keys[None]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        at.append(order)
-        distance.append(np.take_along_axis(d, order, axis=1))
-    return np.vstack(at), np.vstack(distance)
+def by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Means of the values of each of ``n`` rows."""
+    return np.bincount(row, weights=values, minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
+
+
+def ordered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different names, and the number of each name among them."""
+    return np.unique(names.astype(object), return_inverse=True)
 
 
 @dataclass(frozen=True)
 class LofModel:
-    state: object  # broadcast (keys, reference, k-distances, densities, k)
+    state: object  # broadcast (sorted keys, boxes of the reference rows, k-distances, densities, k)
 
     def raw(self, names: list[str], key: Column | None = None) -> Column:
         shared = self.state
 
         @F.pandas_udf("double")
         def score(own: pd.Series, columns: pd.DataFrame) -> pd.Series:
-            keys, reference, far, density, k = shared.value
+            known, boxes, far, density, k = shared.value
             x = columns.to_numpy(dtype=float)
             out, good = np.full(len(x), np.nan), ~np.isnan(x).any(axis=1)
             if good.any():
-                at, d = nearest(x[good], own.to_numpy()[good], keys, reference, k)
-                mine = 1 / (np.maximum(d, far[at]).mean(axis=1) + TINY)
-                out[good] = density[at].mean(axis=1) / mine
+                keys = own.to_numpy()[good].astype(object)
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                codes = np.where(known[at] == keys, at, -1)  # a row that isn't among the reference leaves none out
+                row, place, d = boxes.nearest(x[good], k, own=codes)
+                n = int(good.sum())
+                mine = 1 / (by_row(np.maximum(d, far[place]), row, n) + TINY)
+                out[good] = by_row(density[place], row, n) / mine
             return pd.Series(out)
 
         own = F.lit("") if key is None else F.coalesce(key.cast("string"), F.lit(""))
         return F.nanvl(F.round(score(own, F.struct(*(F.col(f"`{c}`") for c in names))), PLACES), F.lit(None).cast("double"))
 
 
+def wanted(neighbours: int, n: int) -> int:
+    """How many neighbours ``n`` rows can have."""
+    return min(neighbours, max(1, n - 1))
+
+
 def fit_lof(sample: DataFrame, names: list[str], key: Column, neighbours: int = NEIGHBOURS) -> LofModel:
     """``sample`` is bounded; its neighbours are found in tasks against its broadcast."""
     spark = sample.sparkSession
     plain = sample.select(key.cast("string").alias("key"), *(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names))).dropna()
     rows = plain.toPandas().sort_values("key", kind="stable")
-    keys, reference = rows["key"].to_numpy(), rows.drop(columns="key").to_numpy(dtype=float)
-    n = len(rows)
-    k = min(neighbours, max(1, n - 1)) if n <= 2 else min(neighbours, max(2, n - 1))
-    shared = spark.sparkContext.broadcast((keys, reference, k))
+    known, codes = ordered(rows["key"].to_numpy())
+    reference = rows.drop(columns="key").to_numpy(dtype=float)
+    n, k = len(rows), wanted(neighbours, len(rows))
+    boxes = Boxes(reference, codes)
+    shared = spark.sparkContext.broadcast((boxes, reference, codes, k))
 
     def find(batches):
-        keys, reference, k = shared.value
+        boxes, reference, codes, k = shared.value
         for pdf in batches:
             ids = pdf["id"].to_numpy()
-            at, d = nearest(reference[ids], keys[ids], keys, reference, k)
-            yield pd.DataFrame({"id": ids, "at": list(at), "d": list(d)})
-
-    found = spark.range(n, numPartitions=max(1, min(16, n // 256))).mapInPandas(find, "id long, at array<long>, d array<double>").orderBy("id").toPandas()
-    at, d = np.vstack(found["at"].to_numpy()), np.vstack(found["d"].to_numpy())
-    far = d[:, -1]
-    density = 1 / (np.maximum(d, far[at]).mean(axis=1) + TINY)
-    return LofModel(spark.sparkContext.broadcast((keys, reference, far, density, k)))
+            row, place, d = boxes.nearest(reference[ids], k, own=codes[ids])
+            yield pd.DataFrame({"id": ids[row], "at": place, "d": d})
 
+    found = spark.range(n, numPartitions=max(1, min(64, n // 256))).mapInPandas(find, "id long, at long, d double").toPandas()  # k rows a reference row
+    row, at, d = found["id"].to_numpy(), found["at"].to_numpy(), found["d"].to_numpy()
+    far = np.zeros(n)
+    np.maximum.at(far, row, d)
+    density = 1 / (by_row(np.maximum(d, far[at]), row, n) + TINY)
+    return LofModel(spark.sparkContext.broadcast((known, boxes, far, density, k)))
 
-def exact_lof(df: DataFrame, names: list[str], key: str, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``key`` and lof of every row without nulls, among all of them; keys are distinct.
 
-    Rows are dealt into blocks, and every pair of blocks is a task's group: its nearest rows are merged by row.
-    """
+def exact_lof(df: DataFrame, names: list[str], key: str, neighbours: int = NEIGHBOURS, block: int | None = None) -> DataFrame:
+    """``key`` and lof of every row without nulls, among all of them; keys are distinct."""
     points = df.select(F.col(f"`{key}`").alias("i"), F.col(f"`{key}`").cast("string").alias("name"), F.array(*(F.col(f"`{c}`").cast("double") for c in names)).alias("x")).where(~F.exists("x", F.isnull))
-    n = points.count()
-    k = min(neighbours, max(1, n - 1)) if n <= 2 else min(neighbours, max(2, n - 1))
-    blocks = max(1, -(-n // BLOCK))
-    block = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = points.select("i", "name", "x", block.alias("q")).withColumn("r", other)
-    reference = points.select("name", "x", block.alias("r")).withColumn("q", other)
-
-    def pair(rows: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(reference):
-            return pd.DataFrame({"i": [], "j": [], "d": []})
-        reference = reference.sort_values("name", kind="stable")
-        keys = reference["name"].to_numpy()
-        at, d = nearest(np.vstack(rows["x"].to_numpy()), rows["name"].to_numpy(), keys, np.vstack(reference["x"].to_numpy()), k)
-        found = pd.DataFrame({"i": np.repeat(rows["name"].to_numpy(), at.shape[1]), "j": keys[at.reshape(-1)], "d": d.reshape(-1)})
-        return found[np.isfinite(found["d"])]
-
-    near = rows.groupBy("q", "r").cogroup(reference.groupBy("q", "r")).applyInPandas(pair, "i string, j string, d double")
-    best = near.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, k).alias("near"))
-    # a row's k-distance is its last neighbour's; blocks x k candidates a row, k of them kept
-    best = best.select("i", "near", F.element_at("near", -1)["d"].alias("far")).persist()
-    links = best.select("i", F.explode("near").alias("e")).select("i", F.col("e.j").alias("j"), F.col("e.d").alias("d"))
-    reach = links.join(best.select(F.col("i").alias("j"), "far"), "j").groupBy("i").agg((1 / (F.avg(F.greatest("d", "far")) + TINY)).alias("density")).persist()
-    around = links.join(reach.select(F.col("i").alias("j"), F.col("density").alias("theirs")), "j").groupBy("i").agg(F.avg("theirs").alias("theirs"))
-    scored = around.join(reach, "i").select(F.col("i").alias("name"), F.round(F.col("theirs") / F.col("density"), PLACES).alias("lof"))
+    near = exact_neighbours(points.select("name", "x"), wanted(neighbours, points.count()), len(names), block or BLOCK)
+    # a row's k-distance is its last neighbour's
+    best = checkpointed(near.where(F.size("near") > 0).select("name", "near", F.element_at("near", -1)["d"].alias("far")))
+    links = best.select("name", F.explode("near").alias("e")).select("name", F.col("e.j").alias("j"), F.col("e.d").alias("d"))
+    reach = links.join(best.select(F.col("name").alias("j"), "far"), "j").groupBy("name").agg((1 / (F.avg(F.greatest("d", "far")) + TINY)).alias("density"))
+    reach = checkpointed(reach)
+    around = links.join(reach.select(F.col("name").alias("j"), F.col("density").alias("theirs")), "j").groupBy("name").agg(F.avg("theirs").alias("theirs"))
+    scored = around.join(reach, "name").select("name", F.round(F.col("theirs") / F.col("density"), PLACES).alias("lof"))
     return points.join(scored, "name").select(F.col("i").alias(key), "lof")

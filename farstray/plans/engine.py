@@ -173,4 +173,5 @@ def explained(detector: Detector, df: DataFrame, key: str, rows: int = 100) -> D
     names = list(detector.features.kept)
     if detector.algorithm == "hbos":
         return explain.explain_hbos(flagged, everything, detector.model, key, names, detector.names, rows)
-    return explain.explain_sampled(flagged, everything, detector.model, key, names, detector.names, rows, keys=[key])
+    by = explain.explain_forest if detector.algorithm == "iforest" else explain.explain_kernel
+    return by(flagged, everything, detector.model, key, names, detector.names, rows, keys=[key])

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from farstray.config import Settings
 from farstray.functions import columns as C
+from farstray.functions.checkpoints import shared_folder
 from farstray.functions.quantiles import exact_quantiles
 from farstray.functions.sampling import uniform_sample
-from farstray.operators import categorical, explain, features, hbos, lof, profile, scoring, zscore_iqr
+from farstray.operators import categorical, explain, features, hbos, incremental, lof, profile, scoring, zscore_iqr
 from farstray.plans import engine, route
-from farstray.sources import lines, synthetic
+from farstray.sources import csv_files, lines, synthetic
+from farstray.streaming.score import StreamFitter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -412,6 +414,54 @@ def explain_iforest_shapley(spark, sf_dir):
     return _flat(engine.explained(d, df, "p_partkey", Settings().max_explain_rows))
 
 
+#: Values of sets of columns: the mean factor over the background rows with the set's columns taken from the explained row.
+ORACLES["explain_lof_shapley"] = f"""
+    WITH {_part_features()},
+    ref AS (SELECT p_partkey AS j, f0 AS b0, f1 AS b1 FROM f ORDER BY md5(CAST(p_partkey AS VARCHAR)), CAST(p_partkey AS VARCHAR) LIMIT {Settings().lof_reference_rows}),
+    dr AS (SELECT a.j AS i, b.j AS j, sqrt((a.b0 - b.b0) * (a.b0 - b.b0) + (a.b1 - b.b1) * (a.b1 - b.b1)) AS d FROM ref a JOIN ref b ON a.j <> b.j),
+    kr AS (SELECT * FROM dr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, CAST(j AS VARCHAR)) <= 20),
+    far AS (SELECT i, max(d) AS kd FROM kr GROUP BY i),
+    den AS (SELECT kr.i, 1 / (avg(greatest(kr.d, far.kd)) + 1e-10) AS den FROM kr JOIN far ON far.i = kr.j GROUP BY kr.i),
+    bg AS (SELECT f0 AS g0, f1 AS g1 FROM f ORDER BY md5(CAST(p_partkey AS VARCHAR)), CAST(p_partkey AS VARCHAR) LIMIT 100),
+    e AS (SELECT f.* FROM f JOIN ({ORACLES["lof_outliers"]}) o USING (p_partkey) WHERE o.is_outlier ORDER BY p_partkey LIMIT 100),
+    m AS (SELECT p_partkey, 0 AS z, g0 AS x0, g1 AS x1 FROM e, bg UNION ALL SELECT p_partkey, 1, f0, g1 FROM e, bg UNION ALL SELECT p_partkey, 2, g0, f1 FROM e, bg UNION ALL SELECT p_partkey, 3, f0, f1 FROM e),
+    p AS (SELECT row_number() OVER () AS id, x0, x1 FROM (SELECT DISTINCT x0, x1 FROM m)),
+    k AS (SELECT id, j, sqrt((x0 - b0) * (x0 - b0) + (x1 - b1) * (x1 - b1)) AS d FROM p, ref QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt((x0 - b0) * (x0 - b0) + (x1 - b1) * (x1 - b1)), CAST(j AS VARCHAR)) <= 20),
+    r AS (SELECT k.id, round(avg(den) * (avg(greatest(k.d, kd)) + 1e-10), 10) AS raw FROM k JOIN far ON far.i = k.j JOIN den ON den.i = k.j GROUP BY k.id),
+    v AS (SELECT p_partkey, avg(raw) FILTER (z = 0) AS v0, avg(raw) FILTER (z = 1) AS v1, avg(raw) FILTER (z = 2) AS v2, avg(raw) FILTER (z = 3) AS v3 FROM m JOIN p USING (x0, x1) JOIN r USING (id) GROUP BY p_partkey),
+    a AS (SELECT quantile_cont(f0, 0.5) AS a0, quantile_cont(f1, 0.5) AS a1 FROM f),
+    sh AS (SELECT e.*, a.*, (v1 - v0 + v3 - v2) / 2 AS s0, (v2 - v0 + v3 - v1) / 2 AS s1 FROM e JOIN v USING (p_partkey), a)""" + _TOP.format(m="shap", v0="s0", v1="s1").replace("FROM e)", "FROM sh)").replace("FROM e\n", "FROM sh\n")
+
+
+@query(ORACLES["explain_lof_shapley"])
+def explain_lof_shapley(spark, sf_dir):
+    """Kernel SHAP of the LOF detector: both columns' shares of the factor of the first flagged parts."""
+    df, d = _detector(spark, sf_dir, "lof")
+    return _flat(engine.explained(d, df, "p_partkey", Settings().max_explain_rows))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents""")
+def csv_multiline_rows(spark, sf_dir):
+    """Documents written as CSV, texts with their line breaks within quotes, and read again by as many tasks as the files have pieces."""
+    path = shared_folder(spark, "documents") + "/rows.csv"
+    table(spark, sf_dir, "documents").select("doc_id", "lang", "text").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    text = F.coalesce("text", F.lit(""))
+    return csv_files.read_csv(spark, path).select("doc_id", "lang", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
+@query(None)
+def stream_fit_outliers(spark, sf_dir):
+    """Events as a stream of micro-batches that fit the incremental model, then scored by it."""
+    path = f"{sf_dir}/events.parquet"
+    df = spark.read.parquet(path)
+    first = incremental.begin(df, Settings().contamination, ["value"], ["event_type"], ["event_id"])
+    fitter = StreamFitter(first)
+    stream = spark.readStream.schema(df.schema).parquet(f"{path}*")  # a pattern may be a file or a folder
+    fitter.start(stream, shared_folder(spark, "events")).awaitTermination()
+    raw = df.withColumn("raw", fitter.model.raw())
+    return scoring.flagged(raw, scoring.fit_bounds(raw.select("raw"), Settings().contamination)).select("event_id", "anomaly_score", "is_outlier")
+
+
 @query("""
     WITH l AS (SELECT doc_id, unnest(string_split(replace(text, 'th', '"'), chr(10))) AS v FROM documents),
     c AS (SELECT doc_id, CASE WHEN (length(v) - length(replace(v, '"', ''))) % 2 = 1 THEN 'Multiline record' END AS a,

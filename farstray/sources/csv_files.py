@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farstray.functions import columns as C
+from farstray.sources import lines, quoted
 
 
 class CsvError(ValueError):
-    """A CSV file can't be used; ``issues`` may hold rows of the line validator."""
+    """A CSV file can't be used; ``issues`` are rows of the line validator, where it was asked."""
 
-    def __init__(self, message: str, issues: list | None = None):
+    def __init__(self, message: str, issues: list[dict] | None = None):
         super().__init__(message)
         self.issues = issues or []
 
@@ -39,25 +40,37 @@ def validate_file(spark: SparkSession, path: str) -> None:
         raise CsvError(f"{path} is empty")
 
 
-def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether a physical line has an odd number of double quotes, so that a field may go on in the next one."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+#: What a report of a file that can't be read looks at, and how much of it is kept.
+ISSUE_LINES, ISSUES, ISSUE_CHARS = 100_000, 200, 300
+
+
+def issues_of(spark: SparkSession, path: str) -> list[dict]:
+    """The first issues that the line validator finds in the first lines of a file, with long lines cut."""
+    found = lines.validate_csv(spark, path, max_lines=ISSUE_LINES).orderBy("line", "type", "description").limit(ISSUES)
+    return [r.asDict() for r in found.withColumn("raw_content", F.substring("raw_content", 1, ISSUE_CHARS)).collect()]
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Every column as text; bytes that are not UTF-8 become replacement characters.
 
-    Files are split, unless a line leaves a quote open: then a file is one task's, as fields may hold line breaks.
-    ``multi_line`` says so beforehand.
+    Fields within quotes may hold line breaks; files are split among tasks even so.  ``multi_line=False`` says beforehand that none does, which
+    saves the pass that looks for open quotes.  A file without rows or one that ends within quotes is refused, with what the line validator says of it.
     """
     validate_file(spark, path)
-    if multi_line is None:
-        multi_line = has_open_quotes(spark, path)
-    df = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    states = None if multi_line is False else quoted.quote_states(spark, path)
+    if states and states.open_end:
+        raise CsvError(f"{path} ends within quotes", issues_of(spark, path))
+    reader = spark.read.option("header", True).option("escape", '"')
+    if states is None or not states.turned:
+        df = reader.csv(path)
+    else:
+        names = reader.option("multiLine", True).csv(path).columns
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        rows = quoted.records(spark, path, states).where(~F.col("first"))
+        parsed = rows.select(F.from_csv("record", F.lit(schema), {"escape": '"'}).alias("r"))
+        df = parsed.select(*(F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)))
     if not df.columns or df.isEmpty():
-        raise CsvError(f"{path} has no rows")
+        raise CsvError(f"{path} has no rows", issues_of(spark, path))
     return df
 
 
