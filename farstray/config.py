@@ -20,7 +20,7 @@ RANGES = {
     "profiler_sample_rows": (100, 100_000),
     "global_sample_rows": (1000, 500_000),
     "lof_reference_rows": (2, 500_000),
-    "ocsvm_sample_rows": (2, 20_000),
+    "ocsvm_sample_rows": (2, 500_000),
     "route_incremental_size_mb": (50, 10_000),
     "route_hbos_row_threshold": (10_000, None),
     "route_high_dim_threshold": (5, 1000),
@@ -48,7 +48,7 @@ class Settings:
     profiler_sample_rows: int = 1000
     global_sample_rows: int = 50_000
     lof_reference_rows: int = 50_000
-    ocsvm_sample_rows: int = 2000
+    ocsvm_sample_rows: int = 50_000
     route_incremental_size_mb: float = 500
     route_hbos_row_threshold: int = 1_000_000
     route_high_dim_threshold: int = 50

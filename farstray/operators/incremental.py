@@ -91,13 +91,16 @@ class IncrementalModel:
 
     def step(self, df: DataFrame) -> IncrementalModel:
         """One gradient step on the rows of ``df``: towards the rows that are outside, as each of them pulls."""
-        model = self.settled(df)
-        outside, n = model.pull(df)
+        return self.settled(df).moved(df)
+
+    def moved(self, df: DataFrame) -> IncrementalModel:
+        """The step of a model whose margin is that of the rows of ``df``."""
+        outside, n = self.pull(df)
         if not n:
             return self
         rate = 1.0 / (self.steps + 2)
-        weights = (1 - rate) * model.weights + rate * outside / (self.nu * n)
-        return replace(model, weights=weights, steps=self.steps + 1).settled(df)
+        weights = (1 - rate) * self.weights + rate * outside / (self.nu * n)
+        return replace(self, weights=weights, steps=self.steps + 1).settled(df)
 
     def raw(self, names: list[str] | None = None, key: Column | None = None) -> Column:
         model = self
@@ -133,6 +136,9 @@ def begin(df: DataFrame, contamination: float, numeric: list[str], categorical:
 
 def fit_incremental(df: DataFrame, contamination: float, numeric: list[str], categorical: list[str], passes: int = 3, keys: list[str] | None = None) -> IncrementalModel | None:
     model = begin(df, contamination, numeric, categorical, keys)
-    for _ in range(passes if model else 0):
-        model = model.step(df)
+    if model is None or not passes:
+        return model
+    model = model.settled(df)
+    for _ in range(passes):
+        model = model.moved(df)  # which settles the margin for the next
     return model

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farstray.functions import columns as C
+from farstray.functions.ordered import is_consecutive
 from farstray.functions.quantiles import exact_quantiles
 from farstray.operators.categorical import value_counts
 
@@ -87,16 +88,19 @@ def top_values(df: DataFrame, names: list[str], n: int = TOP_VALUES) -> DataFram
     return top.select("column", "rank", "value", F.col("n").alias("count"), F.round(100.0 * F.col("n") / F.lit(max(rows, 1)), 2).alias("pct"))
 
 
-def id_columns(df: DataFrame, distinct: dict[str, int], rows: int, ratio: float = 0.5, by_name_only: tuple[str, ...] = ()) -> list[str]:
+def id_columns(df: DataFrame, distinct: dict[str, int], rows: int, ratio: float = 0.5, by_name_only: tuple[str, ...] = (), order: list[str] | None = None) -> list[str]:
     """Strings with very many values; numbers that are all different and consecutive (integers, or an identifier's name).
 
-    Order-free: consecutive means as many values as rows and as wide a range.  ``by_name_only`` are columns that were
-    numbers spelled as text, for which the type says nothing.
+    Without an ``order`` of rows, consecutive means as many values as rows and as wide a range; with one, each value is one more than the
+    value before.  ``by_name_only`` are columns that were numbers spelled as text, for which the type says nothing.
     """
     out = [c for c in C.categorical_columns(df) if distinct.get(c, 0) > max(10, rows * ratio)]
     whole = {f.name for f in df.schema.fields if isinstance(f.dataType, C.INTEGRAL)} - set(by_name_only)
     maybe = [c for c in C.numeric_columns(df) if rows > 1 and distinct.get(c) == rows and (c in whole or C.looks_like_id(c))]
-    if maybe:
+    if maybe and order:
+        found = is_consecutive(df, maybe, order)
+        out += [c for c in maybe if found[c]]
+    elif maybe:
         r = df.agg(*(x for i, c in enumerate(maybe) for x in ((F.max(f"`{c}`").cast("double") - F.min(f"`{c}`").cast("double")).alias(f"r{i}"), F.count_if(F.col(f"`{c}`").cast("double") != F.floor(F.col(f"`{c}`").cast("double"))).alias(f"w{i}"), F.count(f"`{c}`").alias(f"n{i}")))).first()
         out += [c for i, c in enumerate(maybe) if r[f"n{i}"] == rows and r[f"r{i}"] == rows - 1 and r[f"w{i}"] == 0]
     return [c for c in df.columns if c in set(out)]
@@ -110,8 +114,8 @@ def quality_score(rows: int, cells: int, nulls: int, columns: int, constant: int
     return max(0, min(100, score))
 
 
-def profile(df: DataFrame, id_ratio: float = 0.5, size_mb: float = 0.0, true_rows: int | None = None) -> TableProfile:
-    """Profile a table; ``true_rows`` is the whole table's count where ``df`` is a sample."""
+def profile(df: DataFrame, id_ratio: float = 0.5, size_mb: float = 0.0, true_rows: int | None = None, order: list[str] | None = None) -> TableProfile:
+    """Profile a table; ``true_rows`` is the whole table's count where ``df`` is a sample, ``order`` the columns that order its rows."""
     counted = {r["column"]: r for r in null_counts(df).collect()} if df.columns else {}
     rows = max((r["rows"] for r in counted.values()), default=0)
     distinct = {c: r["n_unique"] for c, r in counted.items()}
@@ -124,4 +128,4 @@ def profile(df: DataFrame, id_ratio: float = 0.5, size_mb: float = 0.0, true_row
     true = rows if true_rows is None else true_rows
     quality = quality_score(true, rows * len(df.columns), nulls, len(df.columns), len(constant), skew)
     details = {c: {"nulls": r["nulls"], "n_unique": r["n_unique"], "cardinality_ratio": r["cardinality_ratio"]} | {k: v for k, v in stats.get(c, {}).items() if k not in ("column", "n")} for c, r in counted.items()}
-    return TableProfile(true, len(df.columns), tuple(numeric), tuple(C.categorical_columns(df)), tuple(C.datetime_columns(df)), tuple(id_columns(df, distinct, rows, id_ratio)), tuple(constant), nulls, skew, quality, size_mb, details)
+    return TableProfile(true, len(df.columns), tuple(numeric), tuple(C.categorical_columns(df)), tuple(C.datetime_columns(df)), tuple(id_columns(df, distinct, rows, id_ratio, order=order)), tuple(constant), nulls, skew, quality, size_mb, details)

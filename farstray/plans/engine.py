@@ -25,10 +25,14 @@ class EnsembleModel:
     members: tuple[tuple[object, scoring.Bounds], ...]
 
     def raw(self, names: list[str], key: Column | None = None) -> Column:
+        return self.mean([model.raw(names, key) for model, _ in self.members])
+
+    def mean(self, scores: list[Column]) -> Column:
+        """Of the members' raw scores."""
         parts = []
-        for model, b in self.members:
+        for score, (_, b) in zip(scores, self.members):
             span = (b.high - b.low) or 1.0
-            parts.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (model.raw(names, key) - F.lit(b.low)) / F.lit(span))))
+            parts.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - F.lit(b.low)) / F.lit(span))))
         return F.round(C.total(parts) / len(parts), scoring.PLACES)
 
 
@@ -72,17 +76,21 @@ def fit_model(algorithm: str, everything: DataFrame, sample: DataFrame, names: l
         return cblof.fit_cblof(sample, names, rows)
     if algorithm == "ocsvm":
         return ocsvm.fit_ocsvm(sample.limit(settings.ocsvm_sample_rows), names, contamination)
-    if algorithm == "ensemble":
-        members = []
-        for member in ENSEMBLE:
-            model = fit_model(member, everything, sample, names, key, rows, settings)
-            bounds = bounds_of_all(model, everything, names, key, contamination)
-            if bounds:
-                members.append((model, bounds))
-        return EnsembleModel(tuple(members))
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
+def fit_ensemble(everything: DataFrame, sample: DataFrame, names: list[str], key: Column, rows: int, settings: Settings) -> tuple[EnsembleModel, scoring.Bounds | None]:
+    """The members, scored over all rows in one pass from which come their bounds and those of their mean."""
+    models = [fit_model(member, everything, sample, names, key, rows, settings) for member in ENSEMBLE]
+    scores = everything.select(*(m.raw(names, key).alias(f"m{i}") for i, m in enumerate(models))).persist()
+    r = scores.agg(*(f(f"m{i}") for i in range(len(models)) for f in (F.min, F.max))).first()
+    kept = [i for i in range(len(models)) if r[2 * i] is not None]
+    model = EnsembleModel(tuple((models[i], scoring.Bounds(r[2 * i], r[2 * i + 1], r[2 * i + 1])) for i in kept))
+    bounds = scoring.fit_bounds(scores.select(model.mean([F.col(f"m{i}") for i in kept]).alias("raw")), settings.contamination) if kept else None
+    scores.unpersist()
+    return model, bounds
+
+
 def bounds_of_all(model, everything: DataFrame, names: list[str], key: Column | None, contamination: float) -> scoring.Bounds | None:
     scores = everything.select(model.raw(names, key).alias("raw")).persist()
     bounds = scoring.fit_bounds(scores, contamination)
@@ -115,8 +123,11 @@ def fit_detector(df: DataFrame, algorithm: str, settings: Settings = Settings(),
     if rows < 2:
         return Detector(algorithm, features, None, None, key)
     key_column = F.col("__key") if key else F.xxhash64(*columns)
-    model = fit_model(algorithm, keyed, sample, columns, key_column, rows, settings)
-    bounds = bounds_of_all(model, keyed, columns, key_column if key else None, settings.contamination)
+    if algorithm == "ensemble":
+        model, bounds = fit_ensemble(keyed, sample, columns, key_column, rows, settings)
+    else:
+        model = fit_model(algorithm, keyed, sample, columns, key_column, rows, settings)
+        bounds = bounds_of_all(model, keyed, columns, key_column if key else None, settings.contamination)
     sample.unpersist()
     return Detector(algorithm, features, model, bounds, key)
 
@@ -133,16 +144,17 @@ class Detection:
         return scoring.summary(self.scored, self.algorithm)
 
 
-def detect(df: DataFrame, settings: Settings = Settings(), key: str | None = None, names: list[str] | None = None, size_mb: float = 0.0) -> Detection:
+def detect(df: DataFrame, settings: Settings = Settings(), key: str | None = None, names: list[str] | None = None, size_mb: float = 0.0, order: list[str] | None = None) -> Detection:
     """Run everything on a table.  Columns whose names clash with added ones are kept as ``<name>__input``.
 
     With ``profile_sampled`` the profile is that of ``profiler_sample_rows`` rows and the count of all.
-    A table with a date or time column is passed through with zero scores, unless ``on_datetime`` is "ignore".
+    A table with a date or time column is passed through with zero scores, unless ``on_datetime`` is "ignore".  ``order`` names columns that
+    order the rows, for columns that count up in it.
     """
     df = C.without_collisions(df)
     typed = cast_numeric_strings(df, settings.numeric_cast_threshold, settings.exclude_columns)
     few = uniform_sample(typed, settings.profiler_sample_rows, [key] if key else None) if settings.profile_sampled else typed
-    found = profile(few, settings.profiler_id_cardinality_ratio, size_mb, typed.count() if settings.profile_sampled else None)
+    found = profile(few, settings.profiler_id_cardinality_ratio, size_mb, typed.count() if settings.profile_sampled else None, order)
     algorithm = choose_algorithm(found, settings)
     zero = {"anomaly_score": F.lit(0.0), "is_outlier": F.lit(False), "cat_anomaly_score": F.lit(0.0), "is_cat_outlier": F.lit(False)}
     if found.datetime and settings.on_datetime == "passthrough":

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from farstray.config import Settings
 from farstray.functions import columns as C
+from farstray.functions import ordered
 from farstray.functions.checkpoints import shared_folder
 from farstray.functions.quantiles import exact_quantiles
 from farstray.functions.sampling import uniform_sample
-from farstray.operators import categorical, explain, features, hbos, incremental, lof, profile, scoring, zscore_iqr
+from farstray.operators import categorical, explain, features, hbos, incremental, lof, planted, profile, scoring, zscore_iqr
 from farstray.plans import engine, route
-from farstray.sources import csv_files, lines, synthetic
+from farstray.sources import csv_files, lines
 from farstray.streaming.score import StreamFitter
 
 QUERIES: dict = {}
@@ -501,25 +502,53 @@ def precision_recall(spark, sf_dir):
     return scoring.precision_recall(joined, F.col("n_chars") > 2000, F.col("toxic") == 1)
 
 
-_DRAW = "CAST(floor((({x2}) * ({x2}) % 2147483647) / 64) AS BIGINT) % {n}"
+#: A table with planted outliers: kind, and the number changed as the kind says.
+_HASH = "CAST(concat('0x', substr(md5(concat('{salt}:', CAST(o_orderkey AS VARCHAR))), 1, 7)) AS BIGINT)"
+_PLANTED = f"""
+    SELECT o_orderkey, kind, CASE kind WHEN 'point_moved' THEN v * 100 WHEN 'sign_turned' THEN -v WHEN 'far_out' THEN v + 1000000 WHEN 'stuck' THEN 0 ELSE v END AS value
+    FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS v, CASE WHEN {_HASH.format(salt="planted")} % 1000 < 20 THEN ['{"', '".join(planted.KINDS)}'][{_HASH.format(salt="kind")} % {len(planted.KINDS)} + 1] END AS kind FROM orders)"""
+_PLANTED_SCORES = ORACLES["zscore_iqr_outliers"].replace("event_id", "o_orderkey").replace("FROM events", f"FROM ({_PLANTED})")
 
 
-def _draw_sql(salt: int, n: int, seed: int = 42) -> str:
-    x = f"((id + {1 + seed + 7919 * salt}) * 48271 % 2147483647)"
-    x = f"(({x} * {x} + {69621 * (salt + 1)}) % 2147483647 * 16807 + {salt}) % 2147483647"
-    return _DRAW.format(x2=x, n=n)
+def _planted_orders(spark, sf_dir) -> DataFrame:
+    """Orders with outliers in their price, and the detector's scores."""
+    df = planted.plant(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value")), ["value"], "o_orderkey")
+    return zscore_iqr.zscore_iqr(df, ["value"])
 
 
-def _pick_sql(values, salt: int) -> str:
-    return f"list_extract({list(values)}, CAST(1 + {_draw_sql(salt, len(values))} AS BIGINT))"
+@query(f"SELECT kind, count(*) AS n, count(*) FILTER (is_outlier) AS n_flagged FROM ({_PLANTED}) JOIN ({_PLANTED_SCORES}) USING (o_orderkey) WHERE kind IS NOT NULL GROUP BY kind")
+def synthetic_outliers(spark, sf_dir):
+    """Outliers of known kinds in a given table, and how many of each kind are found."""
+    return planted.breakdown(_planted_orders(spark, sf_dir))
 
 
 @query(f"""
-    SELECT kind, count(*) AS n FROM (
-        SELECT CASE WHEN h < 60 THEN {_pick_sql(synthetic.NUMERIC, 3)} WHEN h < 70 THEN {_pick_sql(synthetic.SINGLE, 4)} ELSE {_pick_sql(synthetic.CATEGORICAL, 5)} END AS kind
-        FROM (SELECT id, {_draw_sql(2, 100)} AS h FROM range(20000) r(id) WHERE {_draw_sql(1, 100_000)} < 2000)) GROUP BY kind""")
-def synthetic_outliers(spark, sf_dir):
-    return synthetic.outlier_breakdown(synthetic.synthetic_table(spark, 20_000))
+    WITH s AS (SELECT anomaly_score AS s, kind IS NOT NULL AS t FROM ({_PLANTED}) JOIN ({_PLANTED_SCORES}) USING (o_orderkey)),
+    c AS (SELECT s, count(*) FILTER (t) AS p, count(*) FILTER (NOT t) AS n FROM s GROUP BY s),
+    b AS (SELECT p, n, sum(n) OVER (ORDER BY s) - n AS below FROM c)
+    SELECT 'zscore_iqr' AS algorithm, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM b""")
+def planted_auc(spark, sf_dir):
+    """How well scores tell planted outliers from the other orders, whatever the threshold."""
+    found = ordered.auc(_planted_orders(spark, sf_dir), F.col("anomaly_score"), F.col("kind").isNotNull())
+    return spark.createDataFrame([("zscore_iqr", None if found is None else round(found, 6))], "algorithm string, auc double")
+
+
+@query("SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey), 2) + 0.0 AS difference FROM orders")
+def ordered_differences(spark, sf_dir):
+    """Each order's price less that of the order before, by date."""
+    df = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
+    return ordered.first_differences(df, "o_totalprice", ["o_orderdate", "o_orderkey"]).select("o_orderkey", (F.round("difference", 2) + F.lit(0.0)).alias("difference"))
+
+
+_SEQUENTIAL = """SELECT '{o}' AS row_order, '{c}' AS "column", count(d) > 0 AND count(*) FILTER (d <> 1) = 0 AS consecutive FROM (SELECT {c} - lag({c}) OVER (ORDER BY {o}, {c}) AS d FROM orders)"""
+
+
+@query(" UNION ALL ".join(_SEQUENTIAL.format(o=o, c=c) for o in ("o_orderkey", "o_orderdate") for c in ("o_orderkey", "o_custkey")))
+def consecutive_columns(spark, sf_dir):
+    """Which keys of orders count up by one in the order of their own numbers and of their dates."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    rows = [(o, c, v) for o in ("o_orderkey", "o_orderdate") for c, v in ordered.is_consecutive(df, ["o_orderkey", "o_custkey"], [o]).items()]
+    return spark.createDataFrame(rows, "row_order string, column string, consecutive boolean")
 
 
 def _several_rare_sql(source: str, key: str, values: tuple[str, ...], threshold: float = 0.01) -> str:
