@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farstray.functions import columns as C
+from farstray.functions.checkpoints import checkpointed
 from farstray.functions.sampling import uniform_sample
 
 MOST_COLUMNS = 50
@@ -20,6 +21,17 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*cells)).alias("s")).groupBy("s.column", "s.value").agg(F.count("*").alias("n")) if names else df.sparkSession.createDataFrame([], "column string, value string, n long")
 
 
+def print_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """column, p1, p2 (a 128-bit fingerprint of the value's text, null for null), n: as ``value_counts``, but no text of the table is moved."""
+    cells = []
+    for i, c in enumerate(names):
+        text = F.col(f"`{c}`").cast("string")
+        p1, p2 = (F.when(text.isNotNull(), F.xxhash64(*salt, text)) for salt in ([], [F.lit(20_240_229)]))
+        cells.append(F.struct(F.lit(i).alias("column"), p1.alias("p1"), p2.alias("p2")))
+    found = df.select(F.explode(F.array(*cells)).alias("s")).groupBy("s.column", "s.p1", "s.p2").agg(F.count("*").alias("n"))
+    return found.withColumn("column", F.element_at(F.array(*map(F.lit, names)), F.col("column") + 1))
+
+
 def candidate_columns(counts: DataFrame, names: list[str], rows: int, ratio: float = 0.1, least: int = 10) -> list[str]:
     """Columns with at most ``max(least, rows * ratio)`` different values (null is one); the 50 with the fewest."""
     distinct = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("*").alias("n")).collect()}
@@ -45,19 +57,18 @@ def rare_categories(
     """Add cat_anomaly_score (the largest rarity of a row's values, 0 to 1) and is_cat_outlier.
 
     A value is flagged if its frequency is below ``min(threshold, 0.3 / number of values)``.  Nulls have rarity 0 and are
-    never flagged; a value without a frequency (unseen in a sample) is, with rarity 1 where frequencies differ.  Counts are taken in one scan and
-    kept, so that each column's join reads them and not the table again.
+    never flagged; a value without a frequency (unseen in a sample) is, with rarity 1 where frequencies differ.  Different values
+    are counted by fingerprints first; texts are counted, in one more scan whose result is written, of columns with few values only.
     """
     names = C.categorical_columns(df, exclude) if names is None else names
     rows = df.count() if rows is None else rows
     none = {"cat_anomaly_score": F.lit(0.0), "is_cat_outlier": F.lit(False)}
     if not names or not rows:
         return df.withColumns(none)
-    counts = value_counts(df, names).persist()
-    names = candidate_columns(counts, names, rows, ratio, least)
+    names = candidate_columns(print_counts(df, names), names, rows, ratio, least)
     if not names:
         return df.withColumns(none)
-    freq = frequencies(counts, names, rows) if freq is None else freq
+    freq = frequencies(checkpointed(value_counts(df, names)), names, rows) if freq is None else freq
     stats = {r["column"]: r for r in freq.groupBy("column").agg(F.min("freq").alias("low"), F.max("freq").alias("high"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 32).alias("bytes")).collect()}
     out, rarities, flags = df, [], []
     for i, c in enumerate(names):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from farstray.functions import columns as C
 from farstray.functions.ordered import is_consecutive
 from farstray.functions.quantiles import exact_quantiles
-from farstray.operators.categorical import value_counts
+from farstray.operators.categorical import print_counts, value_counts
 
 TOP_VALUES = 5
 
@@ -38,10 +38,8 @@ class TableProfile:
 def null_counts(df: DataFrame) -> DataFrame:
     """column, nulls, n_unique (null is a value), rows, cardinality_ratio of every column with a text form."""
     names = [f.name for f in df.schema.fields]
-    counts = value_counts(df, names)
-    rows = F.sum("n")
-    out = counts.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("*").alias("n_unique"), rows.alias("rows"))
-    return out.withColumn("cardinality_ratio", F.round(F.col("n_unique") / F.col("rows"), 4))
+    found = print_counts(df, names).groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("p1").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("*").alias("n_unique"), F.sum("n").alias("rows"))
+    return found.withColumn("cardinality_ratio", F.round(F.col("n_unique") / F.col("rows"), 4))
 
 
 def numeric_stats(df: DataFrame, names: list[str]) -> list[dict]:
