@@ -69,7 +69,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     end = F.col("start") + F.col("len")
     covered = hits.withColumn("upto", F.coalesce(F.max(end).over(order), F.lit(0))).groupBy("doc_id", "copy")
     covered = covered.agg(F.sum(F.greatest(end - F.greatest("start", "upto"), F.lit(0))).cast("long").alias("n_hit"))
-    items = hits.select("doc_id", "copy", "id").distinct().join(sized(windows.select("id", "item_ids")), "id").groupBy("doc_id", "copy")
+    ids_text = F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",")  # a window may be that of very many items
+    named = sized_bytes(windows.select("id", "item_ids"), ids_text, BROADCAST_BYTES)
+    items = hits.select("doc_id", "copy", "id").distinct().join(named, "id").groupBy("doc_id", "copy")
     items = items.agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("ids"))
     joined = F.array_join(F.sort_array(F.transform("ids", lambda i: i.cast("string"))), ",")
     items = items.select("doc_id", "copy", F.size("ids").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"))
