@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farstray.operators.scoring import PLACES
+from farstray.operators.scoring import PLACES, collected, matrix
 
 TREES, SUBSAMPLE, SEED = 100, 256, 42
 
@@ -59,7 +59,7 @@ class ForestModel:
 
         @F.pandas_udf("double")
         def score(columns: pd.DataFrame) -> pd.Series:
-            x = columns.to_numpy(dtype=float)
+            x = matrix(columns)
             depth = np.zeros(len(x))
             for feature, cut, left, right, leaf in shared.value:
                 at = np.zeros(len(x), dtype=np.int64)
@@ -79,10 +79,10 @@ class ForestModel:
 def fit_forest(sample: DataFrame, names: list[str], trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> ForestModel:
     """``sample`` is bounded; it is broadcast, and each task grows its trees from the rows that the tree's seed draws."""
     spark = sample.sparkSession
-    matrix = sample.select(*(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names))).toPandas().to_numpy(dtype=float)
-    matrix = matrix[np.lexsort(matrix.T[::-1])]  # the same forest whatever the order of rows
-    size = min(subsample, len(matrix))
-    shared = spark.sparkContext.broadcast(matrix)
+    rows = collected(sample, names)
+    rows = rows[np.lexsort(rows.T[::-1])]  # the same forest whatever the order of rows
+    size = min(subsample, len(rows))
+    shared = spark.sparkContext.broadcast(rows)
 
     def build(batches):
         for pdf in batches:

@@ -11,6 +11,7 @@ from farstray.functions import columns as C
 from farstray.functions.ordered import is_consecutive
 from farstray.functions.quantiles import exact_quantiles
 from farstray.operators.categorical import print_counts, value_counts
+from farstray.operators.vectors import vector_columns, vector_widths
 
 TOP_VALUES = 5
 
@@ -29,10 +30,11 @@ class TableProfile:
     quality: int
     size_mb: float = 0.0
     details: dict[str, dict] = field(default_factory=dict)
+    vectors: dict[str, int] = field(default_factory=dict)  # array columns and how long they are
 
     @property
     def usable_dimensions(self) -> int:
-        return len([c for c in self.numeric if c not in self.ids and c not in self.constant])
+        return len([c for c in self.numeric if c not in self.ids and c not in self.constant]) + sum(self.vectors.values())
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -126,4 +128,4 @@ def profile(df: DataFrame, id_ratio: float = 0.5, size_mb: float = 0.0, true_row
     true = rows if true_rows is None else true_rows
     quality = quality_score(true, rows * len(df.columns), nulls, len(df.columns), len(constant), skew)
     details = {c: {"nulls": r["nulls"], "n_unique": r["n_unique"], "cardinality_ratio": r["cardinality_ratio"]} | {k: v for k, v in stats.get(c, {}).items() if k not in ("column", "n")} for c, r in counted.items()}
-    return TableProfile(true, len(df.columns), tuple(numeric), tuple(C.categorical_columns(df)), tuple(C.datetime_columns(df)), tuple(id_columns(df, distinct, rows, id_ratio, order=order)), tuple(constant), nulls, skew, quality, size_mb, details)
+    return TableProfile(true, len(df.columns), tuple(numeric), tuple(C.categorical_columns(df)), tuple(C.datetime_columns(df)), tuple(id_columns(df, distinct, rows, id_ratio, order=order)), tuple(constant), nulls, skew, quality, size_mb, details, vector_widths(df, vector_columns(df)))

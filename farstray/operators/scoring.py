@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,19 @@ from farstray.functions.quantiles import exact_quantiles
 PLACES = 10
 
 
+def matrix(columns: pd.DataFrame) -> np.ndarray:
+    """Feature columns of an Arrow batch, or the one column of arrays that holds them all, as rows of numbers."""
+    if columns.shape[1] == 1 and len(columns) and isinstance(columns.iloc[0, 0], (list, np.ndarray)):
+        return np.vstack(columns.iloc[:, 0].to_numpy()).astype(float)
+    return columns.to_numpy(dtype=float)
+
+
+def collected(sample: DataFrame, names: list[str]) -> np.ndarray:
+    """The features of a bounded sample on the driver."""
+    kinds = dict(sample.dtypes)
+    return matrix(sample.select(*((F.col(f"`{c}`") if kinds[c].startswith("array") else F.col(f"`{c}`").cast("double")).alias(f"x{i}") for i, c in enumerate(names))).toPandas())
+
+
 @dataclass(frozen=True)
 class Bounds:
     low: float

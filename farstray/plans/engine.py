@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from farstray.config import Settings
 from farstray.functions import columns as C
 from farstray.functions.sampling import uniform_sample
-from farstray.operators import categorical, cblof, explain, forest, hbos, incremental, lof, ocsvm, scoring
+from farstray.operators import categorical, cblof, explain, forest, hbos, incremental, lof, ocsvm, scoring, vectors
 from farstray.operators.features import FeatureModel, cast_numeric_strings, fit_features
 from farstray.operators.profile import TableProfile, profile
 from farstray.plans.route import choose_algorithm
@@ -112,7 +112,11 @@ def fit_detector(df: DataFrame, algorithm: str, settings: Settings = Settings(),
             return Detector(algorithm, None, None, None, key)
         bounds = scoring.fit_bounds(df.select(model.raw().alias("raw")), settings.contamination)
         return Detector(algorithm, None, model, bounds, key)
-    features = fit_features(df, names, settings.scaling, settings.impute, exclude, settings.clip)
+    arrays = [c for c in vectors.vector_columns(df, exclude) if names is None or c in names]
+    if arrays and algorithm == "iforest":  # the others take plain numbers only
+        features = vectors.fit_vectors(df, arrays + C.numeric_columns(df, exclude) if names is None else names, settings.scaling, settings.impute, settings.clip)
+    else:
+        features = fit_features(df, names, settings.scaling, settings.impute, exclude, settings.clip)
     if not features.kept:
         return Detector(algorithm, features, None, None, key)
     wide = features.transform(df.where(features.complete()))
@@ -173,7 +177,7 @@ def detect(df: DataFrame, settings: Settings = Settings(), key: str | None = Non
         freq = categorical.sample_frequencies(typed, strings, settings.global_sample_rows, [key] if key else None)
     scored = categorical.rare_categories(scored, strings, settings.cat_rare_threshold, settings.cat_max_cardinality_ratio, settings.cat_min_cardinality, freq, rows=found.rows)
     explanations = None
-    if settings.explain and detector and detector.model is not None and detector.features and key:
+    if settings.explain and detector and detector.model is not None and isinstance(detector.features, FeatureModel) and key:
         explanations = explained(detector, typed, key, settings.max_explain_rows)
     return Detection(algorithm, scored, found, explanations, detector)
 

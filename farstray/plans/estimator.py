@@ -13,13 +13,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame, SparkSession
 
 from farstray.config import Settings
-from farstray.operators import cblof, features, forest, hbos, incremental, lof, neighbours, ocsvm, scoring
+from farstray.operators import cblof, features, forest, hbos, incremental, lof, neighbours, ocsvm, scoring, vectors
 from farstray.plans.engine import Detector, EnsembleModel, fit_detector
 
 #: Classes that a saved detector may be made of; nothing else is built from a file.
 PARTS = {
     c.__name__: c
-    for module in (cblof, features, forest, hbos, incremental, lof, neighbours, ocsvm, scoring)
+    for module in (cblof, features, forest, hbos, incremental, lof, neighbours, ocsvm, scoring, vectors)
     for c in vars(module).values()
     if dataclasses.is_dataclass(c) and isinstance(c, type) or c is neighbours.Boxes
 } | {"Detector": Detector, "EnsembleModel": EnsembleModel}

@@ -11,7 +11,7 @@ from farstray.functions import ordered
 from farstray.functions.checkpoints import shared_folder
 from farstray.functions.quantiles import exact_quantiles
 from farstray.functions.sampling import uniform_sample
-from farstray.operators import categorical, explain, features, hbos, incremental, lof, planted, profile, scoring, zscore_iqr
+from farstray.operators import categorical, explain, features, hbos, incremental, lof, planted, profile, scoring, vectors, zscore_iqr
 from farstray.plans import engine, route
 from farstray.sources import csv_files, lines
 from farstray.streaming.score import StreamFitter
@@ -211,6 +211,19 @@ def prepare_matrix(spark, sf_dir):
     return rounded(features.fit_features(df, list(_PART)).transform(df).select("p_partkey", "f_p_size", "f_p_retailprice"), "p_partkey")
 
 
+@query("""
+    WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    e AS (SELECT place, quantile_cont(x, 0.01) AS l, quantile_cont(x, 0.99) AS h FROM v GROUP BY place),
+    c AS (SELECT vec_id, place, greatest(least(x, h), l) AS x FROM v JOIN e USING (place)),
+    s AS (SELECT place, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS d FROM c GROUP BY place)
+    SELECT vec_id, CAST(place AS INTEGER) AS place, round((x - m) / d, 4) + 0.0 AS feature FROM c JOIN s USING (place)""")
+def prepare_vectors(spark, sf_dir):
+    """The scaled features of a column of arrays, place by place."""
+    df = table(spark, sf_dir, "embeddings")
+    model = vectors.fit_vectors(df, ["embedding"])
+    return model.transform(df).select("vec_id", F.posexplode("f_vector").alias("place", "x")).select("vec_id", "place", (F.round("x", 4) + F.lit(0.0)).alias("feature"))
+
+
 # --- scores and detectors ---------------------------------------------------------------------------------------------
 
 @query("""

@@ -7,7 +7,7 @@ import pytest
 from farstray.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents conversations labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations labels embeddings".split()
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
