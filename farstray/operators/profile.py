@@ -31,12 +31,29 @@ class TableProfile:
     size_mb: float = 0.0
     details: dict[str, dict] = field(default_factory=dict)
     vectors: dict[str, int] = field(default_factory=dict)  # array columns and how long they are
+    sample_rows: int = 0  # how many rows the statistics are of
 
     @property
     def usable_dimensions(self) -> int:
         return len([c for c in self.numeric if c not in self.ids and c not in self.constant]) + sum(self.vectors.values())
 
 
+    def report(self) -> dict:
+        """For a client: percentages to two places, statistics to four, least and largest values as they are; says whether a sample was profiled."""
+        cells = self.sample_rows * self.columns
+        rounded = {"null_pct": 2} | dict.fromkeys(("mean", "median", "std", "q1", "q3", "iqr", "skewness", "kurtosis", "cardinality_ratio"), 4)
+        columns = {}
+        for name, d in self.details.items():
+            d = d | {"null_pct": 100.0 * d["nulls"] / self.sample_rows if self.sample_rows else 0.0}
+            columns[name] = {k: round(v, rounded[k]) if k in rounded and v is not None else v for k, v in d.items()}
+        return {
+            "rows": self.rows, "sample_rows": self.sample_rows, "stats_are_sampled": self.sample_rows < self.rows, "size_mb": round(self.size_mb, 2), "columns": self.columns,
+            "numeric": list(self.numeric), "categorical": list(self.categorical), "datetime": list(self.datetime), "ids": list(self.ids), "constant": list(self.constant),
+            "nulls": self.nulls, "null_pct": round(100.0 * self.nulls / cells, 2) if cells else 0.0, "quality": self.quality, "mean_skewness": round(self.mean_skewness, 4),
+            "usable_dimensions": self.usable_dimensions, "details": columns,
+        }
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """column, nulls, n_unique (null is a value), rows, cardinality_ratio of every column with a text form."""
     names = [f.name for f in df.schema.fields]
@@ -128,4 +145,4 @@ def profile(df: DataFrame, id_ratio: float = 0.5, size_mb: float = 0.0, true_row
     true = rows if true_rows is None else true_rows
     quality = quality_score(true, rows * len(df.columns), nulls, len(df.columns), len(constant), skew)
     details = {c: {"nulls": r["nulls"], "n_unique": r["n_unique"], "cardinality_ratio": r["cardinality_ratio"]} | {k: v for k, v in stats.get(c, {}).items() if k not in ("column", "n")} for c, r in counted.items()}
-    return TableProfile(true, len(df.columns), tuple(numeric), tuple(C.categorical_columns(df)), tuple(C.datetime_columns(df)), tuple(id_columns(df, distinct, rows, id_ratio, order=order)), tuple(constant), nulls, skew, quality, size_mb, details, vector_widths(df, vector_columns(df)))
+    return TableProfile(true, len(df.columns), tuple(numeric), tuple(C.categorical_columns(df)), tuple(C.datetime_columns(df)), tuple(id_columns(df, distinct, rows, id_ratio, order=order)), tuple(constant), nulls, skew, quality, size_mb, details, vector_widths(df, vector_columns(df)), rows)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from dataclasses import asdict, fields
+import time
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = vars(parser().parse_args(argv))
+    began = time.perf_counter()
     spark = spark or SparkSession.builder.appName("farstray").getOrCreate()
     path, only, key, whole = (args.pop(k) for k in ("input", "validate_only", "key", "answer"))
     settings = Settings(**args)
@@ -44,7 +46,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         wrong = issues.agg(F.count_distinct("line")).first()[0]
         print(f"{wrong} lines with issues")
         return int(wrong > 0)
-    table = csv_files.read_csv(spark, path)
+    try:
+        table = csv_files.read_csv(spark, path)
+    except csv_files.CsvError as e:
+        print(json.dumps({"error": str(e), "issues": e.issues}))
+        return 2
     if not key:
         table, key = table.withColumn("_row_id", F.xxhash64(*table.columns)), "_row_id"
         settings = Settings(**args | {"exclude_columns": [*args["exclude_columns"], key]})
@@ -52,9 +58,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if share["mostly_null"]:
         print(f"more than half of the cells are empty ({share['nulls']} of {share['cells']})", file=sys.stderr)
     found = detect(table, settings, key, size_mb=csv_files.file_size_mb(spark, path))
-    counters = results.write_scored(found.scored, settings.output_path)
+    counters = results.write_scored(found.scored, settings.output_path, began)
     if whole:
-        print(results.answer(found.scored, key, counters, asdict(found.profile), found.explanations))
+        print(results.answer(found.scored, key, counters, found.profile.report(), found.explanations))
     else:
         print(json.dumps({"algorithm": found.algorithm} | counters))
     if found.explanations is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -11,15 +12,18 @@ from farstray.functions import columns as C
 from farstray.operators.scoring import top_outliers
 
 
-def write_scored(scored: DataFrame, path: str) -> dict:
-    """Write all rows and count outliers on the way; the counters and their shares."""
+def write_scored(scored: DataFrame, path: str, began: float | None = None) -> dict:
+    """Write all rows and count outliers on the way; the counters, their shares, where the rows are and the seconds since ``began`` (``time.perf_counter()``
+    at the run's begin; else those of writing)."""
+    began = time.perf_counter() if began is None else began
     seen = Observation()
     both = F.col("is_outlier") | F.col("is_cat_outlier")
     counted = scored.observe(seen, F.count(F.lit(1)).alias("total_rows"), F.count_if("is_outlier").alias("numeric_outliers"), F.count_if("is_cat_outlier").alias("categorical_outliers"), F.count_if(both).alias("combined_outliers"))
     counted.write.mode("overwrite").parquet(path)
     out = dict(seen.get)
     share = lambda n: round(100.0 * n / out["total_rows"], 2) if out["total_rows"] else 0.0
-    return out | {f"{k}_pct": share(out[f"{k}_outliers"]) for k in ("numeric", "categorical", "combined")}
+    shares = {f"{k}_pct": share(out[f"{k}_outliers"]) for k in ("numeric", "categorical", "combined")}
+    return out | shares | {"runtime_seconds": round(time.perf_counter() - began, 2), "output_path": path}
 
 
 def explanations_path(path: str) -> str:
