@@ -4,7 +4,7 @@ import json
 
 from farstray.operators.profile import profile
 from farstray.plans import cli
-from farstray.sources import results
+from farstray.sources import lines, results
 
 
 def test_profile_is_rounded_and_says_whether_it_is_of_a_sample(spark):
@@ -40,3 +40,10 @@ def test_the_command_line_prints_the_whole_summary(spark, tmp_path, capsys):
     found = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert found["summary"]["output_path"].endswith("o.parquet") and found["summary"]["runtime_seconds"] > 0
     assert found["profile"]["stats_are_sampled"] is False and found["profile"]["details"]["x"]["median"] == 3.0
+
+
+def test_a_line_that_the_parser_gives_up_on_is_a_parse_error(spark):
+    long = "x" * 200_000  # above the parser's limit of a field
+    rows = [(1, "a,b"), (2, f"1,{long}"), (3, "1,2")]
+    found = lines.validate_lines(spark.createDataFrame(rows, "line long, value string")).collect()
+    assert [(r["line"], r["type"]) for r in found] == [(2, lines.PARSE)] and len(found[0]["raw_content"]) == 200_002
