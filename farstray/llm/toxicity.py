@@ -1,16 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-For each class the chance of a word after up to two others is its discounted count in that class, interpolated with the
-chance after one word less; the mass that the discount sets free is the same for both classes.  The last backoff is shared
-too: the share of all different word pairs of the whole corpus that end with the word.  Counts are of documents, and
-the discount is larger than the usual one, as near copies come in twos and threes; an expression that a class does not
-have beyond the discount has the shared part only, which cancels where the classes are compared, so a rare expression
-says what its words say, and a rare word nothing.
-
-An expression is a word, or it with the one or two before it, as long as a sentence of the models: its log-likelihoods
-are divided by its number of words and compared.  A text is judged by the mean of its most telling expressions, and a
-logistic curve of this one number, fitted with both classes weighted alike on rows that the models have not seen,
-makes it a score.
+For each class the chance of a word after another is its discounted count in that class, interpolated with the chance of
+the word alone, and that with the shared backoff: of all different pairs of neighbours in the whole corpus that end with a
+word of the models, the share that ends with this one.  The mass that the discounts set free is the same for both
+classes, so that what neither class has says nothing.  Counts are of documents.  The discounts of what one, two, and three
+or more documents of a class have come from the counts of counts (Chen and Goodman's), each below the count itself.
+
+A whole text is judged by three comparisons of its two length-normalised log-likelihoods: of the models of words; of
+the models of words after a word, less the former; and of models in which any one word may come from the toxic class
+and all others from the ordinary one, where each word counts by its ratio's power ``POWER``, shrunk by the documents
+behind it.  Every word of the text has a part in each.  A logistic curve of the three, fitted with both classes weighted alike
+on rows that the models have not seen, makes them a score.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import types as T
 from farstray.llm import packed
 from farstray.llm.common import checkpointed, crc_mod3, mix, run_hashes, slices, small_batches, tidy, word_hashes, word_spans
 
-DISCOUNT = 3
-ORDER = 3
-#: A text is judged by so many expressions.
-TELLING = 3
-#: Corpora of more bytes count their different word pairs by those in a fixed share of the hash space.
-PAIR_BYTES = 16 << 20
+ORDER = 2
+#: A word that ``n`` labelled texts have counts by n / (n + SHRINK) of its log ratio where single words are compared.
+SHRINK = 1.0
+POWER = 3.0
+#: A discount is at least and at most so large a part of the count.
+LEAST_DISCOUNT, MOST_DISCOUNT = 0.05, 0.95
 #: The left neighbours of one word are dealt over so many ranges.
 SALTS = 16
 
@@ -92,74 +92,65 @@ class Table:
 
 @dataclass(frozen=True)
 class Models:
-    """Both classes' models: for words the chances (ordinary, toxic) and, as contexts, the shares of their backoff; for
-    runs of two and three words the discounted shares and the shares of the backoff."""
+    """Both classes' models.  Words: the chances (ordinary, toxic), the shares of their backoff as contexts, and the shrunk
+    log ratio.  Pairs of words: the discounted shares."""
 
-    tables: tuple[Table, ...]
+    words: Table
+    pairs: Table
 
-    def ratios(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """For each word the largest length-normalised log-likelihood ratio of an expression that ends with it."""
+    def steps(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word the log ratio (toxic to ordinary) alone, what the word before adds to it, and the shrunk ratio."""
         n = len(words)
-        chance = np.ones((n, 2))  # of a word that no class has beyond the discount, only the ratio is of use
-        backoff = np.ones((n, 2))
-        hit, found = self.tables[0].find(words)
-        chance[hit], backoff[hit] = found[:, :2], found[:, 2:]
-        step = np.log(chance[:, 1] / chance[:, 0])
-        best, steps = step.copy(), [step]
-        for size, table in enumerate(self.tables[1:], start=2):
-            at, runs, _ = grams(words, row, size)
-            if not len(at):
-                break
-            # the context of the run that ends here ends one word before
-            lower, context = chance[at], backoff[at - 1]
-            hit, found = table.find(runs)
-            chance, backoff = np.ones((n, 2)), np.ones((n, 2))
-            here = context * lower
-            here[hit] += found[:, :2]
-            chance[at] = here
-            backoff[at[hit]] = found[:, 2:]
-            step = np.zeros(n)
-            step[at] = np.log(here[:, 1] / here[:, 0])
-            total = step[at]
-            for k, earlier in enumerate(reversed(steps), start=1):
-                total = total + earlier[at - k]
-            best[at] = np.maximum(best[at], total / size)
-            steps.append(step)
-        return best
+        chance, backoff, shrunk = np.ones((n, 2)), np.ones((n, 2)), np.zeros(n)  # of a word that no class has, only the ratio is of use
+        hit, found = self.words.find(words)
+        chance[hit], backoff[hit], shrunk[hit] = found[:, :2], found[:, 2:4], found[:, 4]
+        alone, more = np.log(chance[:, 1] / chance[:, 0]), np.zeros(n)
+        at, runs, _ = grams(words, row, 2)
+        if len(at):
+            after = backoff[at - 1] * chance[at]
+            hit, found = self.pairs.find(runs)
+            after[hit] += found
+            more[at] = np.log(after[:, 1] / after[:, 0]) - alone[at]
+        return alone, more, shrunk
 
     def measures(self, column) -> np.ndarray:
-        """Of each text the mean of its ``TELLING`` largest ratios (fewer, if it has fewer words; 0 without words)."""
-        out = np.zeros(len(column))
+        """The three comparisons of each text; zeros for one without words."""
+        out = np.zeros((len(column), 3))
         for at, n, row, words in text_words(column):
-            if len(words):
-                out[at : at + n] = top_mean(self.ratios(words, row), row, n, TELLING)
+            if not len(words):
+                continue
+            alone, more, shrunk = self.steps(words, row)
+            length = np.maximum(np.bincount(row, minlength=n), 1)
+            for k, part in enumerate((alone, more)):
+                out[at : at + n, k] = np.bincount(row, weights=part, minlength=n) / length
+            mean = np.bincount(row, weights=np.exp(POWER * shrunk), minlength=n) / length
+            out[at : at + n, 2] = np.log(np.where(mean > 0, mean, 1)) / POWER
         return out
 
 
-def top_mean(values: np.ndarray, row: np.ndarray, n: int, most: int) -> np.ndarray:
-    """The mean of the ``most`` largest values of each of ``n`` rows; rows are sorted."""
-    values = values.copy()
-    total, count = np.zeros(n), np.bincount(row, minlength=n)
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    own = row[first]
-    for k in range(most):
-        high = np.maximum.reduceat(values, first)
-        left = count[own] > k
-        total[own[left]] += high[left]
-        at = np.flatnonzero(values == np.repeat(high, count[own]))
-        _, one = np.unique(row[at], return_index=True)
-        values[at[one]] = -np.inf
-    return total / np.maximum(np.minimum(count, most), 1)
+def discounts(of_counts: np.ndarray) -> np.ndarray:
+    """The discounts (index: the count, 3 for more) from how many runs have a count of one, two, three and four."""
+    n = np.r_[0.0, of_counts]
+    rest = n[1] / max(n[1] + 2 * n[2], 1.0)
+    out = np.zeros(4)
+    for k in (1, 2, 3):
+        own = k - (k + 1) * rest * n[k + 1] / n[k] if n[k] else k / 2
+        out[k] = np.clip(own, LEAST_DISCOUNT * k, MOST_DISCOUNT * k)
+    return out
+
+
+def less(counts: np.ndarray, by_class: np.ndarray) -> np.ndarray:
+    """(n, 2) counts without the discounts (2, 4) of their class."""
+    return np.stack([counts[:, c] - by_class[c][np.minimum(counts[:, c], 3).astype(np.int64)] for c in (0, 1)], axis=1)
 
 
-def shares(context: np.ndarray, counts: np.ndarray, discount: float):
+def shares(context: np.ndarray, counts: np.ndarray, own: np.ndarray):
     """Discounted shares (n, 2) of runs sorted by context, and (first run, backoffs (m, 2)) of the contexts.
 
-    ``counts`` has the ordinary and the toxic documents of each run.  A context keeps, in both classes, the share that the
-    discount leaves of the counts of both; a class without a run beyond the discount takes the shorter context instead.
+    ``counts`` has the ordinary and the toxic documents of each run, ``own`` the same less the discounts.  A context keeps, in
+    both classes, the share that the discounts leave of the counts of both; a class without it takes the shorter context instead.
     """
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, dtype=np.int64)
-    own = np.maximum(counts - discount, 0.0)
     if not len(first):
         return own, first, np.ones((0, 2))
     kept = np.add.reduceat(own, first)
@@ -168,11 +159,17 @@ def shares(context: np.ndarray, counts: np.ndarray, discount: float):
     return share[of, None] * own / np.maximum(kept, 1e-300)[of], first, np.where(kept > 0, 1 - share[:, None], 1.0)
 
 
+def models_of_counts(by_code: np.ndarray) -> list[np.ndarray]:
+    """Counts (ordinary, toxic) for the three pairs of models (two halves, all) from counts by code."""
+    return [by_code[:, :2], by_code[:, 2:], by_code[:, :2] + by_code[:, 2:]]
+
+
 def _counted(sample: DataFrame) -> list[list[np.ndarray]]:
-    """For each length of a run (keys, values): its own part for the three pairs of models (two halves, all), and backoffs.
+    """(keys, values) of words, pairs of words, contexts: counts less discounts, shares, backoffs for the three pairs of models
+    (two halves, all); words have the documents of both classes last.
 
-    Runs come together by their context, words by themselves.  What reaches the driver are runs that some class has
-    beyond the discount, of a bounded sample.
+    Pairs come together by their context, words by themselves.  First counts of counts are made, which give the discounts.  What
+    reaches the driver are the different words and pairs of a bounded sample.
     """
     n = 2 * packed.partitions(sample)
 
@@ -223,41 +220,54 @@ def _counted(sample: DataFrame) -> list[list[np.ndarray]]:
         context = context.view(np.uint64)
         order = np.lexsort((key, context))
         key, context = key[order], context[order]
-        by_code = np.stack([(counts[order] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(4)], axis=1).astype(float)
+        by_code = np.stack([(counts[order] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(4)], axis=1).astype(np.int64)
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])])
         key, context, by_code = key[first], context[first], np.add.reduceat(by_code, first)
-        pairs = [by_code[:, :2], by_code[:, 2:], by_code[:, :2] + by_code[:, 2:]]
-        word = context == 0
-        # words: documents beyond the discount, and one row with the sums of all
-        own = np.hstack([np.maximum(p - DISCOUNT, 0) for p in pairs])
-        keep = word & (own > 0).any(axis=1)
-        rows = [(np.zeros(int(keep.sum())), key[keep], own[keep]), (np.full(1, 3), np.zeros(1, dtype=np.uint64), np.hstack([p[word].sum(axis=0) for p in pairs])[None])]
-        run, of = np.flatnonzero(~word), context[~word]
-        found = [shares(of, p[run], DISCOUNT) for p in pairs]
-        own = np.hstack([f[0] for f in found])
-        keep = (own > 0).any(axis=1)
-        rows.append((np.full(int(keep.sum()), 1), key[run][keep], own[keep]))
-        if len(run):
-            backoff = np.hstack([f[2] for f in found])
-            keep = (backoff != 1).any(axis=1)
-            rows.append((np.full(int(keep.sum()), 2), of[found[0][1]][keep], backoff[keep]))
-        kind, key, values = map(np.concatenate, zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.view(np.int64)), *map(pa.array, values.T)], names=["kind", "key", *"abcdef"])
+        of_counts = [[(p[kind, c] == k).sum() for k in (1, 2, 3, 4)] for kind in (context == 0, context != 0) for p in models_of_counts(by_code) for c in (0, 1)]
+        data = packed.pack_pairs(context.view(np.int64), key, *(c.astype(np.uint64) for c in by_code.T))
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([np.ravel(of_counts).tolist()], pa.list_(pa.int64()))], names=["data", "of_counts"])
 
     sent = sample.select("text", "code").mapInArrow(tidy(count), "range int, data binary")
-    schema = "kind int, key long, " + ", ".join(f"{c} double" for c in "abcdef")
-    table = packed.by_range(sent, add, schema).toArrow()
+    ranges = checkpointed(packed.by_range(sent, add, "data binary, of_counts array<long>"))
+    found = np.array([r[0] for r in ranges.select("of_counts").collect()]).reshape(-1, 2, 3, 2, 4).sum(axis=0)  # a row a range
+    cuts = np.array([discounts(n) for n in found.reshape(-1, 4).astype(float)]).reshape(2, 3, 2, 4)
+
+    def share(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column("data"):
+                context, key, *by_code = packed.unpack_pairs(data.as_py())
+                context, by_code = context.view(np.uint64), np.stack(by_code, axis=1).astype(np.int64)
+                pairs, word = models_of_counts(by_code), context == 0
+                own = np.hstack([less(p[word], cuts[0, k]) for k, p in enumerate(pairs)])
+                total = np.hstack([p[word].sum(axis=0) for p in pairs])[None]
+                both = np.hstack([p[word].sum(axis=1, keepdims=True) for p in pairs])
+                rows = [(0, key[word], own), (1, key[word], np.hstack([both, both * 0])), (4, np.zeros(1, dtype=np.uint64), total)]
+                of = context[~word]
+                if len(of):
+                    parts = [shares(of, p[~word], less(p[~word], cuts[1, k])) for k, p in enumerate(pairs)]
+                    rows.append((2, key[~word], np.hstack([p[0] for p in parts])))
+                    rows.append((3, of[parts[0][1]], np.hstack([p[2] for p in parts])))
+                kind = np.concatenate([np.full(len(k), n, dtype=np.int32) for n, k, _ in rows])
+                key, values = np.concatenate([k for _, k, _ in rows]), np.concatenate([v for _, _, v in rows]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), *map(pa.array, values.T)], names=["kind", "key", *"abcdef"])
+
+    schema = "kind int, key long, " + ", ".join(f"{c} float" for c in "abcdef")
+    table = ranges.select("data").mapInArrow(tidy(share), schema).toArrow()
     kind, key = table["kind"].to_numpy(), table["key"].to_numpy().view(np.uint64)
     values = np.stack([table[c].to_numpy() for c in "abcdef"], axis=1).reshape(-1, 6)
-    return [[key[kind == k], values[kind == k]] for k in range(4)]
+    return [(key[kind == k], values[kind == k]) for k in range(5)]
 
 
-def _left_neighbours(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, float]:
-    """How many different words (or a text's begin) stand before each of ``vocabulary`` in all texts; all different pairs."""
+def _left_neighbours(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How many different words (or a text's begin) stand before each of ``vocabulary`` (sorted, not empty) in all texts.
+
+    A pair is known by the word's place and as many bits of its neighbour's fingerprint as 64 leave (over 40 for millions of words).
+    """
     n = 2 * packed.partitions(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    shift = max(0, int(np.ceil(np.log2(max(1, packed.text_bytes(docs)) / PAIR_BYTES))))
-    low = np.uint64(0xFFFFFFFF)
+    left = np.uint64(64 - max(1, int(len(vocabulary) - 1).bit_length()))
 
     def send(batches):
         import pyarrow as pa
@@ -267,7 +277,7 @@ def _left_neighbours(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarra
         def flush():
             pairs = np.unique(np.concatenate(held))
             held.clear()
-            to = packed.ranges(mix((pairs >> np.uint64(32)) * np.uint64(SALTS) + (pairs & np.uint64(SALTS - 1))), n)
+            to = packed.ranges(mix((pairs >> left) * np.uint64(SALTS) + (pairs & np.uint64(SALTS - 1))), n)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(n + 1))
             keys = [k for k in range(n) if cuts[k] < cuts[k + 1]]
@@ -282,12 +292,8 @@ def _left_neighbours(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarra
                     continue
                 before = np.r_[np.zeros(1, dtype=np.uint64), words[:-1]]
                 before[np.r_[True, row[1:] != row[:-1]]] = 0
-                at = np.minimum(np.searchsorted(shared.value, words), max(len(shared.value) - 1, 0))
-                known = np.flatnonzero(shared.value[at] == words) if len(shared.value) else np.zeros(0, dtype=np.int64)
-                pair = mix(before * np.uint64(31) + words)
-                some = pair[pair >> np.uint64(64 - shift) == 0] if shift else pair
-                part = np.concatenate([(at[known].astype(np.uint64) << np.uint64(32)) | (mix(before[known]) & low), (np.uint64(len(shared.value)) << np.uint64(32)) | (some & low)])
-                held.append(np.unique(part))
+                known, at = packed.is_in(shared.value, words)
+                held.append(np.unique((at[known].astype(np.uint64) << left) | (mix(before[known]) >> (np.uint64(64) - left))))
                 waiting += len(held[-1])
                 if waiting >= 2 * packed.FLUSH:
                     held = [np.unique(np.concatenate(held))]
@@ -303,44 +309,44 @@ def _left_neighbours(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarra
 
         planes = [np.frombuffer(packed.unsqueeze(p), dtype=np.uint8) for p in parts]
         pairs = np.unique(np.concatenate([np.cumsum(p.reshape(8, -1).T.copy().view(np.uint64).reshape(-1), dtype=np.uint64) for p in planes]))
-        word, count = np.unique(pairs >> np.uint64(32), return_counts=True)
+        word, count = np.unique(pairs >> left, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(count.astype(np.int64))], names=["word", "n"])
 
     rows = docs.select("text").mapInArrow(tidy(send), "range int, data binary")
     found = packed.by_range(rows, add, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row a word
-    out = np.ones(len(vocabulary) + 1)
+    out = np.ones(len(vocabulary))
     out[found["word"].to_numpy()] = found["n"].to_numpy()
-    return out[:-1], max(out[-1] * 2.0**shift, float(out[:-1].sum()), 1.0)
+    shared.unpersist()
+    return out
 
 
-def _models(counted: list[list[np.ndarray]], before: np.ndarray, pairs: float) -> list[Models]:
+def _models(counted: list[tuple[np.ndarray, np.ndarray]], before: np.ndarray) -> list[Models]:
     """The models of the two halves and of all; ``before`` are the left neighbours of the words in sorted order."""
-    (words, own), (runs, part), (contexts, backoff), (_, totals) = counted
+    (words, own), (_, documents), (runs, part), (contexts, backoff), (_, totals) = counted
     order = np.argsort(words)
-    words, own, totals = words[order], own[order], totals.sum(axis=0)
+    words, own, documents, totals = words[order], own[order].astype(float), documents[order], totals.sum(axis=0, dtype=float)
+    at, hit = _joined(words, contexts)
+    sorted_runs = np.argsort(runs)
+    runs, part = runs[sorted_runs], part[sorted_runs]
     out = []
     for k in range(3):
         of = slice(2 * k, 2 * k + 2)
         mass = own[:, of].sum(axis=0)
         share = mass.sum() / max(totals[of].sum(), 1)
-        kept = share if (mass > 0).all() else 0.0  # with a class that has no word beyond the discount, words say nothing
-        chance = kept * own[:, of] / np.maximum(mass, 1) + (1 - kept) * (before / pairs)[:, None]
-        values = np.hstack([chance, np.ones_like(chance)])
-        at, hit, values_of = _joined(words, contexts)
-        values[at, 2:] = backoff[hit, of] if len(hit) else values_of
-        tables = [Table(words, values)]
-        both = np.hstack([part[:, of], np.ones((len(runs), 2))])
-        at, hit, values_of = _joined(runs, contexts)
-        both[at, 2:] = backoff[hit, of] if len(hit) else values_of
-        tables += [Table.of(runs, both)] * (ORDER - 1)
-        out.append(Models(tuple(tables)))
+        kept = share if (mass > 0).all() else 0.0  # against a class without words, words say nothing
+        chance = kept * own[:, of] / np.maximum(mass, 1e-300) + (1 - kept) * (before / before.sum())[:, None]
+        values = np.ones((len(words), 5))
+        values[:, :2] = chance
+        values[at, 2:4] = backoff[hit, of]
+        values[:, 4] = np.log(chance[:, 1] / chance[:, 0]) * documents[:, k] / (documents[:, k] + SHRINK)
+        out.append(Models(Table(words, values), Table(runs, np.ascontiguousarray(part[:, of]))))
     return out
 
 
-def _joined(keys: np.ndarray, others: np.ndarray):
+def _joined(keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of equal keys in two arrays without repeats."""
     _, at, hit = np.intersect1d(keys, others, assume_unique=True, return_indices=True)
-    return at, hit, np.ones((0, 2))
+    return at, hit
 
 
 # --- calibration and scores -------------------------------------------------------------------------------------------
@@ -365,14 +371,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 @dataclass(frozen=True)
 class ToxicityModel:
     models: Models
-    slope: float
+    weights: np.ndarray
     intercept: float
 
-    def probability(self, measure: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * measure + self.intercept, -30, 30)))
+    def probability(self, measures: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(measures @ self.weights + self.intercept, -30, 30)))
 
 
-EMPTY = Models(tuple(Table(np.zeros(0, dtype=np.uint64), np.ones((0, 4))) for _ in range(ORDER)))
+_NONE = np.zeros(0, dtype=np.uint64)
+EMPTY = Models(Table(_NONE, np.ones((0, 5))), Table(_NONE, np.ones((0, 2))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
@@ -384,12 +391,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataF
     clean = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     clean = clean.withColumn("order", F.xxhash64("doc_id"))
     parts = [clean.where(F.col("toxic") == k).orderBy("order", "doc_id").limit(limits.rows_per_class) for k in (0, 1)]
-    chosen = checkpointed(parts[0].unionByName(parts[1]))
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # at most twice rows_per_class
-    size = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1))
-    texts = texts.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < limits.bytes_per_class)
-    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
-    texts = texts.select("text", "toxic").distinct().withColumn("half", half)
+    chosen = checkpointed(parts[0].unionByName(parts[1]))  # at most twice rows_per_class
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    # a doc_id may have many texts: the bounds are held by their keys and sizes, which are small
+    sizes = texts.groupBy("toxic", "key").agg(F.min("order").alias("order"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("size"))
+    parts = [sizes.where(F.col("toxic") == k).orderBy("order", "doc_id", "key").limit(limits.rows_per_class) for k in (0, 1)]
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy("order", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1))
+    kept = parts[0].unionByName(parts[1]).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < limits.bytes_per_class)
+    kept = checkpointed(kept.select("toxic", "key"))
+    texts = texts.join(F.broadcast(kept), ["toxic", "key"]).select("text", "toxic", "key").dropDuplicates(["toxic", "key"])
+    half = F.pmod(F.col("key"), F.lit(2)).cast("int")
+    texts = texts.select("text", "toxic", half.alias("half"))
     return checkpointed(texts.withColumn("code", F.col("half") * 2 + F.col("toxic")).repartition(max(1, packed.partitions(docs) // 2)))
 
 
@@ -405,10 +417,13 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Toxici
     rows = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(rows) < 2:
         p = min(max(1.0 if 1 in rows else 0.0, 1e-9), 1 - 1e-9)
-        return ToxicityModel(EMPTY, 0.0, float(np.log(p / (1 - p))))
+        return ToxicityModel(EMPTY, np.zeros(3), float(np.log(p / (1 - p))))
     counted = _counted(sample)
     vocabulary = np.sort(counted[0][0])
-    models = _models(counted, *_left_neighbours(docs, vocabulary))
+    if not len(vocabulary):
+        models = [EMPTY] * 3
+    else:
+        models = _models(counted, _left_neighbours(docs, vocabulary))
     halves = spark.sparkContext.broadcast(models[:2])
 
     def measure(batches):
@@ -418,21 +433,23 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Toxici
             # each row is measured by the models of the other half
             own = np.array(batch.column("half").to_pylist())
             both = [m.measures(batch.column("text")) for m in halves.value]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(own == 0, both[1], both[0])), batch.column("toxic")], names=["x", "toxic"])
+            x = np.where((own == 0)[:, None], both[1], both[0])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("toxic")], names=[*"abc", "toxic"])
 
-    seen = sample.select("text", "toxic", "half").mapInArrow(tidy(measure), "x double, toxic int").toArrow()
+    seen = sample.select("text", "toxic", "half").mapInArrow(tidy(measure), "a double, b double, c double, toxic int").toArrow()
     halves.destroy()
-    x, y = seen["x"].to_numpy(), seen["toxic"].to_numpy().astype(float)
-    center, scale = x.mean(), max(x.std(), 1e-9)
+    x, y = np.stack([seen[c].to_numpy() for c in "abc"], axis=1), seen["toxic"].to_numpy().astype(float)
+    center, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    slope, intercept = logistic(((x - center) / scale)[:, None], y, weight)
-    return ToxicityModel(models[2], float(max(slope, 0.0) / scale), float(intercept - max(slope, 0.0) * center / scale))
+    *slopes, intercept = logistic((x - center) / scale, y, weight)
+    weights = np.array(slopes) / scale
+    return ToxicityModel(models[2], weights, float(intercept - weights @ center))
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """doc_id, score, predicted of every whole text; ``keep`` names further columns to carry.
 
-    A null or empty text has no telling word and gets the curve's value at 0.  Repeated rows are scored each.
+    A null or empty text, or one without letters, gets the curve's value at 0.  Repeated rows are scored each.
     """
     keep = keep or []
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -49,52 +49,85 @@ def test_toxicity_on_held_out_rows(spark):
     assert len({r["score"] for r in out if r["doc_id"] in (900, 901)}) == 1
 
 
-def by_hand(texts, labels, corpus, discount, order, telling):
-    """Each text's measure by the definition: dictionaries of word tuples, one probability at a time."""
+def by_hand(texts, labels, corpus):
+    """Each text's three measures by the definition: dictionaries of word tuples, one probability at a time."""
     split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
-    counts = [{}, {}]
-    for text, toxic in {(t, y) for t, y in labels}:
+    counts = [[{}, {}], [{}, {}]]  # by length less one, class
+    for text, toxic in {(t, y) for t, y in labels if t is not None}:
         w = split(text)
-        for g in {tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)}:
-            counts[toxic][g] = counts[toxic].get(g, 0) + 1
-    total, mass = {}, [{}, {}]
-    for c in (0, 1):
-        for g, n in counts[c].items():
-            total[g[:-1]] = total.get(g[:-1], 0) + n
-            mass[c][g[:-1]] = mass[c].get(g[:-1], 0) + max(n - discount, 0)
-    pairs = {(a, b) for t in corpus for w in [split(t)] for a, b in zip([None, *w], w)}
+        for k in (0, 1):
+            for g in {tuple(w[i : i + k + 1]) for i in range(len(w) - k)}:
+                counts[k][toxic][g] = counts[k][toxic].get(g, 0) + 1
+
+    def less(k, c, n):
+        of = [0, *(sum(v == m for v in counts[k][c].values()) for m in (1, 2, 3, 4))]
+        m = min(n, 3)
+        cut = m - (m + 1) * of[1] / max(of[1] + 2 * of[2], 1) * of[m + 1] / of[m] if of[m] else m / 2
+        return n - min(max(cut, 0.05 * m), 0.95 * m) if n else 0.0
+
+    vocabulary = {g[0] for c in (0, 1) for g in counts[0][c]}
+    pairs = {(a, b) for t in corpus for w in [split(t)] for a, b in zip([None, *w], w) if b in vocabulary}
 
     def chance(c, context, word):
-        if context is None:
-            return sum(b == word for _, b in pairs) / len(pairs)
-        below = chance(c, context[1:] if context else None, word)
-        kept = (mass[0].get(context, 0) + mass[1].get(context, 0)) / total.get(context, 1)
-        if not mass[c].get(context):
+        k = len(context)
+        below = chance(c, (), word) if k else sum(b == word for _, b in pairs) / len(pairs)
+        own = [sum(less(k, d, n) for g, n in counts[k][d].items() if g[:-1] == context) for d in (0, 1)]
+        total = sum(n for d in (0, 1) for g, n in counts[k][d].items() if g[:-1] == context)
+        if not own[c]:
             return below
-        return kept * max(counts[c].get((*context, word), 0) - discount, 0) / mass[c][context] + (1 - kept) * below
+        kept = sum(own) / total
+        return kept * less(k, c, counts[k][c].get((*context, word), 0)) / own[c] + (1 - kept) * below
 
     out = []
     for text in texts:
         w = split(text)
-        step = lambda i, k: np.log(chance(1, tuple(w[i - k + 1 : i]), w[i]) / chance(0, tuple(w[i - k + 1 : i]), w[i]))
-        best = [max(sum(step(i - k + j, j) for j in range(1, k + 1)) / k for k in range(1, min(order, i + 1) + 1)) for i in range(len(w))]
-        best = sorted(best)[-telling:]
-        out.append(sum(best) / len(best) if best else 0.0)
+        ratio = lambda context, word: math.log(chance(1, context, word) / chance(0, context, word)) if word in vocabulary else 0.0
+        alone = [ratio((), x) for x in w]
+        after = [ratio(tuple(w[max(i - 1, 0) : i]), x) for i, x in enumerate(w)]
+        seen = [sum(counts[0][c].get((x,), 0) for c in (0, 1)) for x in w]
+        power = [math.exp(3 * r * n / (n + 1)) for r, n in zip(alone, seen)]
+        m = max(len(w), 1)
+        out.append((sum(alone) / m, sum(a - b for a, b in zip(after, alone)) / m, math.log(sum(power) / m) / 3 if w else 0.0))
     return out
 
 
-def test_toxicity_measures_are_those_of_the_definition(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "DISCOUNT", 1)
+def test_toxicity_measures_are_those_of_the_definition(spark):
     rng = random.Random(4)
     plain, bad = ["a", "Été", "of", "den", "ro", "漢", "lig"], ["zork", "of", "den"]
     rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 and rng.random() < 0.4 else plain) for _ in range(rng.choice([1, 5, 12]))), int(i % 3 == 0)) for i in range(60)]
-    corpus = [(i, t) for i, t, _ in rows] + [(100, "new words of den"), (101, None), (102, ""), (103, "zork"), (104, "den of zork, zork! 9")]
+    rows += [(60, "once alone", 1), (61, "once again", 0), (62, None, 1), (63, "", 0)]
+    corpus = [(i, t) for i, t, _ in rows] + [(100, "new words of den"), (101, None), (102, ""), (103, "zork"), (104, "den of zork, zork! 9"), (105, "alone new zork")]
+    corpus.append((106, " ".join(rng.choice(plain + bad) for _ in range(20_000))))
     docs = spark.createDataFrame([(i, t, 0.0, 0, "") for i, t in corpus], DOCS).repartition(3)
     model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    texts = [t for _, t in corpus]
-    expected = by_hand([t for t in texts if t], [(t, y) for _, t, y in rows], texts, 1, 3, toxicity.TELLING)
-    found = model.models.measures(__import__("pyarrow").array([t for t in texts if t]))
-    assert np.allclose(found, expected, atol=1e-6)
+    texts = [t for _, t in corpus[:-1]]
+    expected = by_hand(texts, [(t, y) for _, t, y in rows], [t for _, t in corpus])
+    found = model.models.measures(__import__("pyarrow").array(texts))
+    assert np.allclose(found, expected, atol=1e-5)
+
+
+def test_toxicity_word_of_one_labelled_text_counts_and_long_texts_are_read_whole(spark):
+    rows = made_texts(400) + [(1000, "tarvik", 1), (1001, "belmut", 0)]
+    docs = spark.createDataFrame([(i, t, 0.0, 0, "") for i, t, _ in rows], DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    plain = "laden leling lero letan maden maling "
+    long_text = plain * 50_000  # 300,000 words
+    texts = [plain + "unseen", plain + "tarvik", plain + "belmut", plain, long_text, long_text + "grubvex zorkig plimskrat " * 20_000, long_text]
+    single = model.models.measures(__import__("pyarrow").array(texts))
+    assert single[1, 0] > single[0, 0] > single[2, 0] and single[1, 2] > single[0, 2]
+    p = model.probability(single)
+    assert p[5] >= 0.7 > p[4] == p[6]
+    scored = toxicity.score(spark.createDataFrame([(i, t, 0.0, 0, "") for i, t in enumerate(texts)], DOCS), model).collect()
+    assert np.allclose([r["score"] for r in sorted(scored, key=lambda r: r["doc_id"])], p)
+
+
+def test_toxicity_labelled_id_with_many_texts_stays_within_the_bounds(spark):
+    docs = spark.createDataFrame([(1, f"zork {i}x{'a' * (i % 40)}", 0.0, 0, "") for i in range(3000)] + [(2, "den ro", 0.0, 0, "")], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    limits = toxicity.Limits(rows_per_class=50)
+    sample = toxicity.labelled_sample(docs, labels, limits)
+    assert {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()} == {0: 1, 1: 50}
+    assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(docs, labels, limits).collect())
 
 
 def test_toxicity_never_uses_held_out_labels(spark):
