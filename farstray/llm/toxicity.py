@@ -263,26 +263,40 @@ def _counted(sample: DataFrame) -> list[list[np.ndarray]]:
 def _left_neighbours(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How many different words (or a text's begin) stand before each of ``vocabulary`` (sorted, not empty) in all texts.
 
-    A pair is known by the word's place and as many bits of its neighbour's fingerprint as 64 leave (over 40 for millions of words).
+    A pair of words of the vocabulary is known by their places, which are dense numbers and travel in about two bytes; of other
+    neighbours as many bits of the fingerprint are kept as 64 leave (over 40 for millions of words).  A word's neighbours are dealt
+    over ``SALTS`` ranges.
     """
-    n = 2 * packed.partitions(docs)
+    n, size = 2 * packed.partitions(docs), len(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    left = np.uint64(64 - max(1, int(len(vocabulary) - 1).bit_length()))
+    left = np.uint64(64 - max(1, int(size - 1).bit_length()))
+    salts, own = np.uint64(SALTS), np.uint64(size)
+    width = np.uint64(size // SALTS + 1)  # places of neighbours with one salt; a text's begin has place ``size``
+    each = np.uint64(-(-(SALTS * size * (size // SALTS + 1)) // n))
+
+    def pack(kind: int, pairs: np.ndarray, to: np.ndarray):
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(n + 1))
+        for k in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
+            # steps of sorted numbers by significance: the high bytes are zeros
+            steps = np.diff(pairs[order[cuts[k] : cuts[k + 1]]], prepend=np.uint64(0))
+            yield k, bytes([kind]) + packed.squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
     def send(batches):
         import pyarrow as pa
 
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = [[], []]
+
+        def merged():
+            for kind in (0, 1):
+                held[kind] = [np.unique(np.concatenate(held[kind]))] if held[kind] else []
+            return sum(len(h) for parts in held for h in parts)
 
         def flush():
-            pairs = np.unique(np.concatenate(held))
-            held.clear()
-            to = packed.ranges(mix((pairs >> left) * np.uint64(SALTS) + (pairs & np.uint64(SALTS - 1))), n)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(n + 1))
-            keys = [k for k in range(n) if cuts[k] < cuts[k + 1]]
-            # steps of sorted numbers by significance: the high bytes are zeros
-            data = [packed.squeeze(np.diff(pairs[order[cuts[k] : cuts[k + 1]]], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()) for k in keys]
+            rows = [row for pairs in held[0] for row in pack(0, pairs, (pairs // each).astype(np.int32))]
+            rows += [row for pairs in held[1] for row in pack(1, pairs, packed.ranges(mix((pairs >> left) * salts + (pairs & (salts - np.uint64(1)))), n))]
+            held[:] = [[], []]
+            keys, data = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["range", "data"])
 
         waiting = 0
@@ -290,31 +304,44 @@ def _left_neighbours(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
             for _, _, row, words in text_words(batch.column(0)):
                 if not len(words):
                     continue
-                before = np.r_[np.zeros(1, dtype=np.uint64), words[:-1]]
-                before[np.r_[True, row[1:] != row[:-1]]] = 0
                 known, at = packed.is_in(shared.value, words)
-                held.append(np.unique((at[known].astype(np.uint64) << left) | (mix(before[known]) >> (np.uint64(64) - left))))
-                waiting += len(held[-1])
-                if waiting >= 2 * packed.FLUSH:
-                    held = [np.unique(np.concatenate(held))]
-                    waiting = len(held[0])
-                if waiting >= packed.FLUSH:
-                    yield flush()
-                    waiting = 0
-        if held:
+                place = at.astype(np.uint64)
+                begin = np.r_[True, row[1:] != row[:-1]]
+                before = np.r_[np.uint64(0), place[:-1]]
+                before[begin] = own
+                dense = known & (begin | np.r_[False, known[:-1]])
+                held[0].append(np.unique((before[dense] % salts * own + place[dense]) * width + before[dense] // salts))
+                other = np.flatnonzero(known & ~dense)
+                held[1].append(np.unique((place[other] << left) | (mix(words[other - 1]) >> (np.uint64(64) - left))))
+                waiting += len(held[0][-1]) + len(held[1][-1])
+                if waiting >= 4 * packed.FLUSH:
+                    waiting = merged()
+                    if waiting >= 3 * packed.FLUSH:
+                        yield flush()
+                        waiting = 0
+        if merged():
             yield flush()
 
     def add(_, parts):
         import pyarrow as pa
 
-        planes = [np.frombuffer(packed.unsqueeze(p), dtype=np.uint8) for p in parts]
-        pairs = np.unique(np.concatenate([np.cumsum(p.reshape(8, -1).T.copy().view(np.uint64).reshape(-1), dtype=np.uint64) for p in planes]))
-        word, count = np.unique(pairs >> left, return_counts=True)
+        found: list[list[np.ndarray]] = [[], []]
+        held, most = [0, 0], [packed.FLUSH] * 2
+        for part in parts:
+            steps = np.frombuffer(packed.unsqueeze(part[1:]), dtype=np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1)
+            found[part[0]].append(np.cumsum(steps, dtype=np.uint64))
+            held[part[0]] += len(steps)
+            if held[part[0]] >= most[part[0]]:  # equal pairs of many tasks are held once
+                found[part[0]] = [np.unique(np.concatenate(found[part[0]]))]
+                held[part[0]] = len(found[part[0]][0])
+                most[part[0]] = packed.FLUSH + 2 * held[part[0]]
+        pairs = [np.unique(np.concatenate(f)) if f else np.zeros(0, dtype=np.uint64) for f in found]
+        word, count = np.unique(np.concatenate([pairs[0] // width % own, pairs[1] >> left]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(count.astype(np.int64))], names=["word", "n"])
 
     rows = docs.select("text").mapInArrow(tidy(send), "range int, data binary")
     found = packed.by_range(rows, add, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row a word
-    out = np.ones(len(vocabulary))
+    out = np.ones(size)
     out[found["word"].to_numpy()] = found["n"].to_numpy()
     shared.unpersist()
     return out
