@@ -3,9 +3,10 @@
 The merges define a function from the bytes of one pre-token to token ids.  Read from left to right, the last token of
 every prefix is unique: it is the one vocabulary entry ending there that the merges keep apart from the last token of
 the prefix before it.  So a state need only remember the last certain token and the bytes after it; certain means that
-every token that could still end later begins behind it.  States and transitions are made when first met, tokens leave
-after a lookahead of at most the longest vocabulary entry, and both tables are cleared beyond a size, so that memory
-is bounded for any text.
+every token that could still end later begins behind it.  Tokens leave after a lookahead of at most the longest
+vocabulary entry.  A pre-token adds at most one transition, where it leaves the known ones, so that states are made for
+beginnings that come again; behind it the same steps are taken without being kept.  The number of states is bounded, and
+they are learnt anew after very many such walks, so that memory is bounded for any text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from farstray.llm.common import small_batches, tidy, worker_tables
 
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+#: Bytes that are walked without states before what is certain leaves.
+AHEAD = 1024
+#: States are learnt anew after so many walks a state.
+RELEARN = 32
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a line of base64 bytes and a number for each token."""
@@ -62,29 +68,39 @@ class Transducer:
 
     A state is the last certain token and the bytes after it.  With each state go the last tokens of all prefixes of
     those bytes (their start and id; None where it starts before them, so that no later token can begin there) and the
-    places where a later token could begin, so that a step only looks at what one more byte changes.
+    places where a later token could begin, each with its node in the trie of the vocabulary, so that a step only looks
+    at what one more byte changes.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 50_000):
         self.ranks = ranks
         self.most_states = most_states
-        self.prefixes = {token[:k] for token in ranks for k in range(1, len(token) + 1)}
+        self.child: dict[int, int] = {}
+        self.token = array("q", [-1])
         self.halves: dict[int, tuple[int, int]] = {}
-        self.bytes_of = {i: t for t, i in ranks.items()}
         self.joined: dict[tuple[int, int], int] = {}
-        for token in ranks:
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                at = node << 8 | byte
+                node = self.child.get(at, 0)
+                if not node:
+                    node = self.child[at] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = rank
             if len(token) > 1:
                 left, right = _halves(token, ranks)
-                self.halves[ranks[token]] = (ranks[left], ranks[right])
-                self.joined[ranks[left], ranks[right]] = ranks[token]
+                self.halves[rank] = (ranks[left], ranks[right])
+                self.joined[ranks[left], ranks[right]] = rank
         self.kept_apart: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.states: list[tuple[int, bytes, list, list[int]]] = [(-1, b"", [(0, -1)], [])]
+        self.states: list[tuple[int, bytes, list, list]] = [(-1, b"", [(0, -1)], [])]
         self.next: dict[int, tuple[int, bytes]] = {}
         self.final: dict[int, bytes] = {}
+        self.walks = 0
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether the merges leave two tokens as they are when they stand side by side.
@@ -94,11 +110,9 @@ class Transducer:
         """
         if left < 0:
             return True
-        known = self.kept_apart.get(left << 32 | right)
-        if known is None:
-            if len(self.kept_apart) > 2 * self.most_states:
-                self.kept_apart.clear()
-            known = self.kept_apart[left << 32 | right] = self._stay(left, right)
+        if len(self.kept_apart) > 4 * self.most_states:
+            self.kept_apart.clear()
+        known = self.kept_apart[left << 32 | right] = self._stay(left, right)
         return known
 
     def _stay(self, left: int, right: int) -> bool:
@@ -124,66 +138,92 @@ class Transducer:
             at = chain[at][0]
         return ends[::-1]
 
-    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        before, pending, chain, begins = self.states[state]
-        pending += bytes((byte,))
-        n = len(pending)
-        begins = [j for j in (*begins, n - 1) if chain[j] is not None and pending[j:] in self.prefixes]
-        last = None
-        for j in begins:
-            token = self.ranks.get(pending[j:])
-            if token is not None and self._apart(chain[j][1], token):
-                last = (j, token)
-                break
-        if last is None:
-            raise ValueError(f"the vocabulary can't spell {pending!r}")
-        chain = [*chain, last]
+    def _walk(self, chain: list, begins: list, more: bytes) -> list:
+        """Append the last token of each prefix that ``more`` adds to ``chain``; the places where a later token could begin."""
+        child, token_of, known_apart, apart = self.child.get, self.token, self.kept_apart.get, self._apart
+        n = len(chain) - 1
+        for byte in more:
+            live, last = [], None
+            for j, node in (*begins, (n, 0)):
+                node = child(node << 8 | byte)
+                if node is None:
+                    continue
+                live.append((j, node))
+                if last is None and (token := token_of[node]) >= 0:
+                    left = chain[j][1]
+                    fits = known_apart(left << 32 | token)
+                    if fits or fits is None and apart(left, token):
+                        last = (j, token)
+            if last is None:
+                raise ValueError(f"the vocabulary can't spell byte {byte} here")
+            chain.append(last)
+            begins = live
+            n += 1
+        return begins
+
+    def _settle(self, chain: list, begins: list) -> tuple[int, bytes, list, list]:
+        """How many bytes are certain, their ids, and the chain and the begins behind them."""
         # certain is where the ways back from the end and from every place where a later token may begin first meet
-        cut = n
-        for j in begins:
+        cut = len(chain) - 1
+        for j, _ in begins:
             while cut != j:
                 if cut > j:
                     cut = chain[cut][0]
                 else:
                     j = chain[j][0]
-        out = b""
+        if not cut:
+            return 0, b"", chain, begins
+        out = array("I", [chain[i][1] for i in self._path(chain, cut)]).tobytes()
+        chain = [(0, chain[cut][1]), *(c and (c[0] - cut, c[1]) if c and c[0] >= cut else None for c in chain[cut + 1 :])]
+        return cut, out, chain, [(j - cut, node) for j, node in begins]
+
+    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
+        before, pending, chain, begins = self.states[state]
+        pending, chain = pending + bytes((byte,)), chain.copy()
+        cut, out, chain, begins = self._settle(chain, self._walk(chain, begins, pending[-1:]))
         if cut:
-            out = array("I", [chain[i][1] for i in self._path(chain, cut)]).tobytes()
-            before = chain[cut][1]
-            chain = [(0, before), *(c and (c[0] - cut, c[1]) if c and c[0] >= cut else None for c in chain[cut + 1 :])]
-            pending, begins = pending[cut:], [j - cut for j in begins if j >= cut]
+            before, pending = chain[0][1], pending[cut:]
         key = (before, pending)
         if key not in self.at:
             self.at[key] = len(self.states)
             self.states.append((before, pending, chain, begins))
         return self.at[key], out
 
-    def _end(self, state: int) -> bytes:
-        chain = self.states[state][2]
+    def _end(self, chain: list) -> bytes:
         return array("I", [chain[i][1] for i in self._path(chain, len(chain) - 1)]).tobytes()
 
+    def _rest(self, state: int, rest: bytes) -> bytes:
+        """What ``rest`` and the end add after ``state``, without new states; a piece of it at a time, so that memory is bounded."""
+        _, _, chain, begins = self.states[state]
+        chain, out = chain.copy(), []
+        for at in range(0, len(rest), AHEAD):
+            if at:
+                _, sure, chain, begins = self._settle(chain, begins)
+                out.append(sure)
+            begins = self._walk(chain, begins, rest[at : at + AHEAD])
+        out.append(self._end(chain))
+        return b"".join(out)
+
     def encode(self, piece: bytes) -> bytes:
         if piece in self.ranks:  # as the library does, also for an entry that its own merges can't reach
             return array("I", [self.ranks[piece]]).tobytes()
-        if len(self.states) > self.most_states:
+        if self.walks > RELEARN * self.most_states:
             self._clear()
-        state, out, arcs = 0, [], self.next
-        for byte in piece:
+        state, out, arcs, grown = 0, [], self.next, len(self.states) >= self.most_states
+        for at, byte in enumerate(piece):
             arc = arcs.get(state << 8 | byte)
             if arc is None:
+                if grown:
+                    self.walks += 1
+                    out.append(self._rest(state, piece[at:]))
+                    return b"".join(out)
+                grown = True
                 arc = arcs[state << 8 | byte] = self._step(state, byte)
-                if len(self.states) > 2 * self.most_states:  # within one very long piece
-                    kept = self.states[arc[0]]
-                    self._clear()
-                    arcs = self.next
-                    self.at[kept[:2]] = len(self.states)
-                    arc = (len(self.states), arc[1])
-                    self.states.append(kept)
             state = arc[0]
             if arc[1]:
                 out.append(arc[1])
         if state not in self.final:
-            self.final[state] = self._end(state)
+            self.final[state] = self._end(self.states[state][2])
         out.append(self.final[state])
         return b"".join(out)
 
@@ -262,7 +302,7 @@ class Codec:
     Pre-tokens met lately are kept in two generations of bounded size; what is met again moves to the younger one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 120_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}

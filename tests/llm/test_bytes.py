@@ -189,6 +189,19 @@ def test_transducer_with_small_tables_is_the_same():
         assert np.frombuffer(machine.encode(piece), dtype="<u4").tolist() == expected
 
 
+def test_pieces_that_come_once_leave_one_transition_each():
+    rng = random.Random(10)
+    ranks = {bytes([b]): i for i, b in enumerate(b"abcd")}
+    for token in (b"ab", b"cd", b"abc", b"bcd", b"abcd", b"da"):
+        ranks[token] = len(ranks)
+    ranks = {t: r for t, r in ranks.items() if len(t) == 1 or len(bpe.merge_all(t, {k: v for k, v in ranks.items() if v < r})) == 2}
+    machine = bpe.Transducer(ranks, most_states=50)
+    for n in range(1, 400):
+        piece = bytes(rng.choice(b"abcd") for _ in range(rng.choice([7, 20, 3000 if n % 40 == 0 else 9])))
+        assert np.frombuffer(machine.encode(piece), dtype="<u4").tolist() == [ranks[t] for t in bpe.merge_all(piece, ranks)]
+        assert len(machine.next) <= n and len(machine.states) <= 50
+
+
 def test_utf8_stream_at_every_cut():
     text = "aé漢\U0001f600z"
     raw = text.encode()
