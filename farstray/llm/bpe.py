@@ -374,4 +374,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
 
     small_batches(docs.sparkSession)
 
-    return docs.select(key, text).mapInArrow(tidy(run), schema)
+    return docs.select(key, text).mapInArrow(tidy(run, (ranks_path, pattern)), schema)

@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 import pytest
 
-from farstray.llm import bpe, packed, suffixes, warc
+from farstray.llm import bpe, common, packed, suffixes, warc
 
 DOCS = "doc_id long, text string, key long, row string, spans string"
 
@@ -202,6 +202,15 @@ def test_pieces_that_come_once_leave_one_transition_each():
         assert len(machine.next) <= n and len(machine.states) <= 50
 
 
+def test_tables_of_an_operator_leave_a_worker_before_another_begins():
+    common.worker_tables("a", lambda: [1])
+    list(common.tidy(lambda batches: iter(batches), "a")([1]))
+    assert common.worker_tables("a", lambda: [2]) == [1]
+    held = []
+    list(common.tidy(lambda batches: held.append(len(common._held)) or iter(batches))([1]))
+    assert held == [0]
+
+
 def test_utf8_stream_at_every_cut():
     text = "aé漢\U0001f600z"
     raw = text.encode()
