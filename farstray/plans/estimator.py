@@ -65,7 +65,7 @@ def unpacked(spark: SparkSession, value):
 
 def save_detector(spark: SparkSession, detector: Detector, path: str) -> None:
     """One text of JSON; the model is bounded, as it has been sent to all tasks."""
-    text = json.dumps(packed(detector))
+    text = json.dumps(packed(dataclasses.replace(detector, table=None, places=None)))
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 

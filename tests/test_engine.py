@@ -271,3 +271,16 @@ def test_bytes_that_are_no_text_are_read(spark, tmp_path):
     path.write_bytes(b"name,x\n\xff\xfeab,1\nplain,2\n")
     rows = csv_files.read_csv(spark, str(path)).collect()
     assert len(rows) == 2 and "\ufffd" in rows[0]["name"] and rows[0]["x"] == "1"
+
+
+@pytest.mark.parametrize("algorithm", ["lof", "ensemble", "iforest"])
+def test_rows_at_one_place_are_scored_once(spark, algorithm):
+    rows = [(i, float(i % 13), float(i % 7) ** 2 if i % 50 else None) for i in range(900)] + [(900, 40.0, 3.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    detector = engine.fit_detector(df, algorithm, Settings(clip=False, lof_reference_rows=60), ["x", "y"], "id")
+    places = detector.places.collect()
+    assert sum(p["__rows"] for p in places) == 901 and len(places) <= 13 * 8 + 1 + 60
+    order = lambda found: sorted(found.select("id", "anomaly_score", "is_outlier").collect())
+    looked_up, anew = order(detector.transform(df)), order(detector.transform(df.select("*")))
+    assert len(looked_up) == 901 and looked_up == anew
+    assert len({r["is_outlier"] for r in looked_up}) == 2
