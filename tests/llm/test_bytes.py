@@ -8,6 +8,7 @@ from array import array
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from farstray.llm import bpe, common, packed, suffixes, warc
 
@@ -211,6 +212,13 @@ def test_tables_of_an_operator_leave_a_worker_before_another_begins():
     assert held == [0]
 
 
+def test_tables_leave_a_worker_when_the_task_has_travelled():
+    """As Spark sends it: a copy of the task's function must still drop the tables of this process."""
+    common.worker_tables("a", lambda: [1])
+    task = cloudpickle.loads(cloudpickle.dumps(common.tidy(lambda batches: iter([len(common._held)]), "b")))
+    assert list(task([])) == [0] and not common._held
+
+
 def test_utf8_stream_at_every_cut():
     text = "aé漢\U0001f600z"
     raw = text.encode()
