@@ -5,8 +5,10 @@ every prefix is unique: it is the one vocabulary entry ending there that the mer
 the prefix before it.  So a state need only remember the last certain token and the bytes after it; certain means that
 every token that could still end later begins behind it.  Tokens leave after a lookahead of at most the longest
 vocabulary entry.  A pre-token adds at most one transition, where it leaves the known ones, so that states are made for
-beginnings that come again; behind it the same steps are taken without being kept.  The number of states is bounded, and
-they are learnt anew after very many such walks, so that memory is bounded for any text.
+beginnings that come again; behind it the same steps are taken without being kept.  A step follows one automaton of all
+suffixes that begin a vocabulary entry (Aho and Corasick's, its transitions found when they are first taken) and tries
+the entries that end there.  The number of states is bounded, and they are learnt anew after very many such walks, so
+that memory is bounded for any text.
 """
 
 from __future__ import annotations
@@ -47,57 +49,77 @@ def merge_all(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
-    """The two tokens whose merge made ``token``."""
-    lower = {t: r for t, r in _parts(token, ranks) if r < ranks[token]}
-    parts = merge_all(token, lower)
-    if len(parts) != 2:
-        raise ValueError(f"no merge of the vocabulary makes {token!r}")
-    return parts[0], parts[1]
-
-
-def _parts(token: bytes, ranks: dict[bytes, int]):
-    for i in range(len(token)):
-        for j in range(i + 1, len(token) + 1):
-            if (part := token[i:j]) in ranks:
-                yield part, ranks[part]
-
-
 class Transducer:
     """Pre-token bytes to packed little-endian 32-bit ids.
 
-    A state is the last certain token and the bytes after it.  With each state go the last tokens of all prefixes of
-    those bytes (their start and id; None where it starts before them, so that no later token can begin there) and the
-    places where a later token could begin, each with its node in the trie of the vocabulary, so that a step only looks
-    at what one more byte changes.
+    A state is the last certain token and the bytes after it.  With each state go the node of the longest suffix of those
+    bytes that begins a vocabulary entry, and the last tokens of all prefixes of those bytes: their starts and ids.  Where
+    the start is before those bytes no later token can begin, and it is never looked at.
     """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 50_000):
         self.ranks = ranks
         self.most_states = most_states
-        self.child: dict[int, int] = {}
-        self.token = array("q", [-1])
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
-        for token, rank in ranks.items():
+        self.kept_apart: dict[int, bool] = {}
+        self._make_trie()
+        self._make_merges()
+        self._clear()
+
+    def _make_trie(self) -> None:
+        """For each node its depth, the node of its longest shorter suffix (``fail``) and the vocabulary entries that end
+        there (length and id, the longest first); 0 is the root."""
+        self.next_node: dict[int, int] = {}
+        token_of, self.depth, arcs = array("i", [-1]), array("i", [0]), array("q", [0])
+        for token, rank in self.ranks.items():
             node = 0
             for byte in token:
                 at = node << 8 | byte
-                node = self.child.get(at, 0)
-                if not node:
-                    node = self.child[at] = len(self.token)
-                    self.token.append(-1)
-            self.token[node] = rank
-            if len(token) > 1:
-                left, right = _halves(token, ranks)
-                self.halves[rank] = (ranks[left], ranks[right])
-                self.joined[ranks[left], ranks[right]] = rank
-        self.kept_apart: dict[int, bool] = {}
-        self._clear()
+                to = self.next_node.get(at, 0)
+                if not to:
+                    to = self.next_node[at] = len(token_of)
+                    token_of.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    arcs.append(at)
+                node = to
+            token_of[node] = rank
+        self.fail = array("i", [0]) * len(arcs)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(arcs)
+        for node in sorted(range(1, len(arcs)), key=self.depth.__getitem__):
+            before, byte = arcs[node] >> 8, arcs[node] & 255
+            self.fail[node] = self._suffix(before, byte) if before else 0
+            shorter = self.ends[self.fail[node]]
+            self.ends[node] = ((self.depth[node], token_of[node]), *shorter) if token_of[node] >= 0 else shorter
+        self.most_nodes = len(self.next_node) + 2 * self.most_states
+
+    def _suffix(self, node: int, byte: int) -> int:
+        """The node of the longest suffix, shorter than that of ``node``, that ``byte`` prolongs."""
+        while node:
+            node = self.fail[node]
+            if (to := self.next_node.get(node << 8 | byte)) is not None:
+                return to
+        return 0
+
+    def _make_merges(self) -> None:
+        """For each token the two tokens whose merge makes it: those that lower merges make and leave apart."""
+        ranks = self.ranks
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.joined: dict[int, int] = {}
+        for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is None or right is None or i > 1 and left > rank or i < len(token) - 1 and right > rank:
+                    continue
+                if self._stay(left, right):
+                    self.halves[rank] = (left, right)
+                    self.joined[left << 32 | right] = rank
+                    break
+            else:
+                if len(token) > 1:
+                    raise ValueError(f"no merge of the vocabulary makes {token!r}")
 
     def _clear(self) -> None:
         self.at: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.states: list[tuple[int, bytes, list, list]] = [(-1, b"", [(0, -1)], [])]
+        self.states: list[tuple[int, bytes, int, array, array]] = [(-1, b"", 0, array("i", [0]), array("i", [-1]))]
         self.next: dict[int, tuple[int, bytes]] = {}
         self.final: dict[int, bytes] = {}
         self.walks = 0
@@ -108,8 +130,6 @@ class Transducer:
         They don't if, at some time, the rightmost part of the left and the leftmost part of the right would be joined
         before a merge inside either of them: both are taken apart, always the one that was merged last.
         """
-        if left < 0:
-            return True
         if len(self.kept_apart) > 4 * self.most_states:
             self.kept_apart.clear()
         known = self.kept_apart[left << 32 | right] = self._stay(left, right)
@@ -118,7 +138,7 @@ class Transducer:
     def _stay(self, left: int, right: int) -> bool:
         limit = 1 << 60  # the rank of the merge last undone; a tie goes to the leftmost pair
         while True:
-            made = self.joined.get((left, right))
+            made = self.joined.get(left << 32 | right)
             if made is not None and made < limit:
                 return False
             in_left, in_right = self.halves.get(left), self.halves.get(right)
@@ -130,78 +150,80 @@ class Transducer:
             else:
                 limit, right = right + 1, in_right[0]
 
-    @staticmethod
-    def _path(chain: list, at: int) -> list[int]:
-        ends = []
-        while at > 0:
-            ends.append(at)
-            at = chain[at][0]
-        return ends[::-1]
-
-    def _walk(self, chain: list, begins: list, more: bytes) -> list:
-        """Append the last token of each prefix that ``more`` adds to ``chain``; the places where a later token could begin."""
-        child, token_of, known_apart, apart = self.child.get, self.token, self.kept_apart.get, self._apart
-        n = len(chain) - 1
+    def _walk(self, starts: list, tokens: list, node: int, more: bytes) -> int:
+        """Append the last token of each prefix that ``more`` adds; the node behind it."""
+        next_node, ends, known_apart, apart = self.next_node, self.ends, self.kept_apart.get, self._apart
+        n = len(starts)
         for byte in more:
-            live, last = [], None
-            for j, node in (*begins, (n, 0)):
-                node = child(node << 8 | byte)
-                if node is None:
-                    continue
-                live.append((j, node))
-                if last is None and (token := token_of[node]) >= 0:
-                    left = chain[j][1]
-                    fits = known_apart(left << 32 | token)
-                    if fits or fits is None and apart(left, token):
-                        last = (j, token)
-            if last is None:
+            to = next_node.get(node << 8 | byte)
+            if to is None:
+                to = self._suffix(node, byte)
+                if len(next_node) < self.most_nodes:
+                    next_node[node << 8 | byte] = to
+            node = to
+            for length, token in ends[node]:
+                start = n - length
+                left = tokens[start]
+                if left < 0 or (fits := known_apart(left << 32 | token)) or fits is None and apart(left, token):
+                    break
+            else:
                 raise ValueError(f"the vocabulary can't spell byte {byte} here")
-            chain.append(last)
-            begins = live
+            starts.append(start)
+            tokens.append(token)
             n += 1
-        return begins
+        return node
 
-    def _settle(self, chain: list, begins: list) -> tuple[int, bytes, list, list]:
-        """How many bytes are certain, their ids, and the chain and the begins behind them."""
+    def _settle(self, starts: list, tokens: list, node: int) -> tuple[int, bytes, list, list]:
+        """How many bytes are certain, their ids, and the starts and tokens behind them."""
         # certain is where the ways back from the end and from every place where a later token may begin first meet
-        cut = len(chain) - 1
-        for j, _ in begins:
+        n = cut = len(starts) - 1
+        while node and cut:
+            j, node = n - self.depth[node], self.fail[node]
             while cut != j:
                 if cut > j:
-                    cut = chain[cut][0]
+                    cut = starts[cut]
                 else:
-                    j = chain[j][0]
+                    j = starts[j]
         if not cut:
-            return 0, b"", chain, begins
-        out = array("I", [chain[i][1] for i in self._path(chain, cut)]).tobytes()
-        chain = [(0, chain[cut][1]), *(c and (c[0] - cut, c[1]) if c and c[0] >= cut else None for c in chain[cut + 1 :])]
-        return cut, out, chain, [(j - cut, node) for j, node in begins]
+            return 0, b"", starts, tokens
+        return cut, self._ids(starts, tokens, cut), [0, *(max(start - cut, 0) for start in starts[cut + 1 :])], tokens[cut:]
+
+    @staticmethod
+    def _ids(starts: list, tokens: list, at: int) -> bytes:
+        """The ids of the first ``at`` bytes."""
+        ids = []
+        while at > 0:
+            ids.append(tokens[at])
+            at = starts[at]
+        ids.reverse()
+        return array("I", ids).tobytes()
 
     def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        before, pending, chain, begins = self.states[state]
-        pending, chain = pending + bytes((byte,)), chain.copy()
-        cut, out, chain, begins = self._settle(chain, self._walk(chain, begins, pending[-1:]))
+        before, pending, node, starts, tokens = self.states[state]
+        pending, starts, tokens = pending + bytes((byte,)), starts.tolist(), tokens.tolist()
+        node = self._walk(starts, tokens, node, pending[-1:])
+        cut, out, starts, tokens = self._settle(starts, tokens, node)
         if cut:
-            before, pending = chain[0][1], pending[cut:]
+            before, pending = tokens[0], pending[cut:]
         key = (before, pending)
         if key not in self.at:
             self.at[key] = len(self.states)
-            self.states.append((before, pending, chain, begins))
+            self.states.append((before, pending, node, array("i", starts), array("i", tokens)))
         return self.at[key], out
 
-    def _end(self, chain: list) -> bytes:
-        return array("I", [chain[i][1] for i in self._path(chain, len(chain) - 1)]).tobytes()
-
     def _rest(self, state: int, rest: bytes) -> bytes:
         """What ``rest`` and the end add after ``state``, without new states; a piece of it at a time, so that memory is bounded."""
-        _, _, chain, begins = self.states[state]
-        chain, out = chain.copy(), []
+        _, _, node, starts, tokens = self.states[state]
+        starts, tokens, out = starts.tolist(), tokens.tolist(), []
+        if len(rest) <= AHEAD:
+            self._walk(starts, tokens, node, rest)
+            return self._ids(starts, tokens, len(starts) - 1)
         for at in range(0, len(rest), AHEAD):
             if at:
-                _, sure, chain, begins = self._settle(chain, begins)
+                _, sure, starts, tokens = self._settle(starts, tokens, node)
                 out.append(sure)
-            begins = self._walk(chain, begins, rest[at : at + AHEAD])
-        out.append(self._end(chain))
+            node = self._walk(starts, tokens, node, rest[at : at + AHEAD])
+        out.append(self._ids(starts, tokens, len(starts) - 1))
         return b"".join(out)
 
     def encode(self, piece: bytes) -> bytes:
@@ -223,7 +245,8 @@ class Transducer:
             if arc[1]:
                 out.append(arc[1])
         if state not in self.final:
-            self.final[state] = self._end(self.states[state][2])
+            _, _, _, starts, tokens = self.states[state]
+            self.final[state] = self._ids(starts, tokens, len(starts) - 1)
         out.append(self.final[state])
         return b"".join(out)
 
@@ -305,7 +328,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_cached: int = 120_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.most_cached = most_cached
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -330,9 +355,9 @@ class Codec:
 
     def decode(self, ids: bytes, step: int = 65_536):
         """The bytes of the text in pieces of whole characters, as they become certain."""
-        stream, bytes_of = Utf8Stream(), self.bytes_of
+        stream, bytes_of = Utf8Stream(), self.bytes_of.__getitem__
         for at in range(0, len(ids), 4 * step):
-            yield stream.feed_bytes(b"".join([bytes_of[i] for i in array("I", ids[at : at + 4 * step])]))
+            yield stream.feed_bytes(b"".join(map(bytes_of, array("I", ids[at : at + 4 * step]))))
         yield stream.close_bytes()
 
 

@@ -219,6 +219,35 @@ def test_tables_leave_a_worker_when_the_task_has_travelled():
     assert list(task([])) == [0] and not common._held
 
 
+def test_merges_of_the_vocabulary_by_their_definition():
+    """The halves of each token are what lower merges make of it; a token that they can't make is an error."""
+    rng = random.Random(11)
+    ranks = {bytes([b]): i for i, b in enumerate(b"abc")}
+    while len(ranks) < 60:
+        token = b"".join(rng.choice(list(ranks)) for _ in range(2))
+        lower = bpe.merge_all(token, ranks)
+        if token not in ranks and len(lower) == 2:
+            ranks[token] = len(ranks)
+    machine = bpe.Transducer(ranks)
+    for token, rank in ranks.items():
+        if len(token) > 1:
+            parts = bpe.merge_all(token, {t: r for t, r in ranks.items() if r < rank})
+            assert machine.halves[rank] == tuple(ranks[t] for t in parts)
+    with pytest.raises(ValueError, match="no merge"):
+        bpe.Transducer({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
+
+
+def test_steps_look_only_at_entries_that_end_there():
+    """Of a run of one letter a step tries no more entries than end there, however many begin there."""
+    ranks = {b"a": 0, b"b": 1}
+    for n in (2, 4, 8, 16, 32):
+        ranks[b"a" * n] = len(ranks)
+    machine = bpe.Transducer(ranks, most_states=2)
+    piece = b"a" * 3000 + b"b"
+    assert np.frombuffer(machine.encode(piece), dtype="<u4").tolist() == [ranks[t] for t in bpe.merge_all(piece, ranks)]
+    assert max(map(len, machine.ends)) == 6 and len(machine.next_node) <= machine.most_nodes
+
+
 def test_utf8_stream_at_every_cut():
     text = "aé漢\U0001f600z"
     raw = text.encode()
