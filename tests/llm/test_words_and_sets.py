@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from farstray.llm import decontaminate, jaccard, repeats
+from farstray.llm import decontaminate, jaccard, packed, repeats
+from farstray.llm.common import mix
 
 SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BENCH_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -122,6 +125,39 @@ def test_jaccard_makes_all_links(spark, monkeypatch, block):
     assert set(pairs) == {frozenset((a, b)) for i, a in enumerate(distinct) for b in distinct[:i] if similar(a, b)}
 
 
+def test_jaccard_sends_only_shingles_of_what_may_link(spark, monkeypatch):
+    """However full a bounded sketch of all shingles would be, as it is beyond 1 GB of text."""
+    monkeypatch.setattr(packed, "LEAST_CELLS", 9)
+    monkeypatch.setattr(packed, "MOST_CELLS", 9)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(80))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(3)]
+    pairs, sent = packed.pairs_by_range, []
+
+    def seen(*given):
+        found = pairs(*given)
+        sent.append(sum(len(packed.unpack_pairs(r["data"])[0]) for r in found.collect()))
+        return found
+
+    monkeypatch.setattr(packed, "pairs_by_range", seen)
+    found = [tuple(r) for r in jaccard.similar_components(wide(spark, rows)).collect()]
+    assert sorted(found) == sorted(components(rows))
+    assert 6 * 76 <= sent[0] < 12 * 76
+
+
+def test_crowded_sets_are_those_with_few_elements_of_their_own(spark):
+    rng = random.Random(12)
+    sets = {i: sorted(rng.sample(range(60), rng.randrange(5)) + rng.sample(range(1000 * i, 1000 * i + 1000), rng.randrange(1, 9))) for i in range(1, 80)}
+    count = Counter(x for s in sets.values() for x in s)
+    rows = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, s array<long>").repartition(5)
+
+    def items(batch):
+        values = [np.array(s, dtype=np.uint64) for s in batch.column("s").to_pylist()]
+        yield batch.column("id").to_numpy(), np.full(len(values), 4), np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int64), mix(np.concatenate([*values, np.zeros(0, dtype=np.uint64)]))
+
+    found = [r["owner"] for r in packed.crowded(rows, items, 1 << 36).collect()]
+    assert sorted(found) == [i for i, s in sets.items() if sum(count[x] == 1 for x in s) < 4]
+
+
 def test_jaccard_links_of_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert jaccard.linked_documents(empty).collect() == [] and all(df.collect() == [] for df in jaccard.similar_links(empty))
