@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from farstray.config import Settings
 from farstray.operators import lof
 from farstray.operators import neighbours as nb
+from farstray.plans import engine
 
 
 def all_pairs(x, k, names, own=None, q=None, reach=None):
@@ -100,3 +102,22 @@ def test_model_and_exact_scores_agree(spark):
     model = lof.fit_lof(df, ["x", "y"], F.col("id"))
     scored = dict(map(tuple, df.select("id", model.raw(["x", "y"], F.col("id"))).collect()))
     assert scored == pytest.approx(exact, abs=1e-9)
+
+
+def test_rows_of_crowded_places_share_an_exact_score(spark):
+    """Places with far more rows than neighbours, some with one more or less, repeated keys and rows without one."""
+    rng = random.Random(6)
+    rows = [(i, float(i % 3), 0.0) for i in range(120)] + [(200 + i, 5.0, float(i // n)) for n in (4, 5, 6, 7) for i in range(n)] + [(300 + i, rng.random(), 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").repartition(3)
+    keyed = df.withColumn("id", F.concat(F.col("id"), F.lit("-"), F.monotonically_increasing_id()))  # 200 and the next ones are there four times
+    keyed = keyed.localCheckpoint()
+    rows = [tuple(r) for r in keyed.collect()]
+    near = {i: sorted((float(np.sqrt((x - a) ** 2 + (y - b) ** 2)), j) for j, a, b in rows if j != i)[:5] for i, x, y in rows}
+    density = {i: 1 / (sum(max(d, near[j][-1][0]) for d, j in e) / 5 + 1e-10) for i, e in near.items()}
+    expected = {i: round(sum(density[j] for _, j in e) / 5 / density[i], 10) for i, e in near.items()}
+    found = dict(map(tuple, lof.exact_lof(keyed, ["x", "y"], "id", 5, block=30).collect()))
+    assert found == pytest.approx(expected, rel=1e-9)
+    odd = df.unionByName(spark.createDataFrame([(None, 0.0, 0.0), (None, 9.0, 9.0), (1, None, 3.0)], df.schema))
+    flagged = engine.lof_of_all(odd, Settings(impute="drop", clip=False), ["x", "y"], "id").collect()
+    assert len(flagged) == len(rows) + 3 and any(r["is_outlier"] for r in flagged)
+    assert all(r["anomaly_score"] == 0 and not r["is_outlier"] for r in flagged if r["id"] is None or r["x"] is None)
